@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm.common import KEY, Table, prefix_sums
 from tessera.llm.tokens import WordEncoder
@@ -56,8 +57,8 @@ def schedule(sizes: DataFrame, shares: DataFrame | None = None, window: int = WI
     if shares is None:
         shares = queued.groupBy("source").agg(F.sum("n").alias("share"))
     shares = shares.select(F.col("source").alias("_source"), F.col("share").cast("double").alias("_share"))
-    total = shares.agg(F.sum("_share").alias("_all"))
-    quanta = shares.crossJoin(total).select("_source", (F.col("_share") / F.col("_all") * window).alias("_quantum"))  # one row each
+    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # one row for each source
+    quanta = shares.select("_source", (F.col("_share") / F.sum("_share").over(everything) * window).alias("_quantum"))
     placed = queued.join(quanta, queued["source"].eqNullSafe(quanta["_source"]), "left")
     turn = F.ceil((F.col("before") + F.col("n")) / F.col("_quantum"))
     placed = placed.withColumn("_round", F.coalesce(turn, F.lit(2**62))).drop("_source", "_quantum", "_mix").withColumnRenamed("before", "_place")
