@@ -61,6 +61,8 @@ KEY = ["_file", "_row"]
 
 def keyed(df: DataFrame) -> DataFrame:
     """Adds a key that is unique to a stored row, however the scan is split; ``df`` reads Parquet, else it is written first."""
+    if set(KEY) <= set(df.columns):
+        return df
     try:
         return df.select("*", F.xxhash64("_metadata.file_path").alias(KEY[0]), F.col("_metadata.row_index").alias(KEY[1]))
     except Exception as e:

@@ -62,7 +62,7 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus with the columns of ``docs``: a row for each epoch of a document, the cut one with its first words only."""
     rows = keyed(docs)
-    plan = mix_plan(docs, **options).select(*[F.col(k).alias(f"_p{k}") for k in KEY], "size", "taken").where("taken > 0")
+    plan = mix_plan(rows, **options).select(*[F.col(k).alias(f"_p{k}") for k in KEY], "size", "taken").where("taken > 0")
     copies = rows.join(plan, (rows[KEY[0]] == plan[f"_p{KEY[0]}"]) & (rows[KEY[1]] == plan[f"_p{KEY[1]}"]))
     copies = copies.withColumn("_take", F.explode(F.expr("transform(sequence(0, cast((taken - 1) div size as int)), e -> least(size, taken - e * size))")))
     words = F.filter(F.split("text", SPACES), lambda w: w != "")
