@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import fingerprints, licenses, mixing, packing, quality, repeats, token_counts, tokens
+from tessera.llm import fingerprints, jaccard, licenses, mixing, packing, quality, repeats, token_counts, tokens
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -35,6 +35,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), tokens.tokenizer_path(VOCABULARY))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked_sets(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(repeats.remove_repeats(documents(spark, sf_dir)))
 
