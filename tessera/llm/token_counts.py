@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACES, shared_dir
+from tessera.llm.common import SPACES, cut, shared_dir
 from tessera.llm.tokens import WordEncoder, version_digest
 
 SCHEMA = "digest binary, n_tokens long"
@@ -36,7 +36,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     normal = F.trim(F.regexp_replace(text, SPACES, " "))
     named = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(F.concat(F.lit(version), normal), 256)).alias("digest"), text.alias("text"))
     spark.createDataFrame([], SCHEMA).write.mode("append").parquet(cache)
-    stored = spark.read.schema(SCHEMA).parquet(cache).dropDuplicates(["digest"])
+    stored = spark.read.schema(SCHEMA).parquet(cache)
     misses = named.join(stored, "digest", "left_anti").groupBy("digest").agg(F.first("text").alias("text"))
 
     def encode(batches: Iterator) -> Iterator:
@@ -48,5 +48,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
 
     misses.mapInArrow(encode, SCHEMA).write.mode("append").parquet(cache)
-    counts = spark.read.schema(SCHEMA).parquet(cache).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # written, so that nothing but a shuffle stands below the join and a digest of very many rows can be split
+    counts = cut(spark.read.schema(SCHEMA).parquet(cache).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     return named.drop("text").join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
