@@ -9,7 +9,8 @@ shares a rare token or a pair of frequent tokens of one class with it, both
 inside its own such prefix. So rare tokens are indexed alone and frequent ones
 in pairs only, tokens that one set has are not indexed at all though they
 count, and no link is missed. The number of classes depends on the sets' size;
-sizes fall into strata so that partners share one.
+sizes fall into strata so that partners share one. A prefix is a tenth of its set longer than the tokens that may be
+missing, so a set with fewer than a tenth of shared tokens in it has no partner.
 
 Members of a bucket are first verified against one pivot, then, where a bucket
 still holds more than one component, against another, then each pair of
@@ -40,6 +41,11 @@ def prefix_length(n, percent: int):
     return np.minimum(n, most_missing(n, percent) + 1 + n // 10)
 
 
+def least_shared(n: str, percent: int) -> str:
+    """SQL: tokens that a set of any partner's prefix must have in common with that partner's prefix: what the smaller prefix is longer than its set may lack, plus one."""
+    return f"(({n} * {percent} + 99) div 100) div 10 + 1"
+
+
 def strata(percent: int, most: int) -> np.ndarray:
     """Least sizes of the strata up to ``most``: sizes of possible partners are in the same or in neighbouring ones."""
     out = [1]
@@ -186,14 +192,17 @@ def linked_sets(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     tokens = nodes.read().select("node", "n", F.posexplode("prefix").alias("pos", "h"))
     shared = Table(tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").select("h", (F.col("df") > frequent).alias("often")), "tokens")
     met = Table(tokens.join(shared.read(), "h"), "postings")
+    known = Table(nodes.read().drop("prefix"), "known")
+    nodes.drop()
     by_node = met.read().groupBy("node").agg(F.first("n").alias("n"), F.collect_list(F.struct("pos", "h", "often")).alias("tokens"))  # of one set each
+    by_node = by_node.where(f"size(tokens) >= {least_shared('n', percent)}")
     sigs = Table(by_node.mapInArrow(_signature_rows(percent), "sig long, node long, n long"), "signatures")
     met.drop()
     buckets = sigs.read().groupBy("sig").agg(F.count("*").alias("many")).where("many > 1")
     index = Table(sigs.read().join(buckets.select("sig"), "sig", "left_semi"), "index")
     sigs.drop()
 
-    wanted = index.read().select("node").distinct().join(nodes.read().select("node", "one.*"), "node")
+    wanted = index.read().select("node").distinct().join(known.read().select("node", "one.*"), "node")
     sets = Table(docs.select(*KEY, "text").join(wanted, KEY).select("node", "text").mapInArrow(_node_sets(shingle), "node long, tokens binary"), "node-sets")
     fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("a") != F.col("b"))
 
@@ -220,8 +229,8 @@ def linked_sets(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
         checked = verify(pairs)
         tried = checked.read() if tried is None else tried.unionByName(checked.read())
         labels = components(tried.where("linked").select("a", "b"))
-    known = nodes.read().select("n", "d1", "d2", "node").join(labels, "node", "left").select("n", "d1", "d2", F.coalesce("component", "node").alias("group"))
-    rows = Table(members.read().join(known, ["n", "d1", "d2"], "left").select(*KEY, "doc_id", F.col("n").alias("n_shingles"), "group"), "grouped").read()
+    named = known.read().select("n", "d1", "d2", "node").join(labels, "node", "left").select("n", "d1", "d2", F.coalesce("component", "node").alias("group"))
+    rows = Table(members.read().join(named, ["n", "d1", "d2"], "left").select(*KEY, "doc_id", F.col("n").alias("n_shingles"), "group"), "grouped").read()
     least = rows.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
     return rows.join(least, "group", "left").select(*KEY, "doc_id", "n_shingles", "group", F.coalesce("least", "doc_id").alias("component_id"))
 
