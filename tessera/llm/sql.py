@@ -1,5 +1,102 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express: operators 1, 4, 7, 8 and 9."""
+
+from __future__ import annotations
+
+from tessera.llm import jaccard, licenses, mixing, quality, repeats
+
+WORD = r"[^\x20\x09-\x0D]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _quality() -> str:
+    measures = {"symbols": "10000 * n_symbols // greatest(word_chars, 1)", "repeats": "10000 * n_repeat_words // greatest(n_words, 1)", "lines": "10000 * n_dup_lines // greatest(n_lines, 1)", "capitals": "10000 * capitals // greatest(word_chars, 1)", "length": "100 * word_chars // greatest(n_words, 1)"}
+    rows = " UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{m}' AS m, ({e})::BIGINT AS v, {quality.SLACK[m]} AS slack FROM b" for m, e in measures.items())
+    quartiles = "max(total) AS n, min(CASE WHEN 4 * c >= total THEN b END) AS q1, min(CASE WHEN 4 * c >= 3 * total THEN b END) AS q3"
+    fence = f"CASE WHEN n >= {quality.LEAST_GROUP} THEN q3 + {quality.REACH} * (q3 - q1) + slack END"
+    return rf"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+win AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) >= 3),
+dup AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) > 1),
+gap AS (SELECT doc_id, least(3, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i), 3)) AS g FROM dup),
+rep AS (SELECT doc_id, sum(g)::BIGINT AS n_repeat_words FROM gap GROUP BY 1),
+m AS (SELECT d.doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(translate(t, '{quality.SYMBOLS}', '')))::BIGINT AS n_symbols,
+  (length(t) - length(translate(t, '{UPPER}', '')))::BIGINT AS capitals, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l, coalesce(n_repeat_words, 0) AS n_repeat_words FROM d LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed FROM m),
+v AS ({rows}),
+k AS (SELECT lang, source, m, slack, (v >> greatest(0, length(bin(v)) - 9)) << greatest(0, length(bin(v)) - 9) AS b, count(*) AS n FROM v WHERE NOT base_failed GROUP BY ALL),
+o1 AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, m ORDER BY b) AS c, sum(n) OVER (PARTITION BY lang, source, m) AS total FROM k),
+o2 AS (SELECT lang, source, m, any_value(slack) AS slack, {quartiles} FROM o1 GROUP BY ALL),
+l0 AS (SELECT lang, m, slack, b, sum(n) AS n FROM k GROUP BY ALL),
+l1 AS (SELECT *, sum(n) OVER (PARTITION BY lang, m ORDER BY b) AS c, sum(n) OVER (PARTITION BY lang, m) AS total FROM l0),
+l2 AS (SELECT lang, m, any_value(slack) AS slack, {quartiles} FROM l1 GROUP BY ALL),
+f AS (SELECT o2.lang, o2.source, o2.m, coalesce({fence.replace("n >=", "o2.n >=").replace("q3", "o2.q3").replace("q1", "o2.q1").replace("slack", "o2.slack")}, {fence.replace("n >=", "l2.n >=").replace("q3", "l2.q3").replace("q1", "l2.q1").replace("slack", "l2.slack")}) AS fence FROM o2 JOIN l2 ON o2.lang IS NOT DISTINCT FROM l2.lang AND o2.m = l2.m),
+bad AS (SELECT DISTINCT doc_id FROM v JOIN f ON v.lang IS NOT DISTINCT FROM f.lang AND v.source IS NOT DISTINCT FROM f.source AND v.m = f.m WHERE v > fence)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM b"""
+
+
+#: The templates' optional and replaceable regions as patterns over " word word ".
+_TEMPLATES = {
+    "gpl-notice": "licensed under the (terms of the )?gnu general public license (as published by the free software foundation )?(either )?version [^ ]+ ",
+    "apache-notice": "licensed under the apache license ",
+    "cc-by-notice": "licensed under (a )?(creative commons )?cc by (nc )?(nd )?(sa )?[^ ]+ ",
+    "mit-notice": "under the (terms of the )?mit license ",
+    "spdx-tag": "spdx license identifier [^ ]+ ",
+    "copyright-line": "copyright (c )?([^ ]+ ){2,8}all rights reserved ",
+}
+
+
+def _licenses() -> str:
+    places = " UNION ALL ".join(f"SELECT doc_id, unnest(list_filter(range(len(w)), lambda i: array_to_string(w[i + 1:i + {len(p.split())}], ' ') = '{p}')) AS i, '{label}' AS label FROM d WHERE contains(line, ' {p} ')" for p, label in licenses.PHRASES.items())
+    own = " || ".join(f"CASE WHEN regexp_matches(line, ' {x}') THEN ['{label}'] ELSE []::VARCHAR[] END" for label, x in _TEMPLATES.items())
+    return rf"""
+WITH x AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+d AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS line FROM x),
+p AS ({places}),
+a AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_distinct(list(label)) AS base FROM p GROUP BY 1),
+j AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base, []::VARCHAR[]) AS base, {own} AS own FROM d LEFT JOIN a USING (doc_id)),
+c AS (SELECT *, len(list_filter(base, lambda b: len(list_filter(own, lambda o: starts_with(o, b))) > 0)) AS confirmed FROM j)
+SELECT doc_id, n_words, n_base, first_word, last_word, array_to_string(list_sort(base), ',') AS base_labels, array_to_string(list_sort(list_distinct(base || own)), ',') AS labels,
+  CASE WHEN len(own) > 0 AND confirmed = len(base) THEN 1.0::DOUBLE WHEN len(base) > 0 THEN 0.5 + 0.5 * confirmed / len(base)::DOUBLE ELSE 0.0::DOUBLE END AS score FROM c"""
+
+
+def _jaccard() -> str:
+    k, t = jaccard.SHINGLE, jaccard.PERCENT
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {k} THEN list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS met FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM c JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * met >= {t} * (nx.n + ny.n - met)),
+r AS (SELECT x AS a, y AS b FROM e UNION SELECT r.a, e.y FROM r JOIN e ON r.b = e.x)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce((SELECT min(b) FROM r WHERE a = doc_id), doc_id)) AS component_id FROM d LEFT JOIN n USING (doc_id)"""
+
+
+def _repeats() -> str:
+    k = repeats.K
+    return rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+e AS (SELECT doc_id, unnest(range(1, len(w) - {k - 2})) AS i, w FROM d WHERE len(w) >= {k}),
+h AS (SELECT doc_id, i, md5(array_to_string(w[i:i + {k - 1}], ' ')) AS h FROM e),
+f AS (SELECT doc_id, i FROM h QUALIFY count(*) OVER (PARTITION BY h) > 1),
+x AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS word FROM d),
+g AS (SELECT x.doc_id, j, word, coalesce(max(CASE WHEN f.i IS NOT NULL THEN 1 END) OVER (PARTITION BY x.doc_id ORDER BY j ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW), 0) AS gone FROM x LEFT JOIN f ON f.doc_id = x.doc_id AND f.i = j),
+a AS (SELECT doc_id, count(*) AS n_words, sum(gone)::BIGINT AS n_removed, string_agg(CASE WHEN gone = 0 THEN word END, ' ' ORDER BY j) AS kept FROM g GROUP BY 1)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)"""
+
+
+def _mixing() -> str:
+    weights = ", ".join(f"{float(w)}::DOUBLE" for w in mixing.WEIGHTS)
+    return rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, md5(concat_ws(':', 9, doc_id, md5(text))) AS k FROM documents),
+p AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before FROM d),
+z AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
+w AS (SELECT *, ([{weights}])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1] AS w, source_size * {mixing.MOST}::DOUBLE AS cap FROM z),
+f AS (SELECT *, cap / w AS full_at FROM w),
+l AS (SELECT *, (sum(source_size) OVER () * {mixing.SHARE}::DOUBLE - coalesce(sum(cap) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
+t AS (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, full_at) FROM l WHERE level <= full_at) * w, cap)) AS target FROM l),
+q AS (SELECT p.*, source_size, target, round(target)::BIGINT AS budget, CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END AS whole FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size, budget - whole * source_size - before)))::BIGINT AS taken FROM q"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_quality_rules": _quality(), "op4_license_scans": _licenses(), "op7_ngram_jaccard_join": _jaccard(), "op8_substring_dedup": _repeats(), "op9_mixing": _mixing()}
