@@ -23,7 +23,7 @@ WHITE = " \t\n\x0b\x0c\r"
 #: Parameters of the method: a measure fails beyond q3 + REACH * (q3 - q1) + SLACK. A group of fewer than LEAST_GROUP texts takes its language's
 #: thresholds, a language of fewer has none.
 REACH, LEAST_GROUP = 3, 30
-SLACK = {"symbols": 300, "repeats": 1500, "lines": 1500, "capitals": 1500, "length": 300}
+SLACK = {"symbols": 300, "repeats": 3500, "lines": 4000, "capitals": 1500, "length": 300}
 
 #: Words and how many of them stand in a repeated 3-word window. Lambdas over one-element arrays name a value that is used more than once: w the words,
 #: h the windows' hashes, s the hashes' upper bits with the places, sorted, q the places of repeated windows, sorted. Texts of 2^24 windows or more sort
