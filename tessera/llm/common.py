@@ -6,6 +6,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,3 +130,49 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         seen = (state["n"], state["h"])
     stars = table.read()
     return stars.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+
+
+def strata(percent: int, most: int) -> list[int]:
+    """Least sizes of the strata up to ``most``: sets of likeness ``percent`` or more are in the same or in neighbouring ones."""
+    out = [1]
+    while out[-1] <= most:
+        out.append(out[-1] * 100 // percent + 1)
+    return out
+
+
+def link_buckets(index: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Components (node, component) of sets that share a bucket and pass ``verify``.
+
+    ``index`` has (sig, node, n), n the set's size; ``verify`` takes distinct
+    pairs (a, b) and adds ``linked``. A bucket's members are verified against
+    one pivot, then, where it still holds more than one component, against
+    another, then each pair of different components: pairs inside a component
+    need no look, so a large group of copies costs a star and no square.
+    """
+
+    def labelled(labels: DataFrame | None) -> DataFrame:
+        if labels is None:
+            return index.withColumn("c", F.col("node"))
+        return index.join(labels, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+
+    fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("a") != F.col("b"))
+    labels, tried = None, None
+    for step in ("min", "max", "rest"):
+        rows = labelled(labels)
+        best = F.min if step == "min" else F.max
+        stats = rows.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), best(F.struct("node", "n", "c")).alias("pivot")).where("lo < hi")
+        if step == "rest":
+            open_ = Table(rows.join(stats.select("sig"), "sig", "left_semi"), "open")
+            x = open_.read().select("sig", F.col("node").alias("a"), "n", "c")
+            y = open_.read().select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
+            pairs = x.join(y, "sig").where("a > b and c <> d")
+        else:
+            pivots = Table(stats.select("sig", F.col("pivot.node").alias("b"), F.col("pivot.n").alias("m"), F.col("pivot.c").alias("d")), "pivots")
+            pairs = rows.join(pivots.read(), "sig").where("c <> d").withColumnRenamed("node", "a")
+        pairs = pairs.where(fits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        checked = Table(verify(pairs), "pairs").read()
+        tried = checked if tried is None else tried.unionByName(checked)
+        labels = components(tried.where("linked").select("a", "b"))
+    return labels

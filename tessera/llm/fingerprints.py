@@ -2,8 +2,10 @@
 
 A signature is a common word, the anchor, with the chain of content words that
 follow it. A text's fingerprint is its set of signatures. Likeness is the
-Jaccard measure of two sets; sets whose lengths differ too much are never
-compared, as the ratio of lengths bounds the measure.
+Jaccard measure of two sets. Near duplicates among all texts are found in
+partitions by set length: sets whose lengths differ too much are never compared,
+as the ratio of lengths bounds the measure, and only sets that share one of
+their first signatures are.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.llm.common import Table, link_buckets, strata
+
 #: Anchors, common words of four languages.
 ANCHORS = """
 the of and to a in is that it for was on with as by be this are at from or an have not they which you were but all
@@ -97,3 +101,38 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", F.expr("concat(substring(text, 1, int(n_chars - n_chars div 4)), substring(next_text, 1, int(n_chars div 4)))"))
     rows = rows.withColumn("edited_sha256", F.sha2("edited", 256)).withColumn("edited_sigs", signatures("edited"))
     return rows.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("sigs")).alias("fingerprint"), as_text(F.col("edited_sigs")).alias("edited_fingerprint"), likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"))
+
+
+def near_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """For each row of ``docs`` (doc_id, text): doc_id, n_signatures, class_id, the smallest doc_id among its near duplicates and theirs.
+
+    Equal sets are compared once. A set of n signatures has a partner only if
+    they share one of the first n - ceil(n * percent / 100) + 1 in the common
+    order, and only in its partition by length or the next. Empty sets form no
+    class: their class is their own doc_id. A null text is empty; repeated rows
+    are copies; an empty table gives no rows.
+    """
+    rows = Table(docs.withColumn("text", F.coalesce("text", F.lit(""))).select("doc_id", signatures("text").alias("sigs")), "signatures")
+    sized = rows.read().withColumn("n", F.size("sigs").cast("long")).withColumn("digest", F.sha2(as_text(F.col("sigs")), 256))
+    by_set = sized.where("n > 0").groupBy("digest").agg(F.first("sigs").alias("sigs"), F.first("n").alias("n"), F.min("doc_id").alias("least"))
+    sets = Table(by_set.withColumn("node", F.monotonically_increasing_id()), "sets")
+    most = sets.read().agg(F.max("n")).first()[0] or 1
+    bounds = ", ".join(map(str, strata(percent, most)))
+    first = F.expr(f"slice(sigs, 1, cast(n - (n * {int(percent)} + 99) div 100 + 1 as int))")
+    parts = F.expr(f"transform(array(size(filter(array({bounds}), b -> b <= n))), s -> array(s, s + 1))[0]")
+    index = sets.read().select("node", "n", F.explode(first).alias("sig"), parts.alias("parts")).select("node", "n", "sig", F.explode("parts").alias("part"))
+    index = index.select(F.xxhash64("part", "sig").alias("sig"), "node", "n")
+    shared = Table(index.groupBy("sig").agg(F.count("*").alias("many")).where("many > 1").select("sig"), "shared")
+    index = Table(index.join(shared.read(), "sig"), "index").read()
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        left = sets.read().select(F.col("node").alias("a"), F.col("sigs").alias("x"))
+        right = sets.read().select(F.col("node").alias("b"), F.col("sigs").alias("y"))
+        both = F.size(F.array_intersect("x", "y"))
+        return pairs.join(left, "a").join(right, "b").select("a", "b", (100 * both >= percent * (F.size("x") + F.size("y") - both)).alias("linked"))
+
+    labels = link_buckets(index, verify, percent)
+    named = Table(sets.read().join(labels, "node", "left").select("digest", "least", F.coalesce("component", "node").alias("class")), "classes")
+    smallest = named.read().groupBy("class").agg(F.min("least").alias("class_id"))
+    known = Table(named.read().join(smallest, "class").select("digest", "class_id"), "class-ids")
+    return sized.join(known.read(), "digest", "left").select("doc_id", F.col("n").alias("n_signatures"), F.coalesce("class_id", "doc_id").alias("class_id"))

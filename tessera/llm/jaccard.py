@@ -12,9 +12,7 @@ count, and no link is missed. The number of classes depends on the sets' size;
 sizes fall into strata so that partners share one. A prefix is a tenth of its set longer than the tokens that may be
 missing, so a set with fewer than a tenth of shared tokens in it has no partner.
 
-Members of a bucket are first verified against one pivot, then, where a bucket
-still holds more than one component, against another, then each pair of
-different components; pairs inside a component need no look.
+What shares a signature is linked by :func:`tessera.llm.common.link_buckets`.
 """
 
 from __future__ import annotations
@@ -25,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import KEY, Table, components, keyed
+from tessera.llm.common import KEY, Table, keyed, link_buckets, strata
 from tessera.llm.hashing import Runs, mixed, word_hashes
 
 #: Production parameters: words of a shingle, least similarity in per cent, and in how many sets a token is frequent.
@@ -46,14 +44,6 @@ def least_shared(n: str, percent: int) -> str:
     return f"(({n} * {percent} + 99) div 100) div 10 + 1"
 
 
-def strata(percent: int, most: int) -> np.ndarray:
-    """Least sizes of the strata up to ``most``: sizes of possible partners are in the same or in neighbouring ones."""
-    out = [1]
-    while out[-1] <= most:
-        out.append(out[-1] * 100 // percent + 1)
-    return np.array(out)
-
-
 def token_sets(texts: list[bytes], shingle: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Groups of texts: the first's index, all their sets one after another, each sorted, and where each begins (one more at the end)."""
     for first, last, hashes, firsts in word_hashes(texts, lower=True):
@@ -101,7 +91,7 @@ def _signature_rows(percent: int):
                 often = np.array([t["often"] for t in tokens])
                 order = np.argsort(pos)
                 pos, h, often = pos[order], h[order], often[order]
-                least = strata(percent, n)
+                least = np.array(strata(percent, n))
                 own = int(np.searchsorted(least, n, "right")) - 1
                 made: list[np.ndarray] = []
                 for scheme in (own, own + 1):
@@ -166,12 +156,6 @@ def _verified(percent: int):
     return rows
 
 
-def _labelled(sigs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return sigs.withColumn("c", F.col("node"))
-    return sigs.join(labels, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-
-
 def linked_sets(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): its key, doc_id, n_shingles, ``group`` (a number for its component; null for an empty set) and component_id.
 
@@ -204,31 +188,13 @@ def linked_sets(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
 
     wanted = index.read().select("node").distinct().join(known.read().select("node", "one.*"), "node")
     sets = Table(docs.select(*KEY, "text").join(wanted, KEY).select("node", "text").mapInArrow(_node_sets(shingle), "node long, tokens binary"), "node-sets")
-    fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("a") != F.col("b"))
 
-    def verify(pairs: DataFrame) -> Table:
-        pairs = pairs.where(fits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    def verify(pairs: DataFrame) -> DataFrame:
         left = sets.read().select(F.col("node").alias("a"), F.col("tokens").alias("left"))
         right = sets.read().select(F.col("node").alias("b"), F.col("tokens").alias("right"))
-        return Table(pairs.join(left, "a").join(right, "b").mapInArrow(_verified(percent), "a long, b long, linked boolean"), "pairs")
-
-    labels, tried = None, None
-    for step in ("min", "max", "rest"):
-        rows = _labelled(index.read(), labels)
-        stats = rows.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), (F.min if step == "min" else F.max)(F.struct("node", "n", "c")).alias("pivot")).where("lo < hi")
-        if step == "rest":
-            # of each bucket with more than one component, every pair of different components: the rows are sorted out by component first
-            open_ = Table(rows.join(stats.select("sig"), "sig", "left_semi"), "open")
-            x = open_.read().select("sig", F.col("node").alias("a"), "n", "c")
-            y = open_.read().select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
-            pairs = x.join(y, "sig").where("a > b and c <> d").select("a", "b", "n", "m")
-        else:
-            pairs = rows.join(stats.select("sig", "pivot.*").withColumnsRenamed({"node": "b", "n": "m", "c": "d"}), "sig").where("c <> d").select(F.col("node").alias("a"), "b", "n", "m")
-        if tried is not None:
-            pairs = pairs.where(fits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.lit(1).alias("n"), F.lit(1).alias("m")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        checked = verify(pairs)
-        tried = checked.read() if tried is None else tried.unionByName(checked.read())
-        labels = components(tried.where("linked").select("a", "b"))
+        return pairs.join(left, "a").join(right, "b").mapInArrow(_verified(percent), "a long, b long, linked boolean")
+
+    labels = link_buckets(index.read(), verify, percent)
     named = known.read().select("n", "d1", "d2", "node").join(labels, "node", "left").select("n", "d1", "d2", F.coalesce("component", "node").alias("group"))
     rows = Table(members.read().join(named, ["n", "d1", "d2"], "left").select(*KEY, "doc_id", F.col("n").alias("n_shingles"), "group"), "grouped").read()
     least = rows.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))

@@ -167,3 +167,35 @@ def test_fingerprints(spark):
         assert 0 <= g.near_edited <= 1 and 0 <= g.near_next <= 1
     assert got[0].fingerprint == got[1].fingerprint and got[0].near_next == 1
     assert fingerprints.fingerprint(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_near_classes(spark):
+    import random
+
+    rng = random.Random(2)
+    bases = [" ".join(rng.choice(["the", "of", "and", f"w{rng.randrange(5000)}"]) for _ in range(n)) for n in (60, 200, 400)]
+    rows = []
+    for i in range(60):
+        w = rng.choice(bases).split()
+        for _ in range(rng.choice([0, 1, 2, 8])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(99)}"
+        rows.append((i, " ".join(w), "en", "s", 0))
+    rows += [(100, None, "en", "s", 0), (101, "", "en", "s", 0), (102, "###", "en", "s", 0), (103, "###", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    sets = {}
+    for r in fingerprints.fingerprint(docs).collect():
+        text = r.fingerprint.partition(":")[2]
+        sets[r.doc_id] = {text[i : i + 8] for i in range(0, len(text), 8)}
+    parent = {i: i for i in sets}
+
+    def top(i):
+        return i if parent[i] == i else top(parent[i])
+
+    for i in sets:
+        for j in sets:
+            if j < i and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = top(i), top(j)
+                parent[max(a, b)] = min(a, b)
+    got = {r.doc_id: (r.n_signatures, r.class_id) for r in fingerprints.near_classes(docs).collect()}
+    assert got == {i: (len(s), top(i)) for i, s in sets.items()}
+    assert fingerprints.near_classes(spark.createDataFrame([], SCHEMA)).count() == 0
