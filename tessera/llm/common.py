@@ -140,6 +140,18 @@ def strata(percent: int, most: int) -> list[int]:
     return out
 
 
+def verified(sets: DataFrame, percent: int) -> Callable[[DataFrame], DataFrame]:
+    """A check of pairs (a, b) by the whole sets (node, tokens: array<long>): linked if 100 * intersection >= percent * union."""
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
+        right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
+        both = F.size(F.array_intersect("x", "y"))
+        return pairs.join(left, "a").join(right, "b").select("a", "b", (100 * both >= percent * (F.size("x") + F.size("y") - both)).alias("linked"))
+
+    return verify
+
+
 def link_buckets(index: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Components (node, component) of sets that share a bucket and pass ``verify``.
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import Table, link_buckets, strata
+from tessera.llm.common import Table, link_buckets, strata, verified
 
 #: Anchors, common words of four languages.
 ANCHORS = """
@@ -125,13 +125,7 @@ def near_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
     shared = Table(index.groupBy("sig").agg(F.count("*").alias("many")).where("many > 1").select("sig"), "shared")
     index = Table(index.join(shared.read(), "sig"), "index").read()
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        left = sets.read().select(F.col("node").alias("a"), F.col("sigs").alias("x"))
-        right = sets.read().select(F.col("node").alias("b"), F.col("sigs").alias("y"))
-        both = F.size(F.array_intersect("x", "y"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", (100 * both >= percent * (F.size("x") + F.size("y") - both)).alias("linked"))
-
-    labels = link_buckets(index, verify, percent)
+    labels = link_buckets(index, verified(sets.read().select("node", F.col("sigs").alias("tokens")), percent), percent)
     named = Table(sets.read().join(labels, "node", "left").select("digest", "least", F.coalesce("component", "node").alias("class")), "classes")
     smallest = named.read().groupBy("class").agg(F.min("least").alias("class_id"))
     known = Table(named.read().join(smallest, "class").select("digest", "class_id"), "class-ids")

@@ -1,7 +1,7 @@
 """Operator 7: n-gram Jaccard join by token-combination prefixes (after Wang et al., pkwise).
 
-A set's tokens, its word shingles, stand in one global order (by hash). A set of
-n tokens that lacks at most m = n - ceil(t * n) of a partner's has this
+A set's tokens, its word shingles, stand in one global order, the rarest first.
+A set of n tokens that lacks at most m = n - ceil(t * n) of a partner's has this
 property: take a prefix and deal its tokens into classes, a class of rare
 tokens whose members count one by one, and classes of frequent tokens whose
 members count from the second on. Once the prefix counts m + 1, every partner
@@ -9,21 +9,28 @@ shares a rare token or a pair of frequent tokens of one class with it, both
 inside its own such prefix. So rare tokens are indexed alone and frequent ones
 in pairs only, tokens that one set has are not indexed at all though they
 count, and no link is missed. The number of classes depends on the sets' size;
-sizes fall into strata so that partners share one. A prefix is a tenth of its set longer than the tokens that may be
-missing, so a set with fewer than a tenth of shared tokens in it has no partner.
+sizes fall into strata so that partners share one.
+
+Counting every token of every set would shuffle more than the texts. A first
+pass therefore takes each set's prefix in the order of the tokens' hashes, a
+tenth of the set longer than the tokens that may be missing: a set with fewer
+than a tenth of shared tokens in it has no partner. Only the sets that are left
+are counted whole, and of these only the ones that share all but m tokens with
+others are indexed.
 
 What shares a signature is linked by :func:`tessera.llm.common.link_buckets`.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import KEY, Table, keyed, link_buckets, strata
+from tessera.llm.common import KEY, Table, keyed, link_buckets, strata, verified
 from tessera.llm.hashing import Runs, mixed, word_hashes
 
 #: Production parameters: words of a shingle, least similarity in per cent, and in how many sets a token is frequent.
@@ -79,37 +86,38 @@ def _set_rows(shingle: int, percent: int):
     return rows
 
 
-def _signature_rows(percent: int):
+def _signature_rows(percent: int, frequent: int):
     def rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
             sigs, nodes, sizes = [], [], []
-            for node, n, tokens in zip(b.column("node").to_pylist(), b.column("n").to_pylist(), b.column("tokens").to_pylist(), strict=True):
-                pos = np.array([t["pos"] for t in tokens])
-                h = np.array([t["h"] for t in tokens], np.int64).view(np.uint64)
-                often = np.array([t["often"] for t in tokens])
-                order = np.argsort(pos)
-                pos, h, often = pos[order], h[order], often[order]
-                least = np.array(strata(percent, n))
-                own = int(np.searchsorted(least, n, "right")) - 1
+            tokens = b.column("tokens")
+            begins, flat = tokens.offsets.to_numpy(), tokens.values
+            all_df, all_h = flat.field("df").to_numpy(), flat.field("h").to_numpy().view(np.uint64)
+            for i, (node, n) in enumerate(zip(b.column("node").to_pylist(), b.column("n").to_pylist(), strict=True)):
+                df, h = all_df[begins[i] : begins[i + 1]], all_h[begins[i] : begins[i + 1]]
+                order = np.lexsort((h, df))
+                df, h = df[order], h[order]
+                alone, needed, often = n - len(h), most_missing(n, percent) + 1, df > frequent
+                least = strata(percent, n)
+                own = bisect.bisect_right(least, n) - 1
                 made: list[np.ndarray] = []
                 for scheme in (own, own + 1):
-                    classes = int(least[scheme - 1]) // 10 if scheme else 0
-                    counts = np.ones(int(prefix_length(n, percent)), np.int64)
-                    single = ~often if classes else np.ones(len(h), bool)
+                    classes = least[scheme - 1] // 10 if scheme else 0
+                    counts, single = np.ones(len(h), np.int64), ~often if classes else np.ones(len(h), bool)
                     if classes and often.any():
                         group = mixed(h, 20) % np.uint64(classes)
                         _, begin = np.unique(group[often], return_index=True)
-                        counts[pos[often][begin]] = 0
-                    stop = int(np.searchsorted(np.cumsum(counts), most_missing(n, percent) + 1))
-                    inside = pos <= stop
+                        counts[np.flatnonzero(often)[begin]] = 0
+                    stop = int(np.searchsorted(np.cumsum(counts), needed - alone)) + 1
+                    inside = np.arange(len(h)) < stop
                     made.append(mixed(h[inside & single], 21))
-                    if not single.all():
-                        chosen = inside & ~single
+                    chosen = inside & ~single
+                    if chosen.any():
                         x, g = mixed(h[chosen], 22 + scheme), group[chosen]
-                        order = np.argsort(g, kind="stable")
-                        x, g = x[order], g[order]
+                        by_group = np.lexsort((x, g))
+                        x, g = x[by_group], g[by_group]
                         step = 1
                         while step < len(g):
                             pairs = np.flatnonzero(g[step:] == g[:-step])
@@ -133,25 +141,9 @@ def _node_sets(shingle: int):
 
         for b in batches:
             for first, values, begins in token_sets(b.column("text").cast(pa.binary()).to_pylist(), shingle):
-                data = [values[s:e].tobytes() for s, e in zip(begins[:-1], begins[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("node").slice(first, len(data)), pa.array(data, pa.binary())], names=["node", "tokens"])
-
-    return rows
-
-
-def _verified(percent: int):
-    def rows(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for b in batches:
-            right = []
-            for x, y in zip(b.column("left").to_pylist(), b.column("right").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                right.append(100 * common >= percent * (len(both) - common))
-            yield b.select(["a", "b"]).append_column("linked", pa.array(right, pa.bool_()))
+                sets = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(values.view(np.int64)))
+                part = b.slice(first, len(sets))
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("n"), sets], names=["node", "n", "tokens"])
 
     return rows
 
@@ -173,28 +165,24 @@ def linked_sets(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     members = Table(first.read().drop("prefix"), "members")
     first.drop()
 
-    tokens = nodes.read().select("node", "n", F.posexplode("prefix").alias("pos", "h"))
-    shared = Table(tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").select("h", (F.col("df") > frequent).alias("often")), "tokens")
-    met = Table(tokens.join(shared.read(), "h"), "postings")
+    tokens = nodes.read().select("node", "n", F.explode("prefix").alias("h"))
+    shared = Table(tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").select("h"), "tokens")
+    met = tokens.join(shared.read(), "h").groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("shared")).where(f"shared >= {least_shared('n', percent)}")
+    left = Table(met.select("node", "n"), "left")
     known = Table(nodes.read().drop("prefix"), "known")
     nodes.drop()
-    by_node = met.read().groupBy("node").agg(F.first("n").alias("n"), F.collect_list(F.struct("pos", "h", "often")).alias("tokens"))  # of one set each
-    by_node = by_node.where(f"size(tokens) >= {least_shared('n', percent)}")
-    sigs = Table(by_node.mapInArrow(_signature_rows(percent), "sig long, node long, n long"), "signatures")
-    met.drop()
-    buckets = sigs.read().groupBy("sig").agg(F.count("*").alias("many")).where("many > 1")
-    index = Table(sigs.read().join(buckets.select("sig"), "sig", "left_semi"), "index")
-    sigs.drop()
-
-    wanted = index.read().select("node").distinct().join(known.read().select("node", "one.*"), "node")
-    sets = Table(docs.select(*KEY, "text").join(wanted, KEY).select("node", "text").mapInArrow(_node_sets(shingle), "node long, tokens binary"), "node-sets")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        left = sets.read().select(F.col("node").alias("a"), F.col("tokens").alias("left"))
-        right = sets.read().select(F.col("node").alias("b"), F.col("tokens").alias("right"))
-        return pairs.join(left, "a").join(right, "b").mapInArrow(_verified(percent), "a long, b long, linked boolean")
+    wanted = left.read().join(known.read().select("node", "one.*"), "node")
+    sets = Table(docs.select(*KEY, "text").join(wanted, KEY).select("node", "n", "text").mapInArrow(_node_sets(shingle), "node long, n long, tokens array<long>"), "whole-sets")
+    tokens = sets.read().select("node", "n", F.explode("tokens").alias("h"))
+    counts = Table(tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "counts")
+    by_node = tokens.join(counts.read(), "h").groupBy("node").agg(F.first("n").alias("n"), F.collect_list(F.struct("df", "h")).alias("tokens"))  # of one set each
+    by_node = by_node.where(f"size(tokens) >= (n * {int(percent)} + 99) div 100")
+    sigs = Table(by_node.mapInArrow(_signature_rows(percent, frequent), "sig long, node long, n long"), "signatures")
+    buckets = sigs.read().groupBy("sig").agg(F.count("*").alias("many")).where("many > 1")
+    index = Table(sigs.read().join(Table(buckets.select("sig"), "buckets").read(), "sig"), "index")
 
-    labels = link_buckets(index.read(), verify, percent)
+    labels = link_buckets(index.read(), verified(sets.read(), percent), percent)
     named = known.read().select("n", "d1", "d2", "node").join(labels, "node", "left").select("n", "d1", "d2", F.coalesce("component", "node").alias("group"))
     rows = Table(members.read().join(named, ["n", "d1", "d2"], "left").select(*KEY, "doc_id", F.col("n").alias("n_shingles"), "group"), "grouped").read()
     least = rows.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
