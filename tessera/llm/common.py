@@ -110,26 +110,26 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     neighbours is only aggregated, never gathered.
     """
     table = Table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    seen = None
-    while True:
+    while not _stars(table.read()):
         e = table.read()
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = Table(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), name)  # written: a join to a mere shuffle can be split
+        large = both.join(least.read(), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         mid = Table(large, name)
         e = mid.read()
-        least = e.groupBy("a").agg(F.min("b").alias("m"))
-        small = e.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        after = Table(small, name)
-        state = after.read().agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("h")).first()
+        least = Table(e.groupBy("a").agg(F.min("b").alias("m")), name)
+        small = e.join(least.read(), "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         table.drop()
+        table = Table(small, name)
         mid.drop()
-        table = after
-        if seen == (state["n"], state["h"]):
-            break
-        seen = (state["n"], state["h"])
-    stars = table.read()
-    return stars.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    return table.read().select(F.col("a").alias("node"), F.col("b").alias("component"))
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Does every edge lead from a node, which has no other, to a centre, which has none?"""
+    several = edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    chained = edges.select(F.col("b").alias("a")).join(edges.select("a"), "a", "left_semi")
+    return several.unionByName(chained).isEmpty()
 
 
 def strata(percent: int, most: int) -> list[int]:
@@ -173,13 +173,13 @@ def link_buckets(index: DataFrame, verify: Callable[[DataFrame], DataFrame], per
         rows = labelled(labels)
         best = F.min if step == "min" else F.max
         stats = rows.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), best(F.struct("node", "n", "c")).alias("pivot")).where("lo < hi")
+        pivots = Table(stats.select("sig", F.col("pivot.node").alias("b"), F.col("pivot.n").alias("m"), F.col("pivot.c").alias("d")), "pivots")
         if step == "rest":
-            open_ = Table(rows.join(stats.select("sig"), "sig", "left_semi"), "open")
+            open_ = Table(rows.join(pivots.read().select("sig"), "sig", "left_semi"), "open")
             x = open_.read().select("sig", F.col("node").alias("a"), "n", "c")
             y = open_.read().select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
             pairs = x.join(y, "sig").where("a > b and c <> d")
         else:
-            pivots = Table(stats.select("sig", F.col("pivot.node").alias("b"), F.col("pivot.n").alias("m"), F.col("pivot.c").alias("d")), "pivots")
             pairs = rows.join(pivots.read(), "sig").where("c <> d").withColumnRenamed("node", "a")
         pairs = pairs.where(fits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         if tried is not None:

@@ -186,6 +186,7 @@ def linked_sets(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     named = known.read().select("n", "d1", "d2", "node").join(labels, "node", "left").select("n", "d1", "d2", F.coalesce("component", "node").alias("group"))
     rows = Table(members.read().join(named, ["n", "d1", "d2"], "left").select(*KEY, "doc_id", F.col("n").alias("n_shingles"), "group"), "grouped").read()
     least = rows.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
+    least = Table(least, "least").read()  # written, so that a group of very many rows can be split
     return rows.join(least, "group", "left").select(*KEY, "doc_id", "n_shingles", "group", F.coalesce("least", "doc_id").alias("component_id"))
 
 

@@ -65,3 +65,22 @@ def test_one_of_each(spark):
     ids = sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect())
     assert [i for none, i in ids if not none] == [0, 2, 3, 4, 5, 6, 7, 8, 10, 11] and len(ids) == 11
     assert jaccard.one_of_each(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_components(spark):
+    from tessera.llm.common import components
+
+    rng = random.Random(5)
+    edges = [(i, i + 1) for i in range(60)] + [(rng.randrange(100, 180), rng.randrange(100, 180)) for _ in range(45)] + [(300, 200 + i) for i in range(30)] + [(7, 7), (400, 401), (401, 400)]
+    parent = {}
+
+    def top(i):
+        while parent.setdefault(i, i) != i:
+            i = parent[i]
+        return i
+
+    for a, b in edges:
+        x, y = top(a), top(b)
+        parent[max(x, y)] = min(x, y)
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: top(i) for i in parent if top(i) != i}
