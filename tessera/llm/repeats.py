@@ -113,6 +113,7 @@ def repeated_edges(docs: DataFrame, k: int = K, short: int = SHORT) -> DataFrame
     longs = "_file long, _row long, begin long"
     stored = Table(texts.mapInArrow(_path_rows(k, short), f"{longs}, edges int, mini long, h1 long, h2 long"), "paths")
     twice = stored.read().groupBy("mini").agg(F.count("*").alias("n"), (F.min("h1") != F.max("h1")).alias("branches")).where("n > 1").drop("n")
+    twice = Table(twice, "twice").read()  # written: nothing but a shuffle below the join, so that a minimizer of very many rows can be split
     met = Table(stored.read().join(twice, "mini"), "met")
     stored.drop()
     same = met.read().groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("branches").alias("branches"), F.min(F.struct(*KEY, "begin", "edges")).alias("one"))
@@ -121,7 +122,7 @@ def repeated_edges(docs: DataFrame, k: int = K, short: int = SHORT) -> DataFrame
     unfold = distinct.read().where("branches").select("one.*", (F.col("n") == 1).alias("alone"))
     unfold = unfold.groupBy(*KEY).agg(F.collect_list(F.struct("begin", "edges", "alone")).alias("wanted"))  # of one document each
     edges = Table(texts.join(unfold, KEY).mapInArrow(_edge_rows(k), f"{longs}, alone boolean, e1 long, e2 int"), "edges")
-    shared = edges.read().groupBy("e1", "e2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = Table(edges.read().groupBy("e1", "e2").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "shared").read()
     single = edges.read().where("alone").join(shared, ["e1", "e2"], "left_semi").select(*KEY, "begin", F.lit(1).cast("long").alias("edges"))
     return whole.unionByName(single)
 
