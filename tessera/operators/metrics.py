@@ -46,3 +46,8 @@ def stratified(rows: DataFrame, stratum: str, key: str, n: int, seed: int = 42)
 def sampled(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """W18."""
     return rows.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))).limit(n)
+
+
+def append_results(results: DataFrame, path: str) -> None:
+    """Appends results as JSON lines; an earlier run's files stay."""
+    results.write.mode("append").json(path)

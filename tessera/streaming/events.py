@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 LOG_SCHEMA = "run_id string, seq long, ts timestamp, type string, data string"
 
@@ -55,3 +56,23 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
     """Extension: a user's events with no gap of ``gap`` or more between."""
     rows = events.withWatermark(ts, late) if events.isStreaming else events
     return rows.groupBy(F.session_window(ts, gap).alias("s"), "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("user_id", F.col("s.start").alias("session_start"), "n", "total")
+
+
+class Progress(StreamingQueryListener):
+    """Section 2.9: counters of a run's streams: batches, rows and what has ended."""
+
+    def __init__(self):
+        self.batches, self.rows, self.ended = 0, 0, 0
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        self.batches += 1
+        self.rows += event.progress.numInputRows
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        self.ended += 1

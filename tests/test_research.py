@@ -123,3 +123,48 @@ def test_files(spark, tmp_path):
         files.load(spark, str(tmp_path / "c.bin"))
     pages = spark.createDataFrame([("u", 2, "b"), ("u", 1, "a")], "url string, page_no int, text string")
     assert files.joined_pages(pages).first().raw_content == "a\nb"
+
+
+def test_evaluation_sets_and_records(spark, tmp_path):
+    import bz2
+
+    lines = "\n".join(json.dumps({"interaction_id": f"i{i}", "split": i % 2, "search_results": [{"page_result": "<p>body text</p>" if i else "", "page_snippet": "short", "page_url": "u" if i else "", "page_name": None}]}) for i in range(3))
+    (tmp_path / "c.jsonl.bz2").write_bytes(bz2.compress(lines.encode()))
+    rows = files.evaluation(spark, str(tmp_path / "c.jsonl.bz2"), split=0)
+    assert rows.count() == 2
+    from tessera.functions.html import stripped
+
+    got = {(r.interaction_id, r.url, r.title, r.raw_content) for r in files.crag_documents(rows, stripped(100)).collect()}
+    assert got == {("i0", "doc_0", "Document 0", "short"), ("i2", "u", "Document 0", "body text")}
+    (tmp_path / "q.csv").write_text("problem,answer\np,a\n")
+    assert files.evaluation(spark, str(tmp_path / "q.csv")).first().answer == "a"
+    records = spark.createDataFrame([("text", {"title": "T"})], "page_content string, metadata map<string,string>")
+    assert tuple(files.from_records(records).first()) == ("T", "text")
+    papers = spark.createDataFrame([("https://x.org/abs/12", "2020", "A", "S", "T")], "link string, published string, authors string, summary string, title string")
+    assert tuple(files.papers(papers).first()) == ("12", "Published: 2020; Author: A; Content: S", "T")
+    for _ in range(2):
+        metrics.append_results(papers, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 2
+    ids = spark.createDataFrame([(1,), (2,)], "article_id int")
+    articles = spark.createDataFrame([(1, "t"), (2, "")], "article_id int, body string")
+    assert search.full_texts(ids, articles).count() == 1
+
+
+def test_texts_of_reports(spark):
+    lit = F.lit
+    one = spark.range(1)
+    made = one.select(reports.detailed(lit("i"), lit("t"), lit("b"), lit("c"), lit("r")).alias("x"), reports.report_file(lit("n" * 80)).alias("f")).first()
+    assert made.x == "i\n\nt\n\nb\n\nc\n\nr" and made.f == "n" * 60 + ".md"
+    sections = spark.createDataFrame([(0, "A"), (1, "B")], "pos int, header string")
+    images = spark.createDataFrame([("A", "u1", 1), ("A", "u2", 2)], "header string, url string, seq int")
+    assert {(r.header, r.image_url) for r in reports.section_images(sections, images).collect()} == {("A", "u2"), ("B", None)}
+    asked = spark.createDataFrame([(2, "p"), (9, "q")], "section_number int, prompt string")
+    assert [(r.header, r.prompt) for r in reports.suggested(sections, asked).collect()] == [("B", "p")]
+    posted = reports.posted(spark.createDataFrame([("a", 50)], "id string, timestamp long"), spark.createDataFrame([("a", "40"), ("b", "soon")], "id string, timestamp string"), lit(99).cast("long"))
+    assert {(r.id, r.timestamp) for r in posted.collect()} == {("a", 50), ("b", 99)}
+    answers = spark.createDataFrame([("a", "- x", "u", 0)], "title string, body string, href string, pos int")
+    assert research.quick_answers(answers).first().line == "[1] a: - x (u)"
+    cited = research.with_citations(spark.createDataFrame([(0, "l"), (1, "m")], "pos int, learning string"), spark.createDataFrame([("l", "u", 1), ("l", "v", 2)], "learning string, url string, seq int"))
+    assert [r.text for r in cited.orderBy("pos").collect()] == ["l [Source: v]", "m"]
+    web = spark.createDataFrame([("w",)], "t string")
+    assert {r.side for r in research.source_mode("hybrid", web, web).collect()} == {"web", "local"}

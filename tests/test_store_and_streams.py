@@ -69,9 +69,13 @@ def test_event_streams(spark, tmp_path):
     folder.mkdir()
     rows = [{"run_id": "r", "seq": i, "ts": f"2024-01-01T00:{i:02d}:00Z", "type": t, "data": d} for i, (t, d) in enumerate([("logs", "a"), ("query", "b"), ("query", "c"), ("report", "d")])]
     (folder / "a.json").write_text("\n".join(map(json.dumps, rows)))
-    log = streams.log_source(spark, str(folder))
+    log, progress = streams.log_source(spark, str(folder)), streams.Progress()
+    spark.streams.addListener(progress)
     streams.append(log, str(tmp_path / "log"), str(tmp_path / "c1")).trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(str(tmp_path / "log")).count() == 4
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    spark.streams.removeListener(progress)
+    assert progress.rows == 4
     streams.content_state(log).writeStream.format("memory").queryName("state").outputMode("complete").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination()
     assert {(r.key, r.value) for r in spark.table("state").collect()} == {("query", "c"), ("report", "d")}
     visits = log.select("ts", F.lit("u").alias("url"))
