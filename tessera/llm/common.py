@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,10 +36,14 @@ def free_shuffles(spark: SparkSession) -> None:
 class Table:
     """A written DataFrame: lineage ends here, and a lost executor re-reads files."""
 
+    #: Tables that aren't dropped yet, in the order they were made.
+    live: ClassVar[list[Table]] = []
+
     def __init__(self, df: DataFrame, name: str):
         self.spark, self.schema = df.sparkSession, df.schema
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
+        Table.live.append(self)
         free_shuffles(self.spark)
 
     def read(self, keys: bool = False) -> DataFrame:
@@ -47,10 +52,20 @@ class Table:
         return keyed(df) if keys else df
 
     def drop(self) -> None:
+        if self not in Table.live:
+            return
+        Table.live.remove(self)
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop_since(mark: int, keep: Table) -> None:
+    """Drops the tables made since there were ``mark``, but for the one that holds the result."""
+    for table in Table.live[mark:]:
+        if table is not keep:
+            table.drop()
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again."""
     return Table(df, name).read()

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import KEY, Table, keyed, link_buckets, strata, verified
+from tessera.llm.common import KEY, Table, drop_since, keyed, link_buckets, strata, verified
 from tessera.llm.hashing import Runs, mixed, word_hashes
 
 #: Production parameters: words of a shingle, least similarity in per cent, and in how many sets a token is frequent.
@@ -156,7 +156,7 @@ def linked_sets(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     takes its component's smallest. Repeated rows are copies like any others;
     other columns are ignored; an empty table gives no rows.
     """
-    docs = keyed(docs)
+    docs, mark = keyed(docs), len(Table.live)
     id_type = dict(docs.dtypes)["doc_id"]
     texts = docs.select(*KEY, "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     first = Table(texts.mapInArrow(_set_rows(shingle, percent), f"{KEY[0]} long, {KEY[1]} long, doc_id {id_type}, n long, d1 long, d2 long, prefix array<long>"), "sets")
@@ -184,9 +184,10 @@ def linked_sets(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
 
     labels = link_buckets(index.read(), verified(sets.read(), percent), percent)
     named = known.read().select("n", "d1", "d2", "node").join(labels, "node", "left").select("n", "d1", "d2", F.coalesce("component", "node").alias("group"))
-    rows = Table(members.read().join(named, ["n", "d1", "d2"], "left").select(*KEY, "doc_id", F.col("n").alias("n_shingles"), "group"), "grouped").read()
-    least = rows.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
-    least = Table(least, "least").read()  # written, so that a group of very many rows can be split
+    grouped = Table(members.read().join(named, ["n", "d1", "d2"], "left").select(*KEY, "doc_id", F.col("n").alias("n_shingles"), "group"), "grouped")
+    drop_since(mark, keep=grouped)
+    rows = grouped.read()
+    least = Table(rows.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least")), "least").read()  # written, so that a group of very many rows can be split
     return rows.join(least, "group", "left").select(*KEY, "doc_id", "n_shingles", "group", F.coalesce("least", "doc_id").alias("component_id"))
 
 
