@@ -116,14 +116,14 @@ def similar(queries: DataFrame, docs: DataFrame, embed: Embed, threshold: float,
     """Split, embedded and filtered pieces of documents (doc_id, source, title, content): the best ``most`` of each query."""
     pieces = docs.select("doc_id", "source", "title", F.posexplode(splitter(size, overlap)("content")).alias("piece", "content"))
     pieces = pieces.withColumn("embedding", embed(F.col("content"))).withColumn("pos", F.struct("doc_id", "piece"))
-    scored = pieces.join(F.broadcast(queries.select("query_id", F.col("embedding").alias("q")))).withColumn("similarity", cosine("q", "embedding"))
+    scored = pieces.join(queries.select("query_id", F.col("embedding").alias("q"))).withColumn("similarity", cosine("q", "embedding"))
     return ranking.ranked(scored.where(F.col("similarity") >= threshold), "similarity", "rank", most=most).drop("q", "embedding")
 
 
 def context_of(queries: DataFrame, docs: DataFrame, embed: Embed, most: int = 5, threshold: float = SIMILARITY, family: str = "default") -> DataFrame:
     """(query_id, context) over all of ``docs``: as they are if few and short, else their similar pieces."""
     few = docs.agg(((F.coalesce(F.sum(F.length("content")), F.lit(0)) < SMALL_DOCUMENTS) & (F.count("*") <= most)).alias("fast"))
-    direct = docs.join(F.broadcast(few)).where("fast").join(F.broadcast(queries.select("query_id"))).select("query_id", F.col("doc_id").alias("pos"), "source", "title", "content")
+    direct = docs.join(F.broadcast(few)).where("fast").join(queries.select("query_id")).select("query_id", F.col("doc_id").alias("pos"), "source", "title", "content")
     pieces = similar(queries, docs.join(F.broadcast(few)).where("not fast"), embed, threshold, most)
     rows = direct.select("query_id", F.col("pos").cast("long").alias("pos"), "source", "title", "content").unionByName(pieces.select("query_id", F.col("rank").cast("long").alias("pos"), "source", "title", "content"))
     return formatted(rows, top_n=most, family=family)

@@ -2,7 +2,8 @@
 
 Chunks are (chunk_id, pos, content, embedding, ...), queries (query_id, query,
 embedding). ``pos`` is the input order: ties keep it. Only query terms' postings
-are shuffled; queries are few and their side is broadcast below its threshold.
+are shuffled. The stated queries' side carries no hint: Spark broadcasts it below
+its size threshold and pairs blocks of both sides beyond.
 """
 
 from __future__ import annotations
@@ -37,19 +38,19 @@ def bm25(queries: DataFrame, chunks: DataFrame, key: str = "chunk_id", text: str
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(T.words("query"))).alias("term"))
     words = chunks.select(key, T.words(text).alias("w")).select(key, F.size("w").alias("size"), F.explode("w").alias("term"))
-    tf = words.join(F.broadcast(terms.select("term").distinct()), "term").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
+    tf = words.join(terms.select("term").distinct(), "term").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     stats = corpus_stats(chunks, text)
-    weighted = tf.join(F.broadcast(df), "term").join(F.broadcast(stats))
+    weighted = tf.join(df, "term").join(F.broadcast(stats))  # stats is one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("avgdl")))
-    return weighted.withColumn("part", part).join(F.broadcast(terms), "term").groupBy("query_id", key).agg(F.sum("part").alias("bm25_score"))
+    return weighted.withColumn("part", part).join(terms, "term").groupBy("query_id", key).agg(F.sum("part").alias("bm25_score"))
 
 
 def vector_scores(queries: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     """(query_id, key, vector_score) for every pair; the stated queries stream past the chunks."""
     q = queries.select("query_id", F.col("embedding").alias("query_embedding"))
-    return chunks.select(key, "embedding").join(F.broadcast(q)).select("query_id", key, cosine("query_embedding", "embedding").alias("vector_score"))
+    return chunks.select(key, "embedding").join(q).select("query_id", key, cosine("query_embedding", "embedding").alias("vector_score"))
 
 
 def ranked(df: DataFrame, score: str, rank: str, by: str = "query_id", pos: str = "pos", most: int | None = None) -> DataFrame:
@@ -103,13 +104,13 @@ def by_text(vector_hits: DataFrame, index: DataFrame) -> DataFrame:
 def rerank(query: DataFrame, hits: DataFrame, top_k: int) -> DataFrame:
     """Hits (query_id, pos, embedding) by cosine with their query."""
     q = query.select("query_id", F.col("embedding").alias("query_embedding"))
-    scored = hits.drop("rerank_score").join(F.broadcast(q), "query_id").withColumn("rerank_score", cosine("query_embedding", "embedding")).drop("query_embedding")
+    scored = hits.drop("rerank_score").join(q, "query_id").withColumn("rerank_score", cosine("query_embedding", "embedding")).drop("query_embedding")
     return ranked(scored, "rerank_score", "rerank_rank", most=top_k)
 
 
 def rerank_by(query: DataFrame, hits: DataFrame, model, top_k: int) -> DataFrame:
     """As :func:`rerank` by an injected model of (query, content) columns."""
-    scored = hits.drop("rerank_score").join(F.broadcast(query.select("query_id", "query")), "query_id").withColumn("rerank_score", model(F.col("query"), F.col("content")))
+    scored = hits.drop("rerank_score").join(query.select("query_id", "query"), "query_id").withColumn("rerank_score", model(F.col("query"), F.col("content")))
     return ranked(scored, "rerank_score", "rerank_rank", most=top_k)
 
 
