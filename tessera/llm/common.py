@@ -170,11 +170,15 @@ def verified(sets: DataFrame, percent: int) -> Callable[[DataFrame], DataFrame]:
 def link_buckets(index: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Components (node, component) of sets that share a bucket and pass ``verify``.
 
-    ``index`` has (sig, node, n), n the set's size; ``verify`` takes distinct
-    pairs (a, b) and adds ``linked``. A bucket's members are verified against
-    one pivot, then, where it still holds more than one component, against
-    another, then each pair of different components: pairs inside a component
-    need no look, so a large group of copies costs a star and no square.
+    ``index`` has (sig, node, n, s): n is the set's size, s how many of its
+    tokens any other set has too, at most n. ``verify`` takes distinct pairs
+    (a, b) and adds ``linked``. Two sets are a pair only if their sizes fit and
+    either's s covers the intersection that both sizes ask for. A bucket's
+    members are verified against one pivot, the one with the largest share of
+    tokens in common with others, then, where it still holds more than one
+    component, against another, then each pair of different components: pairs
+    inside a component need no look, so a large group of copies costs a star
+    and no square.
     """
 
     def labelled(labels: DataFrame | None) -> DataFrame:
@@ -182,17 +186,18 @@ def link_buckets(index: DataFrame, verify: Callable[[DataFrame], DataFrame], per
             return index.withColumn("c", F.col("node"))
         return index.join(labels, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
 
-    fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("a") != F.col("b"))
+    fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & ((100 + percent) * F.least("s", "t") >= percent * (F.col("n") + F.col("m")))
     labels, tried = None, None
-    for step in ("min", "max", "rest"):
+    for step in ("centre", "least", "rest"):
         rows = labelled(labels)
-        best = F.min if step == "min" else F.max
-        stats = rows.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), best(F.struct("node", "n", "c")).alias("pivot")).where("lo < hi")
-        pivots = Table(stats.select("sig", F.col("pivot.node").alias("b"), F.col("pivot.n").alias("m"), F.col("pivot.c").alias("d")), "pivots")
+        order = F.expr("s * 1000000 div n") if step == "centre" else F.lit(0)
+        pivot = F.max(F.struct(order.alias("o"), (-F.col("node")).alias("first"), "node", "n", "s", "c"))
+        stats = rows.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), pivot.alias("p")).where("lo < hi")
+        pivots = Table(stats.select("sig", F.col("p.node").alias("b"), F.col("p.n").alias("m"), F.col("p.s").alias("t"), F.col("p.c").alias("d")), "pivots")
         if step == "rest":
             open_ = Table(rows.join(pivots.read().select("sig"), "sig", "left_semi"), "open")
-            x = open_.read().select("sig", F.col("node").alias("a"), "n", "c")
-            y = open_.read().select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
+            x = open_.read().select("sig", F.col("node").alias("a"), "n", "s", "c")
+            y = open_.read().select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("c").alias("d"))
             pairs = x.join(y, "sig").where("a > b and c <> d")
         else:
             pairs = rows.join(pivots.read(), "sig").where("c <> d").withColumnRenamed("node", "a")

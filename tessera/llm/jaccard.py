@@ -91,7 +91,7 @@ def _signature_rows(percent: int, frequent: int):
         import pyarrow as pa
 
         for b in batches:
-            sigs, nodes, sizes = [], [], []
+            sigs, nodes, sizes, common = [], [], [], []
             tokens = b.column("tokens")
             begins, flat = tokens.offsets.to_numpy(), tokens.values
             all_df, all_h = flat.field("df").to_numpy(), flat.field("h").to_numpy().view(np.uint64)
@@ -129,8 +129,9 @@ def _signature_rows(percent: int, frequent: int):
                 sigs.append(own_sigs)
                 nodes.append(np.full(len(own_sigs), node))
                 sizes.append(np.full(len(own_sigs), n))
+                common.append(np.full(len(own_sigs), len(h)))
             if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, nodes, sizes)], names=["sig", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, nodes, sizes, common)], names=["sig", "node", "n", "s"])
 
     return rows
 
@@ -178,7 +179,7 @@ def linked_sets(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     counts = Table(tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "counts")
     by_node = tokens.join(counts.read(), "h").groupBy("node").agg(F.first("n").alias("n"), F.collect_list(F.struct("df", "h")).alias("tokens"))  # of one set each
     by_node = by_node.where(f"size(tokens) >= (n * {int(percent)} + 99) div 100")
-    sigs = Table(by_node.mapInArrow(_signature_rows(percent, frequent), "sig long, node long, n long"), "signatures")
+    sigs = Table(by_node.mapInArrow(_signature_rows(percent, frequent), "sig long, node long, n long, s long"), "signatures")
     buckets = sigs.read().groupBy("sig").agg(F.count("*").alias("many")).where("many > 1")
     index = Table(sigs.read().join(Table(buckets.select("sig"), "buckets").read(), "sig"), "index")
 
