@@ -33,6 +33,18 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Parameter: rows of a batch of texts that a Python worker gets at a time.
+BATCH_ROWS = 1500
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after the session's Arrow batches are set to at most BATCH_ROWS rows: what a worker holds is bounded by that many texts."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 class Table:
     """A written DataFrame: lineage ends here, and a lost executor re-reads files."""
 

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import KEY, Table, drop_since, keyed, link_buckets, strata, verified
+from tessera.llm.common import KEY, Table, drop_since, keyed, link_buckets, small_batches, strata, verified
 from tessera.llm.hashing import Runs, mixed, word_hashes
 
 #: Production parameters: words of a shingle, least similarity in per cent, and in how many sets a token is frequent.
@@ -157,7 +157,7 @@ def linked_sets(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     takes its component's smallest. Repeated rows are copies like any others;
     other columns are ignored; an empty table gives no rows.
     """
-    docs, mark = keyed(docs), len(Table.live)
+    docs, mark = small_batches(keyed(docs)), len(Table.live)
     id_type = dict(docs.dtypes)["doc_id"]
     texts = docs.select(*KEY, "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     first = Table(texts.mapInArrow(_set_rows(shingle, percent), f"{KEY[0]} long, {KEY[1]} long, doc_id {id_type}, n long, d1 long, d2 long, prefix array<long>"), "sets")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import KEY, Table, prefix_sums
+from tessera.llm.common import KEY, Table, prefix_sums, small_batches
 from tessera.llm.tokens import WordEncoder
 
 #: Production parameters: tokens of a sequence, tokens of a round (64 sequences), the id that ends a document.
@@ -42,7 +42,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> Table:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array([len(i) // encoder.width for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "source", "n", "ids"])
 
     kinds = dict(docs.dtypes)
-    texts = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
+    texts = small_batches(docs).select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
     return Table(texts.mapInArrow(encode, f"doc_id {kinds['doc_id']}, source {kinds['source']}, n long, ids binary"), "ids")
 
 

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import KEY, Table, keyed
+from tessera.llm.common import KEY, Table, keyed, small_batches
 from tessera.llm.hashing import Runs, word_hashes
 
 #: Production parameters: words of an edge and of a minimizer; words of a long text that are handled at a time.
@@ -109,7 +109,7 @@ def repeated_edges(docs: DataFrame, k: int = K, short: int = SHORT) -> DataFrame
     ``docs`` is keyed and has a text. No run is missing and none is wrong;
     runs of one document may overlap by words but not by edges.
     """
-    texts = docs.select(*KEY, "text").where("text is not null")
+    texts = small_batches(docs).select(*KEY, "text").where("text is not null")
     longs = "_file long, _row long, begin long"
     stored = Table(texts.mapInArrow(_path_rows(k, short), f"{longs}, edges int, mini long, h1 long, h2 long"), "paths")
     twice = stored.read().groupBy("mini").agg(F.count("*").alias("n"), (F.min("h1") != F.max("h1")).alias("branches")).where("n > 1").drop("n")

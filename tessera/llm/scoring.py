@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Table
+from tessera.llm.common import Table, small_batches
 from tessera.llm.hashing import mixed, word_hashes
 
 #: Production parameters. Tokens: so many frequent words, classes of the other words by hash, and one that stands beyond a text's ends.
@@ -24,6 +24,8 @@ FREQUENT, CLASSES = 127, 64
 SIZE = FREQUENT + CLASSES + 1
 #: Neighbours on each side, hidden units, training rounds, one document in FRACTION trains, tasks of a round, windows of a step, step length.
 SIDE, HIDDEN, ROUNDS, FRACTION, TASKS, BATCH, STEP = 2, 16, 2, 32, 24, 2048, 0.5
+#: Words whose counts a task adds up before it passes them on.
+COUNTED = 4_000_000
 #: Cells of the table of word counts that shares out a class among its words.
 CELLS = 1 << 16
 
@@ -119,11 +121,18 @@ def windows(ids: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 def _counted(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
+    def counted(groups: list[np.ndarray]) -> pa.RecordBatch:
+        words, counts = np.unique(np.concatenate(groups), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], names=["word", "n"])
+
+    held: list[np.ndarray] = []
     for b in batches:
-        groups = [h for _, _, h, _ in word_hashes(b.column("text").cast(pa.binary()).to_pylist(), lower=True)]
-        if groups:
-            words, counts = np.unique(np.concatenate(groups), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], names=["word", "n"])
+        held += [h for _, _, h, _ in word_hashes(b.column("text").cast(pa.binary()).to_pylist(), lower=True)]
+        if sum(map(len, held)) >= COUNTED:
+            yield counted(held)
+            held = []
+    if held:
+        yield counted(held)
 
 
 def _cells(batches: Iterator) -> Iterator:
@@ -138,7 +147,7 @@ def _cells(batches: Iterator) -> Iterator:
 
 def vocabulary(docs: DataFrame) -> Vocabulary:
     """From the counts of all words of ``docs``; the driver gets FREQUENT words and at most CELLS sums."""
-    counts = Table(docs.select("text").where("text is not null").mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    counts = Table(small_batches(docs).select("text").where("text is not null").mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     top = [r["word"] for r in counts.read().orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
     others = counts.read().where(~F.col("word").isin(top)) if top else counts.read()
     cells = np.zeros(CELLS, np.int64)
@@ -149,7 +158,7 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
 
 def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, fraction: int = FRACTION) -> Network:
     """The network after ``rounds`` rounds over one in ``fraction`` of the texts, chosen by their hash."""
-    chosen = docs.select("text").where(f"text is not null and pmod(xxhash64(text), {int(fraction)}) = 0").repartition(TASKS)
+    chosen = small_batches(docs).select("text").where(f"text is not null and pmod(xxhash64(text), {int(fraction)}) = 0").repartition(TASKS)
     chosen = Table(chosen, "training").read()
     network = Network()
     for turn in range(rounds):
@@ -205,4 +214,4 @@ def score(docs: DataFrame, vocabulary_: Vocabulary | None = None, network: Netwo
                 mean = pa.array([t / k if k else None for t, k in zip(total.tolist(), n.tolist(), strict=True)], pa.float64())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(first, last - first), pa.array(n), pa.array(total), mean], names=["doc_id", "n_tokens", "log_likelihood", "mean"])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(rows, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, log_likelihood double, mean double")
+    return small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(rows, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, log_likelihood double, mean double")

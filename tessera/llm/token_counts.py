@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACES, cut, shared_dir
+from tessera.llm.common import SPACES, cut, shared_dir, small_batches
 from tessera.llm.tokens import WordEncoder, version_digest
 
 SCHEMA = "digest binary, n_tokens long"
@@ -29,7 +29,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     empty table gives no rows; repeated rows count each; other columns are
     ignored.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     cache = cache or f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"
     version = version_digest(tokenizer)
     text = F.coalesce("text", F.lit(""))
