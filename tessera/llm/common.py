@@ -71,8 +71,8 @@ class Table:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def drop_since(mark: int, keep: Table) -> None:
-    """Drops the tables made since there were ``mark``, but for the one that holds the result."""
+def drop_since(mark: int, keep: Table | None = None) -> None:
+    """Drops the tables made since there were ``mark``, but for the one that holds the result; drop_since(0) drops all, when no result is read any more."""
     for table in Table.live[mark:]:
         if table is not keep:
             table.drop()

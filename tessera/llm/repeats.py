@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import KEY, Table, keyed, small_batches
+from tessera.llm.common import KEY, Table, drop_since, keyed, small_batches
 from tessera.llm.hashing import Runs, word_hashes
 
 #: Production parameters: words of an edge and of a minimizer; words of a long text that are handled at a time.
@@ -163,9 +163,10 @@ def remove_repeats(docs: DataFrame, k: int = K, short: int = SHORT) -> DataFrame
     columns are ignored; an empty table gives no rows. Texts are whole, however
     long: pieces of a long one overlap by k - 1 words.
     """
-    docs = keyed(docs)
-    found = spans(docs, k, short)
-    rows = docs.select(*KEY, "doc_id", F.coalesce("text", F.lit("")).alias("text")).join(found, KEY, "left").select("doc_id", "text", "spans")
+    docs, mark = keyed(docs), len(Table.live)
+    found = Table(spans(docs, k, short), "spans")
+    drop_since(mark, keep=found)
+    rows = docs.select(*KEY, "doc_id", F.coalesce("text", F.lit("")).alias("text")).join(found.read(), KEY, "left").select("doc_id", "text", "spans")
     return rows.mapInArrow(*_kept(k, dict(docs.dtypes)["doc_id"]))
 
 

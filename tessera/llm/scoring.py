@@ -153,13 +153,15 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     cells = np.zeros(CELLS, np.int64)
     for r in others.mapInArrow(_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         cells[r["cell"]] = r["n"]
+    counts.drop()
     return Vocabulary(top, cells)
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, fraction: int = FRACTION) -> Network:
     """The network after ``rounds`` rounds over one in ``fraction`` of the texts, chosen by their hash."""
     chosen = small_batches(docs).select("text").where(f"text is not null and pmod(xxhash64(text), {int(fraction)}) = 0").repartition(TASKS)
-    chosen = Table(chosen, "training").read()
+    sample = Table(chosen, "training")
+    chosen = sample.read()
     network = Network()
     for turn in range(rounds):
         start, rate = network.weights, STEP / (1 + turn)
@@ -184,6 +186,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, fractio
             flat = sum(np.frombuffer(p["weights"], np.float32).astype(np.float64) * (p["n"] / total) for p in parts).astype(np.float32)
             cuts = np.cumsum([w.size for w in start])[:-1]
             network = Network([x.reshape(w.shape).copy() for x, w in zip(np.split(flat, cuts), start, strict=True)])
+    sample.drop()
     return network
 
 
