@@ -188,9 +188,9 @@ def link_buckets(index: DataFrame, verify: Callable[[DataFrame], DataFrame], per
     either's s covers the intersection that both sizes ask for. A bucket's
     members are verified against one pivot, the one with the largest share of
     tokens in common with others, then, where it still holds more than one
-    component, against another, then each pair of different components: pairs
-    inside a component need no look, so a large group of copies costs a star
-    and no square.
+    component, against two others, then each pair of different components:
+    pairs inside a component need no look, so a large group of copies costs a
+    star and no square.
     """
 
     def labelled(labels: DataFrame | None) -> DataFrame:
@@ -200,19 +200,13 @@ def link_buckets(index: DataFrame, verify: Callable[[DataFrame], DataFrame], per
 
     fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & ((100 + percent) * F.least("s", "t") >= percent * (F.col("n") + F.col("m")))
     labels, tried = None, None
-    for step in ("centre", "least", "rest"):
+    for step in ("centre", "least", "mixed", "rest"):
         rows = labelled(labels)
-        order = F.expr("s * 1000000 div n") if step == "centre" else F.lit(0)
+        order = F.expr({"centre": "s * 1000000 div n", "least": "0", "mixed": "xxhash64(sig, node)", "rest": "0"}[step])
         pivot = F.max(F.struct(order.alias("o"), (-F.col("node")).alias("first"), "node", "n", "s", "c"))
         stats = rows.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), pivot.alias("p")).where("lo < hi")
         pivots = Table(stats.select("sig", F.col("p.node").alias("b"), F.col("p.n").alias("m"), F.col("p.s").alias("t"), F.col("p.c").alias("d")), "pivots")
-        if step == "rest":
-            open_ = Table(rows.join(pivots.read().select("sig"), "sig", "left_semi"), "open")
-            x = open_.read().select("sig", F.col("node").alias("a"), "n", "s", "c")
-            y = open_.read().select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("c").alias("d"))
-            pairs = x.join(y, "sig").where("a > b and c <> d")
-        else:
-            pairs = rows.join(pivots.read(), "sig").where("c <> d").withColumnRenamed("node", "a")
+        pairs = _across(rows, pivots.read().select("sig")) if step == "rest" else rows.join(pivots.read(), "sig").where("c <> d").withColumnRenamed("node", "a")
         pairs = pairs.where(fits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
@@ -220,3 +214,20 @@ def link_buckets(index: DataFrame, verify: Callable[[DataFrame], DataFrame], per
         tried = checked if tried is None else tried.unionByName(checked)
         labels = components(tried.where("linked").select("a", "b"))
     return labels
+
+
+def _across(rows: DataFrame, open_sigs: DataFrame) -> DataFrame:
+    """Pairs of sets in different components that share an open bucket, in columns a, n, s and b, m, t.
+
+    A set meets the larger component as a whole, not its members bucket by
+    bucket: members of one component are alike, and a pair would come from
+    most of the buckets that both are in.
+    """
+    nodes = Table(rows.select("node", "n", "s", "c").distinct(), "nodes-of")
+    sizes = Table(nodes.read().groupBy("c").agg(F.count("*").alias("size")), "sizes")
+    open_ = Table(rows.join(open_sigs, "sig", "left_semi").join(sizes.read(), "c"), "open")
+    there = Table(open_.read().select("sig", F.col("c").alias("d"), F.col("size").alias("other")).distinct(), "there")
+    meets = open_.read().join(there.read(), "sig").where("struct(size, c) < struct(other, d)").select(F.col("node").alias("a"), "n", "s", "d").distinct()
+    meets = Table(meets, "meets")
+    members = nodes.read().select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("c").alias("d"))
+    return meets.read().join(members, "d")
