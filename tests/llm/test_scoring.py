@@ -44,3 +44,31 @@ def test_real_order_scores_above_shuffled(spark):
     means = [r["mean"] for r in sorted(scoring.score(rows, vocabulary, network).collect())]
     assert np.mean(means[:20]) > np.mean(means[20:]) + 0.3
     assert sum(a > b for a, b in zip(means[:20], means[20:], strict=True)) >= 19
+
+
+def test_default_trains_on_every_document(spark):
+    """Small tables of any texts are learnt from, and their weights are those of a pass over all of them."""
+    for n in (1, 3, 20):
+        docs = spark.createDataFrame([(i, f"red fox {i} sees the blue owl " * 6, "en", "s", 0) for i in range(n)], SCHEMA)
+        vocabulary = scoring.vocabulary(docs)
+        network = scoring.train(docs, vocabulary)
+        assert not np.allclose(network.second, scoring.Network().second)
+        untrained = [r["mean"] for r in scoring.score(docs, vocabulary, scoring.Network()).collect()]
+        assert np.mean([r["mean"] for r in scoring.score(docs).collect()]) > np.mean(untrained) + 0.5
+    texts = [f"word{i} stands by thing{i} and the other" for i in range(5)]
+    table = lambda t: spark.createDataFrame([(i, x, "en", "s", 0) for i, x in enumerate(t)], SCHEMA)
+    vocabulary = scoring.vocabulary(table(texts))
+    whole = scoring.train(table(texts), vocabulary, rounds=1)
+    for i in range(5):
+        other = scoring.train(table([*texts[:i], "quite another text", *texts[i + 1 :]]), vocabulary, rounds=1)
+        assert not np.array_equal(whole.second, other.second)
+
+
+def test_vocabulary_grows(spark):
+    assert scoring.sizes(1000) == (scoring.FREQUENT, scoring.CELLS)
+    small, large = scoring.sizes(80_000_000), scoring.sizes(5_000_000_000)
+    assert scoring.FREQUENT < small[0] < large[0] and small[1] < large[1]
+    words_ = np.arange(300, dtype=np.int64) * 7919
+    vocabulary = scoring.Vocabulary(words_.tolist(), np.ones(scoring.CELLS, np.int64))
+    ids, _ = vocabulary.tokens(words_.view(np.uint64))
+    assert len(set(ids.tolist())) == 300 and ids.max() == vocabulary.size - 1 and scoring.SIZE - 1 not in ids
