@@ -1,7 +1,9 @@
 """Operator 2: SpotSigs fingerprints (Theobald et al. 2008).
 
 A signature is a common word, the anchor, with the chain of content words that
-follow it. A text's fingerprint is its set of signatures. Likeness is the
+follow it; in stretches without anchors, neighbouring words are signatures too.
+Each depends on a few words only, so that an edit changes those of its place. A
+text's fingerprint is its set of signatures. Likeness is the
 Jaccard measure of two sets. Near duplicates among all texts are found in
 partitions by set length: sets whose lengths differ too much are never compared,
 as the ratio of lengths bounds the measure, and only sets that share one of
@@ -24,24 +26,25 @@ el y los las del por con no su para es al lo como mas pero sus
 der die und den von zu das sich mit auf nicht ist im dem ein eine als auch
 """.split()
 
-#: Content words in a chain; a text of fewer signatures is described by all its neighbouring words too.
-CHAIN, FEW = 2, 5
+#: Content words in a chain, and words after an anchor from which on neighbouring words are signatures, up to the next anchor.
+CHAIN = 2
 
 
 def signatures(text: Column) -> Column:
     """The sorted distinct signatures (32 bits each) of a text: array<bigint>, empty for a text without words or signs."""
     common = ", ".join(f"'{w}'" for w in dict.fromkeys(ANCHORS))
-    chain = ", ".join(f"c[s.i - j + {k}]" for k in range(CHAIN))
+    chain = ", ".join(f"coalesce(get(c, s.i - j + {k}), '')" for k in range(CHAIN))
     rule = rf"""
     transform(array(filter(split(lower(_text_), '[^\\p{{L}}\\p{{N}}]+'), x -> x <> '')), w ->
       transform(array(filter(w, x -> x not in ({common}))), c ->
-        transform(array(array_distinct(filter(
-            transform(filter(transform(w, (x, i) -> named_struct('x', x, 'i', i)), s -> s.x in ({common})),
-              (s, j) -> if(s.i - j + {CHAIN} <= size(c), xxhash64(s.x, {chain}) & 4294967295L, -1L)),
-            h -> h >= 0))), g ->
-          array_sort(if(size(g) >= {FEW}, g,
-            array_union(g, if(size(w) > 0, transform(w, (x, i) -> xxhash64(x, if(i + 1 < size(w), w[i + 1], '')) & 4294967295L),
-              if(_text_ = '', cast(array() as array<bigint>), array(xxhash64(_text_) & 4294967295L)))))))[0])[0])[0]
+        transform(array(filter(transform(w, (x, i) -> named_struct('x', x, 'i', i)), s -> s.x in ({common}))), a ->
+          transform(array(concat(array(-{CHAIN}), transform(a, s -> s.i + 1), array(size(w) + 1))), p ->
+            array_sort(array_distinct(concat(
+              transform(a, (s, j) -> xxhash64(s.x, {chain}) & 4294967295L),
+              flatten(transform(slice(p, 1, size(p) - 1), (first, j) ->
+                transform(slice(w, first + {CHAIN} + 1, greatest(0, p[j + 1] - 1 - first - {CHAIN})),
+                  (x, i) -> xxhash64(x, coalesce(get(w, first + {CHAIN} + i + 1), '')) & 4294967295L))),
+              if(size(w) > 0 or _text_ = '', cast(array() as array<bigint>), array(xxhash64(_text_) & 4294967295L))))))[0])[0])[0])[0]
     """
     return F.expr(rule.replace("_text_", text if isinstance(text, str) else text._jc.toString()))
 

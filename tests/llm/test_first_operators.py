@@ -169,6 +169,30 @@ def test_fingerprints(spark):
     assert fingerprints.fingerprint(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_signatures_are_whole_and_continuous(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    sets = lambda texts: [set(r.s) for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").orderBy("i").select(fingerprints.signatures(F.col("text")).alias("s")).collect()]
+    rng = random.Random(6)
+    for n_anchors in range(3, 12):
+        w = [f"w{rng.randrange(9999)}" for _ in range(560)]
+        for i in rng.sample(range(540), n_anchors):
+            w[i] = "the"
+        whole, edited = sets([" ".join(w), " ".join(w[:420] + [f"z{i}" for i in range(140)])])
+        assert len(whole) > 400
+        assert 0.55 < len(whole & edited) / len(whole | edited) < 0.65, n_anchors
+    w = [rng.choice(["the", "of", *(f"w{k}" for k in range(50))]) for _ in range(70)]
+    anchors = [i for i, x in enumerate(w) if x in ("the", "of")]
+    content = lambda i: ([x for x in w[i + 1 :] if x not in ("the", "of")] + ["", ""])[:2]
+    want = {(w[i], *content(i)) for i in anchors} | {(w[i], (w + [""])[i + 1]) for i in range(70) if not {"the", "of"} & set(w[max(0, i - 2) : i + 1])}
+    got, anchors_only, signs, empty = sets([" ".join(w), "the of", "###", ""])
+    assert len(got) == len(want) and anchors_only and len(signs) == 1 and not empty
+    literal = [(F.xxhash64(*[F.lit(x) for x in k]).bitwiseAND(F.lit(4294967295))) for k in want]
+    assert got == set(spark.range(1).select(F.array(*literal).alias("s")).first().s)
+
+
 def test_near_classes(spark):
     import random
 
