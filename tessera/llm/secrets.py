@@ -30,7 +30,7 @@ MARK = "[SECRET]"
 #: Parameters: the labelled findings the forest is trained from (a bound on its training), its trees and their depth, the least probability.
 LABELLED, TREES, DEPTH, SEED, LEAST = 6000, 20, 7, 3, 0.5
 
-FEATURES = ["length", "transitions", "digits", "capitals", "distinct", "hexadecimal", "consonants", "coverage", "slashes", "path", "extension", "secret_words", "other_words", "sample_words", "assigned", "quoted"]
+FEATURES = ["length", "transitions", "digits", "capitals", "distinct", "hexadecimal", "consonants", "coverage", "slashes", "path", "extension", "secret_words", "other_words", "sample_words", "assigned", "quoted", "continues", "prefix"]
 
 
 def features(found: DataFrame) -> DataFrame:
@@ -55,6 +55,8 @@ def features(found: DataFrame) -> DataFrame:
         "sample_words": near.rlike(f"({SAMPLE_WORDS})").cast("int"),
         "assigned": before.rlike(r"[:=]\s{0,2}[\"'`]?$|(?i)bearer $").cast("int"),
         "quoted": before.rlike("[\"'`]$").cast("int"),
+        "continues": before.rlike(r"PRIVATE KEY-----\s+$|[A-Za-z0-9+/]{32,}\r?\n$|[A-Za-z0-9_\-]{16,}\.$").cast("int"),
+        "prefix": c.rlike("^(gh[pousr]_|glpat-|AKIA|sk[-_]|xox[abp]-|eyJ)").cast("int"),
     }
     return found.withColumns({k: v.cast("double") for k, v in columns.items()})
 
@@ -71,13 +73,17 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED, seed: int = SEE
     digits = F.substring(F.regexp_replace(text("d"), "[a-f]", ""), F.lit(1), number("dl", 16, 20))
     uuid = F.concat_ws("-", *[F.substring(text("i"), a, b) for a, b in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     lead = pick("x", "The page said ", "and then ", "in of the ", "x = 1\n", "", "on river ")
-    key = pick("k", "token", "api_key", "secret", "password", "access key", "auth_token", "client_secret", "TOKEN", "private_key", "Bearer")
+    key = pick("k", "token", "api_key", "secret", "password", "access key", "auth_token", "client_secret", "TOKEN", "private_key", "Bearer", "AWS_SECRET_ACCESS_KEY", "GITHUB_PERSONAL_TOKEN", "google_client_secret")
     sign = pick("s", ' = "', '="', ": ", "=", " = '", ': "', " ")
     other = pick("o", "commit ", "sha256:", "md5 ", "checksum = ", "uuid: ", "revision ", "etag: ", "build=", "order ", "id=", "call ", "", "", "")
     path = pick("p", "https://site.org/", "/usr/lib/", "see www.", "src/main/", "./data/", "img/")
+    line = F.substring(F.base64(F.unhex(text("p"))), F.lit(1), F.lit(64))
+    form = number("f", 0, 5)  # of the fifth kind: parts of a JWT, lines of a PEM block, bare prefixes, others
     kind = F.abs(F.xxhash64(F.lit(seed), "n")) % 10
-    candidate = F.when(kind < 3, hexa).when(kind < 5, mixed).when(kind == 5, hexa).when(kind == 6, words).when(kind == 7, F.when(number("g", 0, 1) == 0, digits).otherwise(uuid)).when(kind == 8, F.concat(words, F.substring(mixed, 1, 8))).otherwise(F.concat(pick("e", "your_api_key_here_", "example_token_value_", "xxxxxxxxxxxxxxxx", "dummy-secret-key-"), number("en", 1, 99)))
-    before = F.when((kind < 5) | (kind == 9), F.concat(lead, key, sign)).when(kind == 8, F.concat(lead, path)).when(kind == 5, F.concat(lead, pick("o5", "commit ", "sha256:", "md5 ", "checksum = ", "revision ", "etag: ", "digest: "))).otherwise(F.concat(lead, other))
+    candidate = F.when(kind < 3, hexa).when((kind == 4) & (form == 2), line).when((kind == 4) & (form == 3), F.concat(pick("bp", "ghp_", "glpat-", "AKIA", "sk_live_", "xoxb-"), mixed)).when(kind < 5, mixed).when(kind == 5, hexa).when(kind == 6, words).when(kind == 7, F.when(number("g", 0, 1) == 0, digits).otherwise(uuid)).when(kind == 8, F.concat(words, F.substring(mixed, 1, 8))).otherwise(F.concat(pick("e", "your_api_key_here_", "example_token_value_", "xxxxxxxxxxxxxxxx", "dummy-secret-key-"), number("en", 1, 99)))
+    jwt = F.when(number("j", 0, 1) == 0, "Bearer eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.").otherwise(F.concat(F.substring(line, 1, 48), F.lit(".")))
+    pem = F.when(number("j", 0, 3) == 0, "-----BEGIN RSA PRIVATE KEY-----\n").otherwise(F.concat(F.substring(F.base64(F.unhex(text("q"))), 1, 64), F.lit("\n")))
+    before = F.when((kind == 4) & (form == 1), jwt).when((kind == 4) & (form == 2), pem).when((kind == 4) & (form == 3), lead).when((kind < 5) | (kind == 9), F.concat(lead, key, sign)).when(kind == 8, F.concat(lead, path)).when(kind == 5, F.concat(lead, pick("o5", "commit ", "sha256:", "md5 ", "checksum = ", "revision ", "etag: ", "digest: "))).otherwise(F.concat(lead, other))
     after = F.when(before.rlike("[\"']$"), F.right(before, F.lit(1))).when(kind == 8, pick("a", ".html", ".py", "/", ".png", " ")).otherwise(pick("t", " ", "\n", "", " of"))
     rows_ = spark.range(rows).select(F.col("id").alias("n")).coalesce(4)
     return rows_.select("n", candidate.alias("candidate"), F.right(before, F.lit(BESIDE)).alias("before"), after.alias("after"), (kind < 5).cast("double").alias("label"))
@@ -93,7 +99,10 @@ def train(labelled: DataFrame) -> PipelineModel:
 def candidates(docs: DataFrame) -> DataFrame:
     """A row for each candidate of keyed ``docs``: key, doc_id, its number, start (code points), itself and what stands beside it."""
     rows = docs.where(F.col("text").rlike(CANDIDATE)).select(*KEY, "doc_id", F.regexp_extract_all("text", F.lit(CANDIDATE), 0).alias("hits"), F.split("text", CANDIDATE).alias("between"))
-    each = rows.select(*KEY, "doc_id", F.posexplode(F.expr(f"transform(hits, (x, i) -> named_struct('candidate', x, 'gap', length(between[i]), 'before', right(between[i], {BESIDE}), 'after', left(between[i + 1], {BESIDE})))")).alias("number", "h")).select(*KEY, "doc_id", "number", "h.*")
+    # The text before a candidate, earlier candidates included: three of them fill BESIDE.
+    pieces = [f"right(coalesce(get({c}, i - {k}), ''), {BESIDE})" for k in (3, 2, 1) for c in ("between", "hits")]
+    before = f"right(concat({', '.join([*pieces, f'right(between[i], {BESIDE})'])}), {BESIDE})"
+    each = rows.select(*KEY, "doc_id", F.posexplode(F.expr(f"transform(hits, (x, i) -> named_struct('candidate', x, 'gap', length(between[i]), 'before', {before}, 'after', left(between[i + 1], {BESIDE})))")).alias("number", "h")).select(*KEY, "doc_id", "number", "h.*")
     earlier = Window.partitionBy(*KEY).orderBy("number")  # of one document each
     start = F.sum("gap").over(earlier) + F.coalesce(F.sum(F.length("candidate")).over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return each.withColumn("start", start.cast("long")).where(F.col("candidate").rlike("[0-9]")).drop("gap")

@@ -41,3 +41,14 @@ def test_findings_and_redaction(spark, model):
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got)
     empty = spark.createDataFrame([], SCHEMA)
     assert secrets.scan(empty, model).count() == 0 and secrets.redact(empty, model).count() == 0
+
+
+def test_window_holds_earlier_candidates(spark, model):
+    key = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"
+    heads = ["AWS_SECRET_ACCESS_KEY=", "GITHUB_PERSONAL_TOKEN=", "google_client_secret: ", "a_long_identifier_of_mine/another-long-identifier x_secret_token_of_this = "]
+    rows = spark.createDataFrame([(i, h + key) for i, h in enumerate(heads)], "doc_id long, text string")
+    from tessera.llm.common import keyed
+
+    found = secrets.candidates(keyed(rows)).where(f"candidate = '{key}'").collect()
+    assert {r.doc_id: r.before for r in found} == {i: h[-secrets.BESIDE :] for i, h in enumerate(heads)}
+    assert {r.doc_id for r in secrets.scan(rows, model).where("is_secret").collect() if r.candidate == key} >= {0, 1, 2}
