@@ -179,35 +179,51 @@ def verified(sets: DataFrame, percent: int) -> Callable[[DataFrame], DataFrame]:
     return verify
 
 
+def reach(n: str, overlap: str, percent: int) -> tuple[Column, Column]:
+    """Least and most tokens of a partner: its size must fit a set's ``n``, and both sizes may ask for ``overlap`` common tokens at most."""
+    most = F.least(F.expr(f"{n} * 100 div {percent}"), F.expr(f"{overlap} * {100 + percent} div {percent} - {n}"))
+    return F.expr(f"({n} * {percent} + 99) div 100"), most
+
+
 def link_buckets(index: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Components (node, component) of sets that share a bucket and pass ``verify``.
 
-    ``index`` has (sig, node, n, s): n is the set's size, s how many of its
-    tokens any other set has too, at most n. ``verify`` takes distinct pairs
-    (a, b) and adds ``linked``. Two sets are a pair only if their sizes fit and
-    either's s covers the intersection that both sizes ask for. A bucket's
-    members are verified against one pivot, the one with the largest share of
-    tokens in common with others, then, where it still holds more than one
-    component, against two others, then each pair of different components:
-    pairs inside a component need no look, so a large group of copies costs a
-    star and no square.
+    ``index`` has (sig, node, n, q): n is the set's size, q how many tokens it
+    can share with a set whose first common bucket is this one. ``verify``
+    takes distinct pairs (a, b) and adds ``linked``.
+
+    Sizes and q give each row the sizes of partners it can have here (see
+    :func:`reach`); rows that no other row of their bucket can meet are left
+    out before anything is paired. A bucket's members are verified against two
+    pivots, first the one whose q covers most of it, so a large group of copies
+    costs a star and no square. Where a bucket still holds more than one
+    component, its rows meet the other components as a whole, by the sizes that
+    these offer and accept there, and only then their members.
     """
+    low, high = reach("n", "q", percent)
+    rows = Table(index.select("sig", "node", "n", low.alias("low"), high.alias("high"), (F.col("q") * 1_000_000).alias("q")).where("low <= high"), "reach")
+    sizes = rows.read().groupBy("sig").agg(F.count("*").alias("many"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("low").alias("lowest"), F.max("high").alias("highest")).where("many > 1")
+    met = rows.read().join(Table(sizes, "sizes").read(), "sig").where("least <= high and most >= low and lowest <= n and highest >= n")
+    index = Table(met.select("sig", "node", "n", "low", "high", F.expr("q div n").alias("share")), "index").read()
+    rows.drop()
 
     def labelled(labels: DataFrame | None) -> DataFrame:
         if labels is None:
             return index.withColumn("c", F.col("node"))
         return index.join(labels, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
 
-    fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & ((100 + percent) * F.least("s", "t") >= percent * (F.col("n") + F.col("m")))
+    fits = F.expr("o.n between r.low and r.high and r.n between o.low and o.high")
     labels, tried = None, None
-    for step in ("centre", "least", "mixed", "rest"):
+    for step in ("centre", "mixed", "rest"):
         rows = labelled(labels)
-        order = F.expr({"centre": "s * 1000000 div n", "least": "0", "mixed": "xxhash64(sig, node)", "rest": "0"}[step])
-        pivot = F.max(F.struct(order.alias("o"), (-F.col("node")).alias("first"), "node", "n", "s", "c"))
-        stats = rows.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), pivot.alias("p")).where("lo < hi")
-        pivots = Table(stats.select("sig", F.col("p.node").alias("b"), F.col("p.n").alias("m"), F.col("p.s").alias("t"), F.col("p.c").alias("d")), "pivots")
-        pairs = _across(rows, pivots.read().select("sig")) if step == "rest" else rows.join(pivots.read(), "sig").where("c <> d").withColumnRenamed("node", "a")
-        pairs = pairs.where(fits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        order = F.xxhash64("sig", "node") if step == "mixed" else F.col("share")
+        pivot = F.max(F.struct(order.alias("o"), (-F.col("node")).alias("first"), "node", "n", "low", "high", "c"))
+        pivots = Table(rows.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), pivot.alias("p")).where("lo < hi").select("sig", "p.node", "p.n", "p.low", "p.high", "p.c"), "pivots")
+        if step == "rest":
+            pairs = _across(rows, pivots.read().select("sig"), fits)
+        else:
+            pairs = rows.alias("r").join(pivots.read().alias("o"), (F.col("r.sig") == F.col("o.sig")) & (F.col("r.c") != F.col("o.c")) & fits)
+        pairs = pairs.select(F.greatest("r.node", "o.node").alias("a"), F.least("r.node", "o.node").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         checked = Table(verify(pairs), "pairs").read()
@@ -216,18 +232,18 @@ def link_buckets(index: DataFrame, verify: Callable[[DataFrame], DataFrame], per
     return labels
 
 
-def _across(rows: DataFrame, open_sigs: DataFrame) -> DataFrame:
-    """Pairs of sets in different components that share an open bucket, in columns a, n, s and b, m, t.
+def _across(rows: DataFrame, open_sigs: DataFrame, fits: Column) -> DataFrame:
+    """Pairs of rows r and o in different components that share an open bucket and fit.
 
-    A set meets the larger component as a whole, not its members bucket by
-    bucket: members of one component are alike, and a pair would come from
-    most of the buckets that both are in.
+    A row first meets a component by the sizes that its members in the bucket
+    have and accept together, one row for each component there; what no member
+    can fit ends here, and only what is left meets the members.
     """
-    nodes = Table(rows.select("node", "n", "s", "c").distinct(), "nodes-of")
-    sizes = Table(nodes.read().groupBy("c").agg(F.count("*").alias("size")), "sizes")
-    open_ = Table(rows.join(open_sigs, "sig", "left_semi").join(sizes.read(), "c"), "open")
-    there = Table(open_.read().select("sig", F.col("c").alias("d"), F.col("size").alias("other")).distinct(), "there")
-    meets = open_.read().join(there.read(), "sig").where("struct(size, c) < struct(other, d)").select(F.col("node").alias("a"), "n", "s", "d").distinct()
-    meets = Table(meets, "meets")
-    members = nodes.read().select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("c").alias("d"))
-    return meets.read().join(members, "d")
+    open_ = Table(rows.join(open_sigs, "sig", "left_semi"), "open")
+    there = open_.read().groupBy("sig", "c").agg(F.count("*").alias("many"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("low").alias("lowest"), F.max("high").alias("highest"))
+    there = Table(there, "there")
+    own = open_.read().join(there.read().select("sig", "c", F.col("many").alias("own")), ["sig", "c"]).alias("r")
+    other = F.expr("o.least <= r.high and o.most >= r.low and o.lowest <= r.n and o.highest >= r.n and (r.own < o.many or (r.own = o.many and r.c < o.c))")
+    meets = own.join(there.read().alias("o"), (F.col("r.sig") == F.col("o.sig")) & other).select("r.*", F.col("o.c").alias("d"))
+    meets = Table(meets, "meets").read().alias("r")
+    return meets.join(open_.read().alias("o"), (F.col("r.sig") == F.col("o.sig")) & (F.col("r.d") == F.col("o.c")) & fits)

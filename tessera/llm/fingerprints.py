@@ -123,10 +123,8 @@ def near_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
     bounds = ", ".join(map(str, strata(percent, most)))
     first = F.expr(f"slice(sigs, 1, cast(n - (n * {int(percent)} + 99) div 100 + 1 as int))")
     parts = F.expr(f"transform(array(size(filter(array({bounds}), b -> b <= n))), s -> array(s, s + 1))[0]")
-    index = sets.read().select("node", "n", F.explode(first).alias("sig"), parts.alias("parts")).select("node", "n", "sig", F.explode("parts").alias("part"))
-    index = index.select(F.xxhash64("part", "sig").alias("sig"), "node", "n", F.col("n").alias("s"))
-    shared = Table(index.groupBy("sig").agg(F.count("*").alias("many")).where("many > 1").select("sig"), "shared")
-    index = Table(index.join(shared.read(), "sig"), "index").read()
+    index = sets.read().select("node", "n", F.posexplode(first).alias("place", "sig"), parts.alias("parts")).select("node", "n", "place", "sig", F.explode("parts").alias("part"))
+    index = index.select(F.xxhash64("part", "sig").alias("sig"), "node", "n", (F.col("n") - F.col("place")).alias("q"))
 
     labels = link_buckets(index, verified(sets.read().select("node", F.col("sigs").alias("tokens")), percent), percent)
     named = Table(sets.read().join(labels, "node", "left").select("digest", "least", F.coalesce("component", "node").alias("class")), "classes")

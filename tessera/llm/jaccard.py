@@ -18,7 +18,11 @@ than a tenth of shared tokens in it has no partner. Only the sets that are left
 are counted whole, and of these only the ones that share all but m tokens with
 others are indexed.
 
-What shares a signature is linked by :func:`tessera.llm.common.link_buckets`.
+Each signature carries how many tokens the set can still share when it is the
+first one in common: the tokens from its place on, and one of each class before
+it. Where that is too few for any partner the signature is left out; for the
+others it bounds the partner's size, so that sets of one large group which
+differ too much are never paired. What shares a signature is linked by :func:`tessera.llm.common.link_buckets`.
 """
 
 from __future__ import annotations
@@ -102,7 +106,7 @@ def _signature_rows(percent: int, frequent: int):
                 alone, needed, often = n - len(h), most_missing(n, percent) + 1, df > frequent
                 least = strata(percent, n)
                 own = bisect.bisect_right(least, n) - 1
-                made: list[np.ndarray] = []
+                made: list[tuple[np.ndarray, np.ndarray]] = []
                 for scheme in (own, own + 1):
                     classes = least[scheme - 1] // 10 if scheme else 0
                     counts, single = np.ones(len(h), np.int64), ~often if classes else np.ones(len(h), bool)
@@ -111,27 +115,34 @@ def _signature_rows(percent: int, frequent: int):
                         _, begin = np.unique(group[often], return_index=True)
                         counts[np.flatnonzero(often)[begin]] = 0
                     stop = int(np.searchsorted(np.cumsum(counts), needed - alone)) + 1
+                    # no earlier token is common if this one makes the first common signature, but for one of each class that came before
+                    most = np.arange(len(h), 0, -1) + np.r_[0, np.cumsum(1 - counts)[:-1]]
                     inside = np.arange(len(h)) < stop
-                    made.append(mixed(h[inside & single], 21))
+                    made.append((mixed(h[inside & single], 21), most[inside & single]))
                     chosen = inside & ~single
                     if chosen.any():
-                        x, g = mixed(h[chosen], 22 + scheme), group[chosen]
+                        x, g, q = mixed(h[chosen], 22 + scheme), group[chosen], most[chosen]
                         by_group = np.lexsort((x, g))
-                        x, g = x[by_group], g[by_group]
+                        x, g, q = x[by_group], g[by_group], q[by_group]
                         step = 1
                         while step < len(g):
                             pairs = np.flatnonzero(g[step:] == g[:-step])
                             if not len(pairs):
                                 break
-                            made.append(mixed(x[pairs] * np.uint64(3) + x[pairs + step], scheme))
+                            made.append((mixed(x[pairs] * np.uint64(3) + x[pairs + step], scheme), np.minimum(q[pairs], q[pairs + step])))
                             step += 1
-                own_sigs = np.unique(np.concatenate(made)).view(np.int64)
-                sigs.append(own_sigs)
-                nodes.append(np.full(len(own_sigs), node))
-                sizes.append(np.full(len(own_sigs), n))
-                common.append(np.full(len(own_sigs), len(h)))
+                own_sigs, q = (np.concatenate(x) for x in zip(*made, strict=True))
+                reaches = q * (100 + percent) // percent - n >= -(-n * percent // 100)
+                own_sigs, q = own_sigs[reaches], q[reaches]
+                order = np.lexsort((-q, own_sigs))
+                own_sigs, q = own_sigs[order], q[order]
+                new = np.r_[True, own_sigs[1:] != own_sigs[:-1]] if len(q) else np.zeros(0, bool)
+                sigs.append(own_sigs[new].view(np.int64))
+                common.append(q[new])
+                nodes.append(np.full(len(sigs[-1]), node))
+                sizes.append(np.full(len(sigs[-1]), n))
             if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, nodes, sizes, common)], names=["sig", "node", "n", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, nodes, sizes, common)], names=["sig", "node", "n", "q"])
 
     return rows
 
@@ -179,11 +190,8 @@ def linked_sets(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     counts = Table(tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "counts")
     by_node = tokens.join(counts.read(), "h").groupBy("node").agg(F.first("n").alias("n"), F.collect_list(F.struct("df", "h")).alias("tokens"))  # of one set each
     by_node = by_node.where(f"size(tokens) >= (n * {int(percent)} + 99) div 100")
-    sigs = Table(by_node.mapInArrow(_signature_rows(percent, frequent), "sig long, node long, n long, s long"), "signatures")
-    buckets = sigs.read().groupBy("sig").agg(F.count("*").alias("many")).where("many > 1")
-    index = Table(sigs.read().join(Table(buckets.select("sig"), "buckets").read(), "sig"), "index")
-
-    labels = link_buckets(index.read(), verified(sets.read(), percent), percent)
+    sigs = Table(by_node.mapInArrow(_signature_rows(percent, frequent), "sig long, node long, n long, q long"), "signatures")
+    labels = link_buckets(sigs.read(), verified(sets.read(), percent), percent)
     named = known.read().select("n", "d1", "d2", "node").join(labels, "node", "left").select("n", "d1", "d2", F.coalesce("component", "node").alias("group"))
     grouped = Table(members.read().join(named, ["n", "d1", "d2"], "left").select(*KEY, "doc_id", F.col("n").alias("n_shingles"), "group"), "grouped")
     drop_since(mark, keep=grouped)
