@@ -1,13 +1,18 @@
 """Hashes of words and of runs of words, a whole group of texts at a time in numpy.
 
-A run's hash is a polynomial in its items' hashes modulo 2^64; prefix sums give
-any run's value by one subtraction and a multiplication by the inverse power of
-its start, so every window costs the same however long it is. Finishing by
-``mixed`` spreads the bits.
+A word's hash takes its bytes eight at a time, each step mixing what came
+before, so that no pattern of bytes cancels out; very long words go to BLAKE2b.
+:func:`chained` hashes short windows of words in the same way. ``Runs`` hashes
+runs of any length as polynomials in their items' hashes modulo 2^64: prefix
+sums give any run's value by one subtraction and a multiplication by the inverse
+power of its start, so every window costs the same however long it is. Patterns
+of two words can lower the strength of such a value; what stands on it is
+compared by the very words afterwards.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +34,9 @@ def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-_BYTES = mixed(np.arange(256, dtype=np.uint64), 7)
+#: Bytes of a word from which on BLAKE2b hashes it; masks of the first n of eight bytes.
+LONG = 256
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -60,12 +67,33 @@ class Runs:
         with np.errstate(over="ignore"):
             return mixed((self.sums[stops] - self.sums[starts]) * self.down[starts] + (stops - starts).astype(np.uint64), self.salt)
 
-    def windows(self, k: int) -> np.ndarray:
-        n = len(self.sums) - k
-        if n <= 0:
-            return np.zeros(0, np.uint64)
+
+def chained(items: np.ndarray, starts: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
+    """Hashes of the ``k`` items from each start on, mixed one by one."""
+    with np.errstate(over="ignore"):
+        h = np.full(len(starts), k, np.uint64)
+        for j in range(k):
+            h = mixed(h * _BASE + items[starts + j], salt)
+        return h
+
+
+def _span_hashes(buffer: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Hashes of spans of bytes."""
+    padded = np.zeros(len(buffer) + 8, np.uint8)
+    padded[: len(buffer)] = buffer
+    eight = np.ndarray(len(buffer) + 1, "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    left = stops - starts
+    h = mixed(left.astype(np.uint64), 7)
+    live = np.flatnonzero(left < LONG) if len(left) and left.max() >= LONG else np.arange(len(left))
+    for i in np.flatnonzero(left >= LONG):
+        h[i] = int.from_bytes(hashlib.blake2b(padded[starts[i] : stops[i]].tobytes(), digest_size=8).digest(), "little")
+    at, left = starts[live], left[live]
+    while len(live):
         with np.errstate(over="ignore"):
-            return mixed((self.sums[k:] - self.sums[:n]) * self.down[:n] + np.uint64(k), self.salt)
+            h[live] = mixed(h[live] * _BASE + (eight[at] & _FIRST[np.minimum(left, 8)]), 7)
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return h
 
 
 def _words(data: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +105,7 @@ def _words(data: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     space[0] = space[-1] = True
     space[1:-1] = _SPACE[buffer]
     edges = np.flatnonzero(space[1:] != space[:-1])
-    return Runs(_BYTES[buffer]).of(edges[::2], edges[1::2]), edges[::2]
+    return _span_hashes(buffer, edges[::2], edges[1::2]), edges[::2]
 
 
 def _pieces(text: bytes) -> Iterator[bytes]:

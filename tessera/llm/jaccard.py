@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import KEY, Table, drop_since, keyed, link_buckets, small_batches, strata, verified
-from tessera.llm.hashing import Runs, mixed, word_hashes
+from tessera.llm.hashing import chained, mixed, word_hashes
 
 #: Production parameters: words of a shingle, least similarity in per cent, and in how many sets a token is frequent.
 SHINGLE, PERCENT, FREQUENT = 5, 80, 32
@@ -58,13 +58,14 @@ def least_shared(n: str, percent: int) -> str:
 def token_sets(texts: list[bytes], shingle: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Groups of texts: the first's index, all their sets one after another, each sorted, and where each begins (one more at the end)."""
     for first, last, hashes, firsts in word_hashes(texts, lower=True):
-        runs, counts = Runs(hashes, 6), np.diff(firsts)
-        windows = runs.windows(shingle)
-        text = np.searchsorted(firsts, np.arange(len(windows)), "right") - 1
-        whole = np.arange(len(windows)) + shingle <= firsts[text + 1]
-        short = np.flatnonzero((counts > 0) & (counts < shingle))
-        values = np.r_[windows[whole], runs.of(firsts[short], firsts[short + 1])]
-        text = np.r_[text[whole], short]
+        counts, starts = np.diff(firsts), np.arange(max(0, len(hashes) - shingle + 1))
+        text = np.searchsorted(firsts, starts, "right") - 1
+        whole = starts + shingle <= firsts[text + 1]
+        values, text = [chained(hashes, starts[whole], shingle, 6)], [text[whole]]
+        for n in range(1, shingle):
+            text.append(np.flatnonzero(counts == n))
+            values.append(chained(hashes, firsts[text[-1]], n, 6))
+        values, text = np.concatenate(values), np.concatenate(text)
         order = np.lexsort((values, text))
         values, text = values[order], text[order]
         new = np.r_[True, (values[1:] != values[:-1]) | (text[1:] != text[:-1])] if len(values) else np.zeros(0, bool)

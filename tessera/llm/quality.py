@@ -26,21 +26,20 @@ REACH, LEAST_GROUP = 3, 30
 SLACK = {"symbols": 300, "repeats": 3500, "lines": 4000, "capitals": 1500, "length": 300}
 
 #: Words and how many of them stand in a repeated 3-word window. Lambdas over one-element arrays name a value that is used more than once: w the words,
-#: h the windows' hashes, s the hashes' upper bits with the places, sorted, q the places of repeated windows, sorted. Texts of 2^24 windows or more sort
-#: pairs of hash and place instead.
+#: h the windows' hashes, q the places of repeated windows, sorted. To find these, s holds the hashes' upper bits with the places, sorted, which is fast;
+#: should different hashes agree in those bits, or the places need more than 24, s holds pairs of whole hash and place. Either is exact.
 _REPEATS = r"""
 transform(array(filter(split(_t, '[\\x20\\x09-\\x0D]+'), x -> x <> '')), w ->
   named_struct('n', size(w), 'r', if(size(w) < 4, 0L,
     transform(array(transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2]))), h ->
       if(size(array_distinct(h)) = size(h), 0L,
-        transform(array(if(size(h) < 16777216,
-            transform(array(array_sort(transform(h, (x, i) -> shiftleft(shiftright(x, 24), 24) | i))), s ->
+        transform(transform(array(if(size(h) < 16777216, array_sort(transform(h, (x, i) -> shiftleft(shiftright(x, 24), 24) | i)), cast(array() as array<bigint>))), s ->
+            if(size(s) = size(h) and size(filter(s, (p, j) -> j > 0 and shiftright(p, 24) = shiftright(s[j - 1], 24) and h[int(p & 16777215)] <> h[int(s[j - 1] & 16777215)])) = 0,
               array_sort(filter(transform(s, (p, j) ->
-                if((j > 0 and h[int(p & 16777215)] = h[int(s[j - 1] & 16777215)]) or (j < size(s) - 1 and h[int(p & 16777215)] = h[int(s[j + 1] & 16777215)]),
-                  int(p & 16777215), -1)), p -> p >= 0)))[0],
-            transform(array(array_sort(transform(h, (x, i) -> named_struct('x', x, 'i', i)))), s ->
-              array_sort(filter(transform(s, (p, j) ->
-                if((j > 0 and p.x = s[j - 1].x) or (j < size(s) - 1 and p.x = s[j + 1].x), p.i, -1)), p -> p >= 0)))[0])), q ->
+                if((j > 0 and shiftright(p, 24) = shiftright(s[j - 1], 24)) or (j < size(s) - 1 and shiftright(p, 24) = shiftright(s[j + 1], 24)), int(p & 16777215), -1)), p -> p >= 0)),
+              transform(array(array_sort(transform(h, (x, i) -> named_struct('x', x, 'i', i)))), z ->
+                array_sort(filter(transform(z, (p, j) ->
+                  if((j > 0 and p.x = z[j - 1].x) or (j < size(z) - 1 and p.x = z[j + 1].x), p.i, -1)), p -> p >= 0)))[0])), q ->
           if(size(q) < 2, 0L, aggregate(sequence(1, size(q) - 1), 3L, (a, j) -> a + least(3, q[j] - q[j - 1]))))[0]))[0])))[0]
 """
 

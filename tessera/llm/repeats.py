@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import KEY, Table, drop_since, keyed, small_batches
-from tessera.llm.hashing import Runs, word_hashes
+from tessera.llm.hashing import Runs, chained, word_hashes
 
 #: Production parameters: words of an edge and of a minimizer; words of a long text that are handled at a time.
 K, SHORT, PIECE = 35, 8, 1 << 21
@@ -38,7 +38,7 @@ def paths(hashes: np.ndarray, firsts: np.ndarray, k: int, short: int) -> tuple[n
     n, width = len(hashes), k - short + 1
     if n < k:
         return tuple(np.zeros(0, np.int64) for _ in range(6))
-    minis = Runs(hashes, 1).windows(short)
+    minis = chained(hashes, np.arange(n - short + 1), short, 1)
     # upper bits of the hash, then the place: the least value is the leftmost least hash
     least = (minis >> np.uint64(24) << np.uint64(24)) | np.arange(len(minis), dtype=np.uint64)
     span = 1
