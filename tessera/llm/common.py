@@ -3,6 +3,8 @@ folder, row keys, distributed prefix sums and connected components."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -19,10 +21,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a local one only where none is named, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir); a local one only where none is named and no executor is elsewhere, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not kept.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         path = kept.get() if kept.isDefined() else f"file://{tempfile.gettempdir()}/checkpoints"
     return path.rstrip("/")
 
@@ -55,6 +59,18 @@ class Table:
         self.spark, self.schema = df.sparkSession, df.schema
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
+        self._kept()
+
+    @classmethod
+    def at(cls, spark: SparkSession, path: str) -> Table:
+        """A folder that goes like a table's when nothing reads it any more."""
+        made = cls.__new__(cls)
+        made.spark, made.path = spark, path
+        made._kept()
+        return made
+
+    def _kept(self) -> None:
+        self.conf, self.jvm = self.spark.sparkContext._jsc.hadoopConfiguration(), self.spark.sparkContext._jvm
         Table.live.append(self)
         free_shuffles(self.spark)
 
@@ -67,8 +83,15 @@ class Table:
         if self not in Table.live:
             return
         Table.live.remove(self)
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path = self.jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.conf).delete(path, True)
+
+
+@atexit.register
+def _drop_at_exit() -> None:
+    """What a result was read from goes with the session that made it; a lost gateway leaves it to the folder's owner."""
+    with contextlib.suppress(Exception):
+        drop_since(0)
 
 
 def drop_since(mark: int, keep: Table | None = None) -> None:
@@ -89,14 +112,20 @@ KEY = ["_file", "_row"]
 
 def keyed(df: DataFrame) -> DataFrame:
     """Adds a key that is unique to a stored row, however the scan is split; ``df`` reads Parquet, else it is written first."""
-    if set(KEY) <= set(df.columns):
-        return df
-    try:
-        return df.select("*", F.xxhash64("_metadata.file_path").alias(KEY[0]), F.col("_metadata.row_index").alias(KEY[1]))
-    except Exception as e:
-        if "UNRESOLVED_COLUMN" not in str(e):
-            raise
+    if "_metadata#" not in df._jdf.queryExecution().analyzed().metadataOutput().mkString(","):
         return Table(df, "rows").read(keys=True)
+    return df.select("*", F.xxhash64("_metadata.file_path").alias(KEY[0]), F.col("_metadata.row_index").alias(KEY[1]))
+
+
+def aside(docs: DataFrame, used: list[str]) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """``docs`` with the columns that an operator doesn't use under names of their own, and a function that gives them back, with further columns."""
+    names = {c: c if c in used else f"_x{i}" for i, c in enumerate(docs.columns)}
+    inner = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+
+    def back(df: DataFrame, *more: str) -> DataFrame:
+        return df.select(*[F.col(n).alias(c) for c, n in names.items()], *more)
+
+    return inner, back
 
 
 def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:

@@ -12,11 +12,13 @@ their first signatures are.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import Table, link_buckets, strata, verified
+from tessera.llm.common import KEY, Table, drop_since, keyed, link_buckets, strata, verified
 
 #: Anchors, common words of four languages.
 ANCHORS = """
@@ -26,12 +28,15 @@ el y los las del por con no su para es al lo como mas pero sus
 der die und den von zu das sich mit auf nicht ist im dem ein eine als auch
 """.split()
 
+#: Stands for a missing doc_id, which comes first.
+LEAST = -(2**63) + 1
+
 #: Content words in a chain, and words after an anchor from which on neighbouring words are signatures, up to the next anchor.
 CHAIN = 2
 
 
 def signatures(text: Column) -> Column:
-    """The sorted distinct signatures (32 bits each) of a text: array<bigint>, empty for a text without words or signs."""
+    """The sorted distinct signatures (64 bits each) of a text: array<bigint>, empty for a text without words or signs."""
     common = ", ".join(f"'{w}'" for w in dict.fromkeys(ANCHORS))
     chain = ", ".join(f"coalesce(get(c, s.i - j + {k}), '')" for k in range(CHAIN))
     rule = rf"""
@@ -40,11 +45,11 @@ def signatures(text: Column) -> Column:
         transform(array(filter(transform(w, (x, i) -> named_struct('x', x, 'i', i)), s -> s.x in ({common}))), a ->
           transform(array(concat(array(-{CHAIN}), transform(a, s -> s.i + 1), array(size(w) + 1))), p ->
             array_sort(array_distinct(concat(
-              transform(a, (s, j) -> xxhash64(s.x, {chain}) & 4294967295L),
+              transform(a, (s, j) -> xxhash64(s.x, {chain})),
               flatten(transform(slice(p, 1, size(p) - 1), (first, j) ->
                 transform(slice(w, first + {CHAIN} + 1, greatest(0, p[j + 1] - 1 - first - {CHAIN})),
-                  (x, i) -> xxhash64(x, coalesce(get(w, first + {CHAIN} + i + 1), '')) & 4294967295L))),
-              if(size(w) > 0 or _text_ = '', cast(array() as array<bigint>), array(xxhash64(_text_) & 4294967295L))))))[0])[0])[0])[0]
+                  (x, i) -> xxhash64(x, coalesce(get(w, first + {CHAIN} + i + 1), ''))))),
+              if(size(w) > 0 or _text_ = '', cast(array() as array<bigint>), array(xxhash64(_text_)))))))[0])[0])[0])[0]
     """
     return F.expr(rule.replace("_text_", text if isinstance(text, str) else text._jc.toString()))
 
@@ -57,77 +62,105 @@ def likeness(a: Column, b: Column) -> Column:
 
 def as_text(set_: Column) -> Column:
     """A set as its length and its signatures in hexadecimal, in order."""
-    return F.concat(F.size(set_).cast("string"), F.lit(":"), F.array_join(F.transform(set_, lambda x: F.lpad(F.hex(x), 8, "0")), ""))
+    return F.concat(F.size(set_).cast("string"), F.lit(":"), F.array_join(F.transform(set_, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
+
+
+#: Runs of consecutive doc_ids that a task of a shuffle gets.
+RUNS = 4
+
 
+def _bounds(rows: DataFrame, runs: int) -> list[int]:
+    """Values of k that part ``rows`` into about equal runs."""
+    found = rows.select(F.percentile_approx("k", [i / runs for i in range(1, runs)], 10 * runs)).first()[0] if runs > 1 else []
+    return sorted({b for b in found or [] if b > LEAST})
 
-def with_next(docs: DataFrame, columns: list[str], buckets: int) -> DataFrame:
-    """Adds ``next_<column>`` of the row that follows by ascending doc_id (null first; after the last row: the first).
 
-    Rows are dealt into ``buckets`` runs of consecutive doc_ids; the first rows
-    of a run also stand, as guests, at the end of the run before. The driver
-    sees one bound and one first doc_id for each run, nothing else.
+def _in_runs(rows: DataFrame, bounds: list[int]) -> DataFrame:
+    """``rows`` (k) with ``run``, the number of bounds below k; they are looked up in two steps, so a row costs the square root of their number."""
+    if not bounds:
+        return rows.withColumn("run", F.lit(0))
+    step = math.isqrt(len(bounds)) + 1
+    blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    longs = lambda values: "array(" + ", ".join(f"{v}L" for v in values) + ")"
+    block = f"size(filter({longs(b[-1] for b in blocks)}, b -> b < k))"
+    inside = f"coalesce(size(filter(get(array({', '.join(map(longs, blocks))}), {block}), b -> b < k)), 0)"
+    return rows.withColumn("run", F.expr(f"{block} * {step} + {inside}"))
+
+
+def with_next(docs: DataFrame, classes: DataFrame, runs: int) -> DataFrame:
+    """Keyed ``docs`` (doc_id, text) with ``next_text``, the text of the row that follows by ascending doc_id (null first; after the last row: the first), and their class from ``classes`` (key, doc_id, class_id).
+
+    Rows are dealt into ``runs`` runs of consecutive doc_ids, and the first rows
+    of a run also stand, as guests, at the end of the run before. Each row's
+    class travels before it, so that one shuffle serves both. The driver sees
+    one bound and one first doc_id for each run, nothing else.
     """
     spark = docs.sparkSession
-    least = -(2**63)
-    rows = docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("long"), F.lit(least)))
-    shares = [i / buckets for i in range(1, buckets)]
-    found = rows.select(F.percentile_approx("_k", shares, 10 * buckets)).first()[0] or []
-    bounds = sorted(set(found)) or [least]
-    rows = rows.withColumn("_b", F.expr(f"size(filter(array({', '.join(f'{b}L' for b in bounds if b != least) or '0L'}), b -> b < _k))"))
-    firsts = sorted((r["_b"], r["k"]) for r in rows.select("_b", "_k").groupBy("_b").agg(F.min("_k").alias("k")).collect())
-    if not firsts:
-        return rows.drop("_k", "_b").select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
-    guests = {k: firsts[i - 1][0] for i, (_, k) in enumerate(firsts)}
-    lone = spark.range(1).select(F.explode(F.arrays_zip(F.array(*[F.expr(f"{k}L") if k != least else F.lit(least) for k in guests]), F.array(*[F.lit(b) for b in guests.values()]))).alias("g")).select(F.col("g.0").alias("_gk"), F.col("g.1").alias("_gb"))
-    rows = rows.join(F.broadcast(lone), F.col("_k") == F.col("_gk"), "left")  # one row for each bucket
-    places = F.when(F.col("_gb").isNull(), F.array(F.struct(F.col("_b").alias("b"), F.lit(0).alias("guest")))).otherwise(F.array(F.struct(F.col("_b").alias("b"), F.lit(0).alias("guest")), F.struct(F.col("_gb").alias("b"), F.lit(1).alias("guest"))))
-    rows = rows.withColumn("_p", F.explode(places)).select(*docs.columns, "_k", F.col("_p.b").alias("_b"), F.col("_p.guest").alias("_guest"))
-    w = Window.partitionBy("_b").orderBy("_guest", "_k", F.xxhash64("text"))
-    for c in columns:
-        rows = rows.withColumn(f"next_{c}", F.lead(c).over(w))
-    return rows.where("_guest = 0").drop("_k", "_b", "_guest")
+    k = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("k")
+    texts = docs.select(*KEY, k, "doc_id", "text", F.lit(1).alias("kind"), F.lit(None).cast(dict(classes.dtypes)["class_id"]).alias("class_id"))
+    bounds = _bounds(docs.select(k), runs)
+    rows = _in_runs(texts.unionByName(classes.select(*KEY, k, "doc_id", F.lit(None).cast("string").alias("text"), F.lit(0).alias("kind"), "class_id")), bounds)
+    firsts = sorted((r["run"], r["k"]) for r in _in_runs(docs.select(k), bounds).groupBy("run").agg(F.min("k").alias("k")).collect())
+    guests = spark.createDataFrame([(low, firsts[i - 1][0]) for i, (_, low) in enumerate(firsts)], "guest_k long, guest_run int")
+    rows = rows.join(F.broadcast(guests), F.col("k") == F.col("guest_k"), "left")  # one row for each run
+    own, guest = F.struct(F.col("run"), F.lit(0).alias("guest")), F.struct(F.col("guest_run").alias("run"), F.lit(1).alias("guest"))
+    rows = rows.withColumn("p", F.explode(F.when(F.col("guest_run").isNull(), F.array(own)).otherwise(F.array(own, guest)))).select(*KEY, "k", "doc_id", "text", "kind", "class_id", "p.run", "p.guest")
+    w = Window.partitionBy("run").orderBy("guest", "k", *KEY, "kind")
+    rows = rows.withColumn("next_text", F.lead("text", 2).over(w)).withColumn("class_id", F.lag("class_id").over(w))
+    return rows.where("guest = 0 and kind = 1").select("doc_id", "text", "next_text", "class_id")
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """For each row of ``docs`` (doc_id, text): its fingerprint, its edited text's, and how alike they and the next row's are.
+    """For each row of ``docs`` (doc_id, text): its fingerprint, its edited text's, how alike they and the next row's are, and the class of its near duplicates.
 
     A null text is empty; an empty text's fingerprint is the empty set, alike
-    to itself only. Rows of equal doc_id follow each other by their text's
-    hash. A single row is its own next. Other columns are ignored; an empty
-    table gives no rows.
+    to itself only. Rows of equal doc_id follow each other as they are stored.
+    A single row is its own next. Other columns are ignored, whatever their
+    names; an empty table gives no rows. See :func:`near_classes` for class_id.
     """
     spark = docs.sparkSession
-    buckets = min(1000, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("sigs", signatures("text"))
-    rows = with_next(rows, ["text", "sigs"], buckets)
-    n = F.length("text")
-    rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", F.expr("concat(substring(text, 1, int(n_chars - n_chars div 4)), substring(next_text, 1, int(n_chars div 4)))"))
-    rows = rows.withColumn("edited_sha256", F.sha2("edited", 256)).withColumn("edited_sigs", signatures("edited"))
-    return rows.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("sigs")).alias("fingerprint"), as_text(F.col("edited_sigs")).alias("edited_fingerprint"), likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"))
+    docs = keyed(docs.select("doc_id", "text"))
+    classes = near_classes(docs, has_keys=True).select(*KEY, "doc_id", "class_id")
+    rows = docs.select(*KEY, "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = with_next(rows, classes, RUNS * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", F.expr("concat(substring(text, 1, int(n_chars - n_chars div 4)), substring(next_text, 1, int(n_chars div 4)))"))
+    rows = rows.withColumn("sigs", signatures("text")).withColumn("edited_sigs", signatures("edited")).withColumn("next_sigs", signatures("next_text"))
+    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("sigs")).alias("fingerprint"), as_text(F.col("edited_sigs")).alias("edited_fingerprint"), likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"), "class_id")
 
 
-def near_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """For each row of ``docs`` (doc_id, text): doc_id, n_signatures, class_id, the smallest doc_id among its near duplicates and theirs.
+def near_classes(docs: DataFrame, percent: int = 80, has_keys: bool = False) -> DataFrame:
+    """For each row of ``docs`` (doc_id, text): its key, doc_id, n_signatures, class_id, the smallest doc_id among its near duplicates and theirs.
 
     Equal sets are compared once. A set of n signatures has a partner only if
     they share one of the first n - ceil(n * percent / 100) + 1 in the common
-    order, and only in its partition by length or the next. Empty sets form no
-    class: their class is their own doc_id. A null text is empty; repeated rows
-    are copies; an empty table gives no rows.
+    order, and only in its partition by length or the next; a signature's place
+    bounds what two sets can still share. Only sets that share one are taken
+    from the texts again, whole, to be compared. Empty sets form no class: their
+    class is their own doc_id. A null text is empty; repeated rows are copies;
+    other columns are ignored; an empty table gives no rows. ``has_keys``:
+    ``docs`` comes from :func:`tessera.llm.common.keyed`.
     """
-    rows = Table(docs.withColumn("text", F.coalesce("text", F.lit(""))).select("doc_id", signatures("text").alias("sigs")), "signatures")
-    sized = rows.read().withColumn("n", F.size("sigs").cast("long")).withColumn("digest", F.sha2(as_text(F.col("sigs")), 256))
-    by_set = sized.where("n > 0").groupBy("digest").agg(F.first("sigs").alias("sigs"), F.first("n").alias("n"), F.min("doc_id").alias("least"))
+    mark = len(Table.live)
+    docs = (docs if has_keys else keyed(docs.select("doc_id", "text"))).select(*KEY, "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    made = docs.withColumn("sigs", signatures("text")).withColumn("n", F.size("sigs").cast("long"))
+    first = F.expr(f"slice(sigs, 1, cast(n - (n * {int(percent)} + 99) div 100 + 1 as int))")
+    rows = Table(made.select(*KEY, "doc_id", "n", F.unhex(F.sha2(F.array_join("sigs", " "), 256)).alias("digest"), F.when(F.col("n") > 0, first).alias("first")), "signatures")
+    by_set = rows.read().where("n > 0").groupBy("digest").agg(F.first("first").alias("first"), F.first("n").alias("n"), F.min("doc_id").alias("least"), F.min(F.struct(*KEY)).alias("one"))
     sets = Table(by_set.withColumn("node", F.monotonically_increasing_id()), "sets")
-    most = sets.read().agg(F.max("n")).first()[0] or 1
+    each = sets.read().select("node", "n", F.posexplode("first").alias("place", "sig")).withColumn("q", F.col("n") - F.col("place"))
+    shared = Table(each.groupBy("sig").agg(F.count("*").alias("many")).where("many > 1").select("sig"), "shared")
+    each = Table(each.join(shared.read(), "sig"), "each").read()
+    most = each.agg(F.max("n")).first()[0] or 1
     bounds = ", ".join(map(str, strata(percent, most)))
-    first = F.expr(f"slice(sigs, 1, cast(n - (n * {int(percent)} + 99) div 100 + 1 as int))")
     parts = F.expr(f"transform(array(size(filter(array({bounds}), b -> b <= n))), s -> array(s, s + 1))[0]")
-    index = sets.read().select("node", "n", F.posexplode(first).alias("place", "sig"), parts.alias("parts")).select("node", "n", "place", "sig", F.explode("parts").alias("part"))
-    index = index.select(F.xxhash64("part", "sig").alias("sig"), "node", "n", (F.col("n") - F.col("place")).alias("q"))
+    index = each.select("node", "n", "sig", "q", F.explode(parts).alias("part")).select(F.xxhash64("part", "sig").alias("sig"), "node", "n", "q")
+    wanted = each.select("node").distinct().join(sets.read().select("node", "one.*"), "node")
+    whole = Table(docs.select(*KEY, "text").join(wanted, KEY).select("node", signatures("text").alias("tokens")), "whole-signatures")
 
-    labels = link_buckets(index, verified(sets.read().select("node", F.col("sigs").alias("tokens")), percent), percent)
+    labels = link_buckets(index, verified(whole.read(), percent), percent)
     named = Table(sets.read().join(labels, "node", "left").select("digest", "least", F.coalesce("component", "node").alias("class")), "classes")
     smallest = named.read().groupBy("class").agg(F.min("least").alias("class_id"))
     known = Table(named.read().join(smallest, "class").select("digest", "class_id"), "class-ids")
-    return sized.join(known.read(), "digest", "left").select("doc_id", F.col("n").alias("n_signatures"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    found = Table(rows.read().drop("first").join(known.read(), "digest", "left").select(*KEY, "doc_id", F.col("n").alias("n_signatures"), F.coalesce("class_id", "doc_id").alias("class_id")), "found")
+    drop_since(mark, keep=found)
+    return found.read()

@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import KEY, Table, drop_since, keyed, link_buckets, small_batches, strata, verified
+from tessera.llm.common import KEY, Table, aside, drop_since, keyed, link_buckets, small_batches, strata, verified
 from tessera.llm.hashing import chained, mixed, word_hashes
 
 #: Production parameters: words of a shingle, least similarity in per cent, and in how many sets a token is frequent.
@@ -161,15 +161,17 @@ def _node_sets(shingle: int):
     return rows
 
 
-def linked_sets(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
+def linked_sets(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, frequent: int = FREQUENT, has_keys: bool = False) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): its key, doc_id, n_shingles, ``group`` (a number for its component; null for an empty set) and component_id.
 
     Equal sets are one node. A null, empty or blank text has the empty set and
     links with nothing: its component is its own doc_id. A row without doc_id
     takes its component's smallest. Repeated rows are copies like any others;
-    other columns are ignored; an empty table gives no rows.
+    other columns are ignored, whatever their names; an empty table gives no
+    rows. ``has_keys``: ``docs`` comes from :func:`keyed`.
     """
-    docs, mark = small_batches(keyed(docs)), len(Table.live)
+    mark = len(Table.live)
+    docs = small_batches(docs if has_keys else keyed(docs.select("doc_id", "text")))
     id_type = dict(docs.dtypes)["doc_id"]
     texts = docs.select(*KEY, "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     first = Table(texts.mapInArrow(_set_rows(shingle, percent), f"{KEY[0]} long, {KEY[1]} long, doc_id {id_type}, n long, d1 long, d2 long, prefix array<long>"), "sets")
@@ -202,9 +204,14 @@ def linked_sets(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each component, the one of the smallest doc_id, and every row that has no shingle."""
-    rows = keyed(docs)
-    found = linked_sets(rows, **options)
+    """``docs`` with one row of each component, the one of the smallest doc_id, and every row that has no shingle.
+
+    Repeated rows and equal doc_ids are copies: one row stays, the first as
+    stored. All columns of ``docs`` come back as they are, whatever their names.
+    """
+    inner, back = aside(docs, ["doc_id", "text"])
+    rows = keyed(inner)
+    found = linked_sets(rows, has_keys=True, **options)
     apart = found.where("group is null").select(*KEY)
     first = found.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *KEY)).alias("one")).select(*[F.col(f"one.{k}") for k in KEY])
-    return rows.join(apart.unionByName(first), KEY, "left_semi").select(*docs.columns)
+    return back(rows.join(apart.unionByName(first), KEY, "left_semi"))

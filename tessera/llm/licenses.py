@@ -3,7 +3,8 @@
 A template is text with two kinds of regions: ``[[optional]]`` may be missing,
 ``{{name:m-n}}`` stands for m to n words of any kind. It compiles to an
 automaton over words; a licence is accepted where all its mandatory words
-match, in order and without other words between.
+match, in order and without other words between. A template is only tried on
+texts that hold its longest run of mandatory words.
 """
 
 from __future__ import annotations
@@ -19,12 +20,17 @@ from tessera.llm.common import small_batches
 #: Fixed values of the contract: phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Templates of the method, in our own wording of the notices' common forms: label and markup.
+#: The standard wording of common licences and notices, with the places where they may differ as markup.
 TEMPLATES = {
     "gpl-notice": "[[this work is]] licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] version {{version:1-2}}",
+    "gpl-program": "this {{kind:1-2}} is free software you can redistribute it and or modify it under the terms of the gnu {{kind:0-1}} general public license as published by the free software foundation either version {{version:1-2}} of the license or [[at your option]] any later version [[this {{kind:1-2}} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose]]",
     "apache-notice": "licensed under the apache license [[version {{version:1-2}}]]",
+    "apache-file": "licensed under the apache license version 2 0 the license you may not use this {{what:1-2}} except in compliance with the license you may obtain a copy of the license at {{address:1-8}} unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
     "cc-by-notice": "[[this work is]] licensed under [[a]] [[creative commons]] cc by [[nc]] [[nd]] [[sa]] {{version:1-2}}",
     "mit-notice": "[[released]] [[distributed]] [[licensed]] under the [[terms of the]] mit license",
+    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall {{holders:1-12}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "isc-text": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted [[provided that the above copyright notice and this permission notice appear in all copies]] the software is provided as is and {{author:1-8}} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall {{author:1-8}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met {{number:0-1}} redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer {{number:0-1}} redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution [[{{number:0-1}} neither the name of {{holder:1-12}} may be used to endorse or promote products derived from this software without specific prior written permission]] this software is provided by {{holders:1-12}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
     "spdx-tag": "spdx license identifier {{license:1-4}}",
     "copyright-line": "copyright [[c]] {{year:1-2}} {{holder:1-6}} all rights reserved",
 }
@@ -39,19 +45,25 @@ class Automaton:
     def __init__(self, markup: str):
         self.moves: list[list[tuple[bytes | None, int]]] = [[]]
         self.jumps: list[list[int]] = [[]]
-        self.mandatory = 0
-        end = self._compile(re.findall(r"\[\[|\]\]|\{\{[^}]*\}\}|[^\s\[\]{}]+", markup), 0, 0)
+        self.runs: list[list[str]] = [[]]
+        end = self._compile(re.findall(r"\[\[|\]\]|\{\{[^}]*\}\}|[^\s\[\]{}]+", markup), 0)
         self.final = end
+        #: Words an acceptance can begin with, None for any, and the longest run of words that every acceptance holds.
         self.first = {w for s in self._closure({0}) for w, _ in self.moves[s]}
+        self.anchor = b" %s " % max((" ".join(r) for r in self.runs), key=len).encode() if any(self.runs) else b""
 
     def _new(self) -> int:
         self.moves.append([])
         self.jumps.append([])
         return len(self.moves) - 1
 
-    def _compile(self, parts: list[str], state: int, depth: int) -> int:
+    def _compile(self, parts: list[str], state: int) -> int:
         opened: list[int] = []
         for part in parts:
+            if part in ("[[", "]]") or part.startswith("{{"):
+                self.runs.append([])
+            elif not opened:
+                self.runs[-1].append(part)
             if part == "[[":
                 opened.append(state)
             elif part == "]]":
@@ -73,7 +85,6 @@ class Automaton:
             else:
                 after = self._new()
                 self.moves[state].append((part.encode(), after))
-                self.mandatory += not opened
                 state = after
         return state
 
@@ -92,7 +103,7 @@ class Automaton:
         while states:
             if self.final in states:
                 best = at - start
-            if at == len(words):
+            if at >= len(words):
                 break
             states = self._closure({t for s in states for w, t in self.moves[s] if w is None or w == words[at]})
             at += 1
@@ -105,8 +116,6 @@ class Scanner:
     def __init__(self, phrases: dict[str, str], templates: dict[str, str]):
         self.phrases = [(b" %s " % p.encode(), label) for p, label in phrases.items()]
         self.templates = [(label, Automaton(markup)) for label, markup in templates.items()]
-        # every acceptance holds the anchor, its template's rarest mandatory run of words before and after which the automaton is tried
-        self.anchors = [b" license ", b" copyright ", b" cc by "]
 
     def scan(self, text: bytes) -> tuple[int, list[tuple[int, str]], list[tuple[int, int, str]]]:
         """Words, places (start, label) of phrases and spans (start, length, label) of templates."""
@@ -114,19 +123,21 @@ class Scanner:
         line = b" " + b" ".join(words) + b" "
         places = []
         for phrase, label in self.phrases:
-            at = line.find(phrase)
+            at, counted, before = line.find(phrase), 0, 0
             while at >= 0:
-                places.append((line.count(b" ", 0, at), label))
+                before, counted = before + line.count(b" ", counted, at), at
+                places.append((before, label))
                 at = line.find(phrase, at + 1)
         spans = []
-        if any(a in line for a in self.anchors):
+        tried = [(label, a) for label, a in self.templates if a.anchor in line]
+        if tried:
+            wanted = {w for _, a in tried for w in a.first}
             starts: dict[bytes, list[int]] = {}
-            wanted = {w for _, a in self.templates for w in a.first}
             for i, w in enumerate(words):
                 if w in wanted:
                     starts.setdefault(w, []).append(i)
-            for label, automaton in self.templates:
-                at = sorted({i for w in automaton.first for i in starts.get(w, ())})
+            for label, automaton in tried:
+                at = range(len(words)) if None in automaton.first else sorted({i for w in automaton.first for i in starts.get(w, ())})
                 free = 0
                 for i in at:
                     if i >= free and (n := automaton.match(words, i)):

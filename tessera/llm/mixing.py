@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import KEY, SPACES, WORD, keyed, prefix_sums
+from tessera.llm.common import KEY, SPACES, WORD, aside, keyed, prefix_sums
 
 #: Fixed values of the contract.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
@@ -41,14 +41,15 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     return s.select("source", "source_size", F.least(F.col("_cap"), F.coalesce(F.col("_at") * F.col("_w"), F.col("_cap"))).alias("target"))
 
 
-def mix_plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 9) -> DataFrame:
-    """For each row of ``docs`` (doc_id, source, text; other columns are ignored): doc_id, size, source_size, target, taken and the row's key.
+def mix_plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 9, has_keys: bool = False) -> DataFrame:
+    """For each row of ``docs`` (doc_id, source, text; other columns are ignored, whatever their names): doc_id, size, source_size, target, taken and the row's key.
 
     A null text has size 0; a null source is a source of its own, the last; an
     empty table gives no rows. Rows of equal keys that differ in nothing may
     change places, which changes no result. Reruns agree: keys hash the row.
     """
-    rows = keyed(docs).select(*KEY, "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(F.concat_ws(":", F.lit(seed), "doc_id", F.md5("text"))).alias("_key"))
+    docs = docs if has_keys else keyed(docs.select("doc_id", "source", "text"))
+    rows = docs.select(*KEY, "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(F.concat_ws(":", F.lit(seed), "doc_id", F.md5("text"))).alias("_key"))
     placed = prefix_sums(rows, ["source"], ["_key", "doc_id", "size"], "size")
     targets = source_targets(placed.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     targets = targets.select(F.col("source").alias("_source"), "source_size", "target")
@@ -60,13 +61,15 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus with the columns of ``docs``: a row for each epoch of a document, the cut one with its first words only."""
-    rows = keyed(docs)
-    plan = mix_plan(rows, **options).select(*[F.col(k).alias(f"_p{k}") for k in KEY], "size", "taken").where("taken > 0")
+    """The mixed corpus with the columns of ``docs``: a row for each epoch of a document, the cut one with its first words only; n_chars follows the text."""
+    inner, back = aside(docs, ["doc_id", "source", "text", "n_chars"])
+    rows = keyed(inner)
+    plan = mix_plan(rows, has_keys=True, **options).select(*[F.col(k).alias(f"_p{k}") for k in KEY], "size", "taken").where("taken > 0")
     copies = rows.join(plan, (rows[KEY[0]] == plan[f"_p{KEY[0]}"]) & (rows[KEY[1]] == plan[f"_p{KEY[1]}"]))
     copies = copies.withColumn("_take", F.explode(F.expr("transform(sequence(0, cast((taken - 1) div size as int)), e -> least(size, taken - e * size))")))
     words = F.filter(F.split("text", SPACES), lambda w: w != "")
     text = F.when(F.col("_take") == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.col("_take").cast("int")), " "))
-    out = copies.withColumn("_text", text)
-    special = {"text": F.col("_text").alias("text"), "n_chars": F.length("_text").cast("long").alias("n_chars")}
-    return out.select(*[special.get(c, F.col(c)) for c in docs.columns])
+    out = copies.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return back(out)

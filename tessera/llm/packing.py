@@ -51,12 +51,12 @@ def schedule(sizes: DataFrame, shares: DataFrame | None = None, window: int = WI
 
     ``shares`` (source, share) are the target proportions; without them they
     are the sources' own, so that all queues end together. A source without a
-    share comes last.
+    share, or with none above 0, comes last.
     """
     queued = prefix_sums(sizes.withColumn("_mix", F.xxhash64(F.lit(seed), "doc_id", "n")), ["source"], ["_mix", "doc_id", *KEY], "n")
     if shares is None:
         shares = queued.groupBy("source").agg(F.sum("n").alias("share"))
-    shares = shares.select(F.col("source").alias("_source"), F.col("share").cast("double").alias("_share"))
+    shares = shares.select(F.col("source").alias("_source"), F.col("share").cast("double").alias("_share")).where("_share > 0")
     everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # one row for each source
     quanta = shares.select("_source", (F.col("_share") / F.sum("_share").over(everything) * window).alias("_quantum"))
     placed = queued.join(quanta, queued["source"].eqNullSafe(quanta["_source"]), "left")

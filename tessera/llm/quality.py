@@ -9,22 +9,27 @@ sketches merge into its language's.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import Table
+from tessera.llm.common import Table, aside
 
 #: Fixed values of the contract.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
 
-#: Parameters of the method: a measure fails beyond q3 + REACH * (q3 - q1) + SLACK. A group of fewer than LEAST_GROUP texts takes its language's
-#: thresholds, a language of fewer has none.
-REACH, LEAST_GROUP = 3, 30
+#: Parameters of the method: a measure's fence is q3 + REACH * (q3 - q1) + SLACK. A language's fence counts as PRIOR texts in its sources' fences, and the
+#: fence of all languages as PRIOR texts in each language's: small groups lean on larger ones, by degrees.
+REACH, PRIOR = 3, 30
 SLACK = {"symbols": 300, "repeats": 3500, "lines": 4000, "capitals": 1500, "length": 300}
 
+#: Columns that :func:`judge` adds.
+RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "measures", "kept"]
+
 #: Words and how many of them stand in a repeated 3-word window. Lambdas over one-element arrays name a value that is used more than once: w the words,
 #: h the windows' hashes, q the places of repeated windows, sorted. To find these, s holds the hashes' upper bits with the places, sorted, which is fast;
 #: should different hashes agree in those bits, or the places need more than 24, s holds pairs of whole hash and place. Either is exact.
@@ -48,7 +53,12 @@ _LINES = r"transform(array(filter(split(_t, '\n'), l -> l rlike '[^\\x20\\x09-\\
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """``docs`` with the base columns and the measures (per ten thousand; length: hundredths of a character a word)."""
+    """``docs`` with the base columns and the measures (per ten thousand; length: hundredths of a character a word).
+
+    A column of ``docs`` that bears the name of a result is replaced by it; all
+    others come back, whatever their names.
+    """
+    docs, back = aside(docs.drop(*[c for c in docs.columns if c in RESULTS]), ["text"])
     text = F.coalesce("text", F.lit(""))
     df = docs.withColumn("_t", text)
     df = df.withColumn("_w", F.expr(_REPEATS)).withColumn("_l", F.expr(_LINES))
@@ -61,32 +71,37 @@ def measured(docs: DataFrame) -> DataFrame:
     def share(part: Column, whole: Column, scale: int = 10_000) -> Column:
         return F.when(whole > 0, F.floor(part * scale / whole)).otherwise(0).cast("long")
 
-    return df.select(
-        *docs.columns, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+    return back(
+        df, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.struct(share(F.col("n_symbols"), F.col("word_chars")).alias("symbols"), share(F.col("n_repeat_words"), F.col("n_words")).alias("repeats"), share(F.col("n_dup_lines"), F.col("_lines")).alias("lines"), share(F.col("_capitals"), F.col("word_chars")).alias("capitals"), share(F.col("word_chars"), F.col("n_words"), 100).alias("length")).alias("measures"),
     )
 
 
 def fences(rows: DataFrame) -> DataFrame:
-    """(lang, source, one column for each measure): thresholds from the sketches of rows that pass the base rules; null: none."""
+    """(lang, source, one column for each measure): thresholds from the sketches of rows that pass the base rules."""
     pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(f"measures.{m}").alias("v")) for m in SLACK]))
     each = rows.where("not base_failed").select("lang", "source", pairs.alias("p")).select("lang", "source", "p.m", "p.v")
     low = F.expr("greatest(0, length(bin(v)) - 9)")
     sketch = each.withColumn("k", low).withColumn("b", F.expr("shiftleft(shiftright(v, k), k)")).groupBy("lang", "source", "m", "b").agg(F.count("*").alias("n"))
-    merged = sketch.groupBy("lang", "m", "b").agg(F.sum("n").alias("n"))
 
-    def quartiles(s: DataFrame, by: list[str]) -> DataFrame:
+    def fence(by: list[str]) -> DataFrame:
+        """(by, m, n, f): texts and fence of each group, from the sum of its sketches."""
+        s = sketch.groupBy(*by, "m", "b").agg(F.sum("n").alias("n"))
         whole = Window.partitionBy(*by, "m").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         up_to = Window.partitionBy(*by, "m").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
         s = s.withColumn("c", F.sum("n").over(up_to)).withColumn("all", F.sum("n").over(whole))
         q = s.groupBy(*by, "m").agg(F.max("all").alias("n"), F.min(F.when(F.col("c") * 4 >= F.col("all"), F.col("b"))).alias("q1"), F.min(F.when(F.col("c") * 4 >= F.col("all") * 3, F.col("b"))).alias("q3"))
         slack = F.create_map(*[x for m, v in SLACK.items() for x in (F.lit(m), F.lit(v))])
-        q = q.withColumn("f", F.when(F.col("n") >= LEAST_GROUP, F.col("q3") + REACH * (F.col("q3") - F.col("q1")) + slack[F.col("m")]))
-        return q.groupBy(*by).agg(*[F.max(F.when(F.col("m") == m, F.col("f"))).alias(f"{'_' * (len(by) == 1)}{m}") for m in SLACK])
+        return q.select(*by, "m", "n", (F.col("q3") + REACH * (F.col("q3") - F.col("q1")) + slack[F.col("m")]).alias("f"))
+
+    def leaning(own: DataFrame, on: DataFrame, by: list[str]) -> DataFrame:
+        on = on.select(*[F.col(c).alias(f"_{c}") for c in [*by, "m"]], F.col("f").alias("_f"))
+        joined = own.join(on, own["m"].eqNullSafe(on["_m"]) & reduce(lambda x, c: x & own[c].eqNullSafe(on[f"_{c}"]), by, F.lit(True)))
+        return joined.withColumn("f", F.expr(f"(n * f + {PRIOR} * _f) div (n + {PRIOR})")).drop("_f", "_m", *[f"_{c}" for c in by])
 
-    own, language = quartiles(sketch, ["lang", "source"]), quartiles(merged, ["lang"]).withColumnRenamed("lang", "_lang")
-    both = own.join(language, own["lang"].eqNullSafe(language["_lang"]))
-    return both.select("lang", "source", *[F.coalesce(m, f"_{m}").alias(m) for m in SLACK])
+    languages = leaning(fence(["lang"]), fence([]), [])
+    own = leaning(fence(["lang", "source"]), languages, ["lang"])
+    return own.groupBy("lang", "source").agg(*[F.max(F.when(F.col("m") == m, F.col("f"))).alias(m) for m in SLACK])
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -97,8 +112,7 @@ def judge(docs: DataFrame) -> DataFrame:
     table gives no rows; a column of ``docs`` that bears the name of a result is
     replaced by it.
     """
-    names = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "measures"}
-    docs = docs.drop(*[c for c in docs.columns if c in names])
+    docs, back = aside(docs.drop(*[c for c in docs.columns if c in RESULTS]), ["text", "lang", "source"])
     rows = Table(measured(docs), "measured").read()
     limits = fences(rows)
     limits = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[F.col(m).alias(f"_{m}") for m in SLACK])
@@ -106,9 +120,10 @@ def judge(docs: DataFrame) -> DataFrame:
     over = F.lit(False)
     for m in SLACK:
         over = over | F.coalesce(F.col(f"measures.{m}") > F.col(f"_{m}"), F.lit(False))
-    return joined.withColumn("kept", ~F.col("base_failed") & ~over).drop("_lang", "_source", *[f"_{m}" for m in SLACK])
+    return back(joined.withColumn("kept", ~F.col("base_failed") & ~over), *RESULTS)
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep."""
-    return judge(docs).where("kept").select(*docs.columns)
+    """The rows of ``docs`` that the rules keep, with all their columns, whatever their names; see :func:`judge`."""
+    inner, back = aside(docs, ["text", "lang", "source"])
+    return back(judge(inner).where("kept"))

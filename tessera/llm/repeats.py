@@ -163,7 +163,7 @@ def remove_repeats(docs: DataFrame, k: int = K, short: int = SHORT) -> DataFrame
     columns are ignored; an empty table gives no rows. Texts are whole, however
     long: pieces of a long one overlap by k - 1 words.
     """
-    docs, mark = keyed(docs), len(Table.live)
+    docs, mark = keyed(docs.select("doc_id", "text")), len(Table.live)
     found = Table(spans(docs, k, short), "spans")
     drop_since(mark, keep=found)
     rows = docs.select(*KEY, "doc_id", F.coalesce("text", F.lit("")).alias("text")).join(found.read(), KEY, "left").select("doc_id", "text", "spans")

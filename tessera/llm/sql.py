@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from tessera.llm import jaccard, licenses, mixing, quality, repeats
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -12,7 +14,7 @@ def _quality() -> str:
     measures = {"symbols": "10000 * n_symbols // greatest(word_chars, 1)", "repeats": "10000 * n_repeat_words // greatest(n_words, 1)", "lines": "10000 * n_dup_lines // greatest(n_lines, 1)", "capitals": "10000 * capitals // greatest(word_chars, 1)", "length": "100 * word_chars // greatest(n_words, 1)"}
     rows = " UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{m}' AS m, ({e})::BIGINT AS v, {quality.SLACK[m]} AS slack FROM b" for m, e in measures.items())
     quartiles = "max(total) AS n, min(CASE WHEN 4 * c >= total THEN b END) AS q1, min(CASE WHEN 4 * c >= 3 * total THEN b END) AS q3"
-    fence = f"CASE WHEN n >= {quality.LEAST_GROUP} THEN q3 + {quality.REACH} * (q3 - q1) + slack END"
+    fence, prior = f"(q3 + {quality.REACH} * (q3 - q1) + slack)::BIGINT AS f", quality.PRIOR
     return rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
 win AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) >= 3),
@@ -29,25 +31,25 @@ o2 AS (SELECT lang, source, m, any_value(slack) AS slack, {quartiles} FROM o1 GR
 l0 AS (SELECT lang, m, slack, b, sum(n) AS n FROM k GROUP BY ALL),
 l1 AS (SELECT *, sum(n) OVER (PARTITION BY lang, m ORDER BY b) AS c, sum(n) OVER (PARTITION BY lang, m) AS total FROM l0),
 l2 AS (SELECT lang, m, any_value(slack) AS slack, {quartiles} FROM l1 GROUP BY ALL),
-f AS (SELECT o2.lang, o2.source, o2.m, coalesce({fence.replace("n >=", "o2.n >=").replace("q3", "o2.q3").replace("q1", "o2.q1").replace("slack", "o2.slack")}, {fence.replace("n >=", "l2.n >=").replace("q3", "l2.q3").replace("q1", "l2.q1").replace("slack", "l2.slack")}) AS fence FROM o2 JOIN l2 ON o2.lang IS NOT DISTINCT FROM l2.lang AND o2.m = l2.m),
+a0 AS (SELECT m, slack, b, sum(n) AS n FROM k GROUP BY ALL),
+a1 AS (SELECT *, sum(n) OVER (PARTITION BY m ORDER BY b) AS c, sum(n) OVER (PARTITION BY m) AS total FROM a0),
+a2 AS (SELECT m, any_value(slack) AS slack, {quartiles} FROM a1 GROUP BY ALL),
+l3 AS (SELECT lang, m, n, {fence} FROM l2), a3 AS (SELECT m, n, {fence} FROM a2), o3 AS (SELECT lang, source, m, n, {fence} FROM o2),
+l4 AS (SELECT lang, m, (l3.n * l3.f + {prior} * a3.f)::BIGINT // (l3.n + {prior})::BIGINT AS f FROM l3 JOIN a3 USING (m)),
+f AS (SELECT o3.lang, o3.source, o3.m, (o3.n * o3.f + {prior} * l4.f)::BIGINT // (o3.n + {prior})::BIGINT AS fence FROM o3 JOIN l4 ON o3.lang IS NOT DISTINCT FROM l4.lang AND o3.m = l4.m),
 bad AS (SELECT DISTINCT doc_id FROM v JOIN f ON v.lang IS NOT DISTINCT FROM f.lang AND v.source IS NOT DISTINCT FROM f.source AND v.m = f.m WHERE v > fence)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM b"""
 
 
-#: The templates' optional and replaceable regions as patterns over " word word ".
-_TEMPLATES = {
-    "gpl-notice": "licensed under the (terms of the )?gnu general public license (as published by the free software foundation )?(either )?version [^ ]+ ",
-    "apache-notice": "licensed under the apache license ",
-    "cc-by-notice": "licensed under (a )?(creative commons )?cc by (nc )?(nd )?(sa )?[^ ]+ ",
-    "mit-notice": "under the (terms of the )?mit license ",
-    "spdx-tag": "spdx license identifier [^ ]+ ",
-    "copyright-line": "copyright (c )?([^ ]+ ){2,8}all rights reserved ",
-}
+def _pattern(markup: str) -> str:
+    """A template as a pattern over "word word "."""
+    markup = re.sub(r"\{\{[^}]*:(\d+)-(\d+)\}\} ?", r"([^ ]+ ){\1,\2}", f"{markup} ".replace("]] ", "]]"))
+    return markup.replace("]]", " )?").replace("[[", "(").replace(" )", " )").replace("}  )", "} )").replace("} )?", "})?")
 
 
 def _licenses() -> str:
     places = " UNION ALL ".join(f"SELECT doc_id, unnest(list_filter(range(len(w)), lambda i: array_to_string(w[i + 1:i + {len(p.split())}], ' ') = '{p}')) AS i, '{label}' AS label FROM d WHERE contains(line, ' {p} ')" for p, label in licenses.PHRASES.items())
-    own = " || ".join(f"CASE WHEN regexp_matches(line, ' {x}') THEN ['{label}'] ELSE []::VARCHAR[] END" for label, x in _TEMPLATES.items())
+    own = " || ".join(f"CASE WHEN regexp_matches(line, ' {x}') THEN ['{label}'] ELSE []::VARCHAR[] END" for label, x in ((n, _pattern(m)) for n, m in licenses.TEMPLATES.items()))
     return rf"""
 WITH x AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 d AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS line FROM x),

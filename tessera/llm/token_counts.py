@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACES, cut, shared_dir, small_batches
+from tessera.llm.common import SPACES, Table, cut, shared_dir, small_batches
 from tessera.llm.tokens import WordEncoder, version_digest
 
 SCHEMA = "digest binary, n_tokens long"
@@ -23,14 +23,15 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     """For each row of ``docs`` (doc_id, text): doc_id, n_bytes, n_tokens, over_limit.
 
     ``cache`` is a folder that all executors share; it is created where it is
-    missing, and without one the call has a cache of its own. An append writes
+    missing, and without one the call has a cache of its own that goes with the
+    session. An append writes
     whole files only, so a failed run leaves nothing half-counted; a count that
     two runs append twice is read once. A null text is empty (0 tokens); an
     empty table gives no rows; repeated rows count each; other columns are
     ignored.
     """
     spark = small_batches(docs).sparkSession
-    cache = cache or f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"
+    cache = cache or Table.at(spark, f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}").path
     version = version_digest(tokenizer)
     text = F.coalesce("text", F.lit(""))
     normal = F.trim(F.regexp_replace(text, SPACES, " "))

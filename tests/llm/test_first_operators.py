@@ -155,6 +155,11 @@ def brute_next(rows):
     return [(r, order[(i + 1) % len(order)]) for i, r in enumerate(order)]
 
 
+def prints(fingerprint):
+    text = fingerprint.partition(":")[2]
+    return {text[i : i + 16] for i in range(0, len(text), 16)}
+
+
 def test_fingerprints(spark):
     rows = [r for i, r in enumerate(awkward()) if i != 2]
     got = {r.doc_id: r for r in fingerprints.fingerprint(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
@@ -164,7 +169,9 @@ def test_fingerprints(spark):
         n = len(t)
         edited = t[: n - n // 4] + after[: n // 4]
         assert (g.n_chars, g.edited_sha256) == (n, hashlib.sha256(edited.encode()).hexdigest()), r[0]
-        assert 0 <= g.near_edited <= 1 and 0 <= g.near_next <= 1
+        own, changed, other = (prints(x) for x in (g.fingerprint, g.edited_fingerprint, got[nxt[0]].fingerprint))
+        alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+        assert (g.near_edited, g.near_next) == (alike(own, changed), alike(own, other)), r[0]
     assert got[0].fingerprint == got[1].fingerprint and got[0].near_next == 1
     assert fingerprints.fingerprint(spark.createDataFrame([], SCHEMA)).count() == 0
 
@@ -189,7 +196,7 @@ def test_signatures_are_whole_and_continuous(spark):
     want = {(w[i], *content(i)) for i in anchors} | {(w[i], (w + [""])[i + 1]) for i in range(70) if not {"the", "of"} & set(w[max(0, i - 2) : i + 1])}
     got, anchors_only, signs, empty = sets([" ".join(w), "the of", "###", ""])
     assert len(got) == len(want) and anchors_only and len(signs) == 1 and not empty
-    literal = [(F.xxhash64(*[F.lit(x) for x in k]).bitwiseAND(F.lit(4294967295))) for k in want]
+    literal = [(F.xxhash64(*[F.lit(x) for x in k])) for k in want]
     assert got == set(spark.range(1).select(F.array(*literal).alias("s")).first().s)
 
 
@@ -208,8 +215,7 @@ def test_near_classes(spark):
     docs = spark.createDataFrame(rows, SCHEMA)
     sets = {}
     for r in fingerprints.fingerprint(docs).collect():
-        text = r.fingerprint.partition(":")[2]
-        sets[r.doc_id] = {text[i : i + 8] for i in range(0, len(text), 8)}
+        sets[r.doc_id] = prints(r.fingerprint)
     parent = {i: i for i in sets}
 
     def top(i):
@@ -222,4 +228,29 @@ def test_near_classes(spark):
                 parent[max(a, b)] = min(a, b)
     got = {r.doc_id: (r.n_signatures, r.class_id) for r in fingerprints.near_classes(docs).collect()}
     assert got == {i: (len(s), top(i)) for i, s in sets.items()}
+    assert {r.doc_id: r.class_id for r in fingerprints.fingerprint(docs).collect()} == {i: top(i) for i in sets}
     assert fingerprints.near_classes(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_repeats_beside_clashing_hashes(spark):
+    """Two windows whose hashes agree in their upper 40 bits stand between repeats of one of them."""
+    fill = lambda s, n: " ".join(f"{s}{i}" for i in range(n))
+    texts = [" ".join(["a b w3205730", fill("p", 5), "a b w3107512", fill("q", 5), f"a b {last}", fill("z", 3)]) for last in ("w3205730", "w3205731", "w3107512")]
+    rows = quality.judge(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)).collect()
+    assert {r.doc_id: r.n_repeat_words for r in rows} == {0: 6, 1: 0, 2: 6} == {i: brute_quality(t)[4] for i, t in enumerate(texts)}
+
+
+def test_templates_of_any_kind():
+    scan = licenses.Scanner(licenses.PHRASES, {"grant": "permission is hereby granted [[free of charge]]", "open": "{{who:1-2}} may copy this"}).scan
+    assert scan(b"Permission is hereby granted, free of charge. Anyone may copy this")[2] == [(0, 7, "grant"), (6, 5, "open")]
+    assert scan(b"you can copy this")[2] == []
+    n = 40_000
+    assert licenses.Scanner(licenses.PHRASES, licenses.TEMPLATES).scan(b"mit license " * n)[1][-1] == (2 * n - 2, "mit")
+
+
+def test_empty_share(spark, path):
+    docs = spark.createDataFrame([(i, "one two three", "en", "ab"[i % 2], 13) for i in range(20)], SCHEMA)
+    shares = spark.createDataFrame([("a", 0.0), ("b", 1.0)], "source string, share double")
+    rows = packing.pack(docs, path, length=16, shares=shares).collect()
+    places = {s: [r.sequence_id * 16 + r.offset for r in rows if r.source == s] for s in "ab"}
+    assert {r.doc_id for r in rows} == set(range(20)) and max(places["b"]) < min(places["a"])
