@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import jaccard, mixing, packing, quality, secrets, tokens
-from tessera.llm.common import cut
+from tessera.llm.common import Table, drop_since
 from tessera.llm.queries import VOCABULARY, documents
 
 
@@ -46,8 +46,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another over the documents, each written to the shared folder and read again."""
-    docs = documents(spark, sf_dir)
+    """The stages one after another over the documents, each written to the shared folder and read again; the last one's input goes with the session."""
+    docs, mark = documents(spark, sf_dir), len(Table.live)
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), "stage")
+        kept = Table(stage(spark, docs, sf_dir), "stage")
+        drop_since(mark, keep=kept)  # the stage before and what this one wrote on its way
+        docs = kept.read()
     return STAGES[-1][1](spark, docs, sf_dir)
