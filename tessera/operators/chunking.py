@@ -66,6 +66,16 @@ def _split_by(texts: pd.Series, sizes: pd.Series, overlaps: pd.Series) -> pd.Ser
     return pd.Series([split_text(t or "", int(s), int(o)) for t, s, o in zip(texts, sizes, overlaps, strict=True)])
 
 
+def long_splitter(longest: int, size: int, overlap: int):
+    """Arrays of parts with those beyond ``longest`` characters split on, in place."""
+
+    @F.pandas_udf("array<string>")
+    def split(parts: pd.Series) -> pd.Series:
+        return parts.map(lambda p: None if p is None else [s for t in p for s in (split_text(t, size, overlap) if len(t) > longest else [t])])
+
+    return split
+
+
 def merged_short(parts: Column, least: int, sep: str) -> Column:
     """A left fold that appends a part below ``least`` characters to the one before."""
 
@@ -94,25 +104,22 @@ def fixed_chunks(docs: DataFrame, size: int = 1000, overlap: int = 100) -> DataF
 
 
 def adaptive_chunks(docs: DataFrame) -> DataFrame:
-    """by headings of HTML or markdown, by paragraphs, or by length, as the text's structure tells; long sections are split on."""
-    raw, kind = F.col("raw_content"), T.structure("raw_content")
-    params = T.chunk_params(F.length(raw))
-    docs = docs.where(F.length("raw_content") > 0)
-    plain = docs.where(kind == "plain").withColumn("parts", _split_by(raw, params["size"], params["overlap"]))
-    marked = docs.where(kind == "markdown").withColumn("parts", T.markdown_parts(raw))
-    html = docs.where(kind == "html").withColumn("parts", section_texts(raw))
-    blocks = docs.where(kind == "paragraphs").withColumn("parts", merged_short(T.paragraphs(raw), SHORT_PARAGRAPH, "\n\n"))
-    sections = marked.unionByName(html).unionByName(blocks)
-    split = splitter(*SECTION_SPLIT)
-    pieces = sections.select("doc_id", "url", "title", "raw_content", F.posexplode("parts").alias("pos", "part"))
-    pieces = pieces.withColumn("sub", F.when(F.length("part") > LONG_SECTION, split("part")).otherwise(F.array("part")))
-    again = pieces.groupBy("doc_id", "url", "title").agg(F.first("raw_content").alias("raw_content"), F.array_sort(F.collect_list(F.struct("pos", "sub"))).alias("p"))
-    again = again.withColumn("parts", F.flatten(F.transform("p", lambda x: x["sub"]))).drop("p")
-    return _chunks(plain.unionByName(again), F.col("parts"))
+    """by headings of HTML or markdown, by paragraphs, or by length, as the text's structure tells; long sections are split on.
+
+    All within the row, in one scan: nothing is shuffled, and repeated
+    documents keep chunks of their own.
+    """
+    docs = docs.where(F.length("raw_content") > 0).withColumn("_kind", T.structure("raw_content"))
+    only = lambda kind: F.when(F.col("_kind") == kind, F.col("raw_content"))  # noqa: E731  others cost the functions nothing
+    params = T.chunk_params(F.length("raw_content"))
+    sections = F.when(F.col("_kind") == "markdown", T.markdown_parts(only("markdown"))).when(F.col("_kind") == "paragraphs", merged_short(T.paragraphs(only("paragraphs")), SHORT_PARAGRAPH, "\n\n")).otherwise(F.col("_html"))
+    docs = docs.withColumn("_html", section_texts(only("html"))).withColumn("_plain", _split_by(only("plain"), params["size"], params["overlap"]))
+    docs = docs.withColumn("_parts", long_splitter(LONG_SECTION, *SECTION_SPLIT)(sections))
+    return _chunks(docs, F.when(F.col("_kind") == "plain", F.col("_plain")).otherwise(F.col("_parts")))
 
 
 def sentence_rows(docs: DataFrame) -> DataFrame:
-    return docs.where(F.length("raw_content") > 0).select("doc_id", F.posexplode(T.sentences("raw_content")).alias("pos", "sentence"))
+    return docs.where(F.length("raw_content") > 0).select(*[c for c in docs.columns if c != "raw_content"], F.posexplode(T.sentences("raw_content")).alias("pos", "sentence"))
 
 
 def breakpoints(sentences: DataFrame, key: str = "doc_id", spread: float = 0.3) -> DataFrame:
@@ -126,10 +133,12 @@ def breakpoints(sentences: DataFrame, key: str = "doc_id", spread: float = 0.3)
 
 def semantic_chunks(docs: DataFrame, embed: Embed, overlap_sentences: int = 1, most: int = 1500) -> DataFrame:
     """sentences, grouped between breakpoints; short groups join the one before, each group begins with the last sentence of the one before."""
-    rows = breakpoints(sentence_rows(docs).withColumn("embedding", embed(F.col("sentence"))))
-    groups = rows.groupBy("doc_id", "part").agg(F.array_sort(F.collect_list(F.struct("pos", "sentence"))).alias("s"))
-    groups = groups.select("doc_id", "part", F.transform("s", lambda x: x["sentence"]).alias("s"))
-    by_doc = groups.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part", "s"))).alias("g")).select("doc_id", F.transform("g", lambda x: x["s"]).alias("g"))
+    docs = docs.withColumn("_text", F.xxhash64("raw_content"))  # rows of one doc_id may differ, and equal ones are chunked once
+    unique = docs.dropDuplicates(["doc_id", "_text"]).select(F.struct("doc_id", "_text").alias("doc"), "raw_content")
+    rows = breakpoints(sentence_rows(unique).withColumn("embedding", embed(F.col("sentence"))), "doc")
+    groups = rows.groupBy("doc", "part").agg(F.array_sort(F.collect_list(F.struct("pos", "sentence"))).alias("s"))
+    groups = groups.select("doc", "part", F.transform("s", lambda x: x["sentence"]).alias("s"))
+    by_doc = groups.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("part", "s"))).alias("g")).select("doc", F.transform("g", lambda x: x["s"]).alias("g"))
     none = F.array().cast("array<array<string>>")
 
     def join_short(done: Column, group: Column) -> Column:
@@ -143,10 +152,8 @@ def semantic_chunks(docs: DataFrame, embed: Embed, overlap_sentences: int = 1, m
         return F.concat(done, F.array(F.when((F.size(done) > 0) & F.lit(overlap_sentences > 0), F.concat(tail, group)).otherwise(group)))
 
     folded = by_doc.withColumn("g", F.aggregate("g", none, join_short)).withColumn("g", F.aggregate("g", none, overlap))
-    texts = folded.select("doc_id", F.posexplode(F.transform("g", lambda g: F.array_join(g, " "))).alias("pos", "t"))
-    texts = texts.withColumn("sub", F.when(F.length("t") > most, splitter(most, 100)("t")).otherwise(F.array("t")))
-    parts = texts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "sub"))).alias("p")).select("doc_id", F.flatten(F.transform("p", lambda x: x["sub"])).alias("parts"))
-    return _chunks(docs.join(parts, "doc_id"), F.col("parts"))
+    texts = folded.select("doc.*", F.transform("g", lambda g: F.array_join(g, " ")).alias("t")).withColumn("parts", long_splitter(most, most, 100)("t")).drop("t")
+    return _chunks(docs.join(texts, ["doc_id", "_text"]), F.col("parts"))
 
 
 #: Strategies by name (C10); a strategy that needs a model takes it as ``embed``.

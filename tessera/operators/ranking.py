@@ -54,9 +54,14 @@ def vector_scores(queries: DataFrame, chunks: DataFrame, key: str = "chunk_id")
 
 
 def ranked(df: DataFrame, score: str, rank: str, by: str = "query_id", pos: str = "pos", most: int | None = None) -> DataFrame:
-    """Adds the 0-based rank by descending score; equal scores keep the input's order."""
-    out = df.withColumn(rank, F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), F.asc(pos))) - 1)
-    return out if most is None else out.where(F.col(rank) < most)
+    """Adds the 0-based rank by descending score; equal scores keep the input's order.
+
+    With ``most`` the filter stands on the row number itself, so each task keeps
+    its own best ``most`` rows and only these meet.
+    """
+    out = df.withColumn(rank, F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), F.asc(pos))))
+    out = out if most is None else out.where(F.col(rank) <= most)
+    return out.withColumn(rank, F.col(rank) - 1)
 
 
 def rrf_score(*ranks: str, k: int = RRF_K) -> Column:
@@ -81,12 +86,15 @@ def weighted(scored: DataFrame, bm25_weight: float = BM25_WEIGHT, vector_weight:
 
 
 def hybrid(queries: DataFrame, chunks: DataFrame, top_k: int, mode: str = "rrf", key: str = "chunk_id", k: int = RRF_K, weights: tuple[float, float] = (BM25_WEIGHT, VECTOR_WEIGHT)) -> DataFrame:
-    """The ``top_k`` chunks of each query with all their scores; ``mode`` is rrf, weighted or vector."""
+    """The ``top_k`` chunks of each query with all their scores; ``mode`` is rrf, weighted or vector.
+
+    Ranks need keys and scores alone: contents join the ``top_k`` at the end.
+    """
     both = vector_scores(queries, chunks, key).join(bm25(queries, chunks, key), ["query_id", key], "left").withColumn("bm25_score", F.coalesce("bm25_score", F.lit(0.0)))
-    drop = [c for c in ("vector_score", "bm25_score", "hybrid_score") if c in chunks.columns]
-    scored = both.join(chunks.drop(*drop), key)
+    scored = both.join(chunks.select(key, "pos"), key)
     fused = rrf(scored, k=k) if mode == "rrf" else weighted(scored, *((0.0, 1.0) if mode == "vector" else weights))
-    return ranked(fused, "hybrid_score", "rank", most=top_k)
+    best = ranked(fused, "hybrid_score", "rank", most=top_k)
+    return best.join(chunks.drop("pos", *[c for c in ("vector_score", "bm25_score", "hybrid_score") if c in chunks.columns]), key)
 
 
 def fused_candidates(bm25_ranked: DataFrame, vector_ranked: DataFrame, key: str = "chunk_id", k: int = RRF_K) -> DataFrame:

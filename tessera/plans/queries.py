@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.functions import html, markdown
 from tessera.functions import text as T
@@ -149,13 +150,11 @@ def rerank_cascade(spark, d):
     return ranking.ranked(rows.withColumn("sort_score", ranking.sort_score()), "sort_score", "rank", most=10).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), rounded("sort_score"))
 
 
-@query("SELECT min(b.vec_id) AS dropped, a.embedding::VARCHAR = b.embedding::VARCHAR AS same, count(*) AS n FROM embeddings a JOIN embeddings b ON a.vec_id = b.vec_id GROUP BY 2")
+@query("SELECT d.doc_id, m.index_pos FROM documents d JOIN (SELECT text, max(doc_id) AS index_pos FROM documents GROUP BY 1) m USING (text)")
 def hits_by_text(spark, d):
     """Hits meet an index by their text; of equal texts the last index counts."""
-    e = table(spark, d, "embeddings").withColumn("content", F.col("embedding").cast("string"))
-    index = e.select("content", F.col("vec_id").alias("index_pos"))
-    met = ranking.by_text(e.select("content", "vec_id"), index)
-    return met.agg(F.min("index_pos").alias("dropped"), F.count("*").alias("n")).select("dropped", F.lit(True).alias("same"), "n")
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
+    return ranking.by_text(docs, docs.select("content", F.col("doc_id").alias("index_pos"))).select("doc_id", "index_pos")
 
 
 @query(f"WITH {_COS} SELECT round(coalesce(max(s), 0), 6) AS best FROM c")
@@ -342,10 +341,10 @@ def tool_result_rows(spark, d):
     return rows.select(F.col("pos").alias("event_id"), "title", "url", "content")
 
 
-@query(r"SELECT doc_id, substr(md5(text), 1, 10) || '_' || trim(regexp_replace(left(text, 40), '[^\pL\pN_\pM\s-]', '', 'g'), E' \n') AS name FROM documents")
+@query(r"SELECT doc_id, substr(md5(text), 1, 10) || '_' || trim(regexp_replace(text, '[^\pL\pN_\pM\s-]', '', 'g'), E' \n') AS name FROM documents")
 def file_names(spark, d):
     """F41."""
-    return table(spark, d, "documents").select("doc_id", F.concat(F.substring(F.md5("text"), 1, 10), F.substring(T.file_name(F.left("text", F.lit(40))), 11, 1000)).alias("name"))
+    return table(spark, d, "documents").select("doc_id", F.concat(F.substring(F.md5("text"), 1, 10), F.substring(T.file_name("text"), 11, 2**31 - 1)).alias("name"))
 
 
 # ------------------------------------------------------------------ pages and research
@@ -435,17 +434,17 @@ def min_spacing_schedule(spark, d):
     return research.spaced(e, 3600.0, "user_id").select("event_id", rounded("start", 3))
 
 
-@query("SELECT page_id AS pos, '[' || (page_id + 1) || '] page ' || page_id || ': ' || left(html, 50) || ' (' || url || ')' AS line FROM pages")
+@query("SELECT page_id AS pos, '[' || (page_id + 1) || '] page ' || page_id || ': ' || html || ' (' || url || ')' AS line FROM pages")
 def quick_answers(spark, d):
     """C18."""
-    p = table(spark, d, "pages").select(F.col("page_id").alias("pos"), F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("title"), F.left("html", F.lit(50)).alias("body"), F.col("url").alias("href"))
+    p = table(spark, d, "pages").select(F.col("page_id").alias("pos"), F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("title"), F.col("html").alias("body"), F.col("url").alias("href"))
     return research.quick_answers(p)
 
 
-@query("SELECT page_id AS pos, 't' || page_id AS title, url AS href, NULL::VARCHAR AS body, nullif(left(html, 30), '') AS raw_content FROM pages")
+@query("SELECT page_id AS pos, 't' || page_id AS title, url AS href, NULL::VARCHAR AS body, nullif(html, '') AS raw_content FROM pages")
 def canonical_hits(spark, d):
     """1.3: hits of one connector's shape in the common one."""
-    p = table(spark, d, "pages").select(F.col("page_id").alias("pos"), F.concat(F.lit("t"), F.col("page_id").cast("string")).alias("title"), F.lit("").alias("href"), "url", F.left("html", F.lit(30)).alias("raw_content"))
+    p = table(spark, d, "pages").select(F.col("page_id").alias("pos"), F.concat(F.lit("t"), F.col("page_id").cast("string")).alias("title"), F.lit("").alias("href"), "url", F.col("html").alias("raw_content"))
     return search.canonical(p)
 
 
@@ -589,11 +588,12 @@ def report_layout(spark, d):
     return table(spark, d, "region").select("r_regionkey", reports.layout(names, F.col("r_name"), lit("today"), lit("i"), lit("t"), F.array(lit("a"), lit("b")), lit("c"), F.array(lit("x"))).alias("report"))
 
 
-@query("SELECT n_nationkey AS pos, n_name AS header, i.url AS image_url FROM nation LEFT JOIN (SELECT n_name AS h, 'img' || max(c_custkey) AS url FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_nationkey % 2 = 0 GROUP BY 1) i ON h = n_name")
+@query("SELECT n_nationkey AS pos, n_name AS header, i.url AS image_url FROM nation LEFT JOIN (SELECT n_name AS h, 'img' || max(c_custkey) AS url FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey <> 2 GROUP BY 1) i ON h = n_name")
 def section_images(spark, d):
     """J11."""
-    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("header"))
-    c = table(spark, d, "customer").where("c_nationkey % 2 = 0").join(n, F.col("pos") == F.col("c_nationkey")).select("header", F.concat(F.lit("img"), F.col("c_custkey").cast("string")).alias("url"), F.col("c_custkey").alias("seq"))
+    nations = table(spark, d, "nation")
+    n = nations.select(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("header"))
+    c = table(spark, d, "customer").join(nations.where("n_regionkey <> 2").select(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("header")), F.col("pos") == F.col("c_nationkey")).select("header", F.concat(F.lit("img"), F.col("c_custkey").cast("string")).alias("url"), F.col("c_custkey").alias("seq"))
     return reports.section_images(n, c).select("pos", "header", "image_url")
 
 
@@ -747,7 +747,10 @@ def retrieval_pipeline(spark, d):
 
 
 def _shared(spark) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints").rstrip("/")
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    return (path or f"file://{tempfile.gettempdir()}/checkpoints").rstrip("/")
 
 
 @query()
@@ -757,3 +760,273 @@ def store_questions(spark, d):
     store.load(chunking.documents(table(spark, d, "documents")))
     tool = QuestionTool(Pipeline(Settings(), digest_embedding, store=store))
     return tool.query(_questions(spark, d)).select("query_id", F.size("chunks").alias("n_chunks"), F.size("sources").alias("n_sources"), F.length("context").alias("n"))
+
+
+# ------------------------------------------------------------------ whole operators, by embeddings that SQL can express
+
+
+def letters(c):
+    """A small embedding from the text's own letters, whole numbers, in place of a model."""
+    count = lambda x: F.length(c) - F.length(F.translate(c, x, ""))
+    return F.array(count("e"), count("a"), count("n"), count("t"), count("o"), F.lit(1)).cast("array<float>")
+
+
+def _letters(c: str) -> str:
+    return "[" + ", ".join(f"(length({c}) - length(replace({c}, '{x}', '')))::DOUBLE" for x in "eanto") + ", 1.0::DOUBLE]"
+
+
+_ASKED = rf"""q AS (SELECT item_id AS query_id, text AS query, {_letters("text")} AS v FROM benchmark WHERE item_id % 50 = 0), {_TERMS},
+st AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM t) / (SELECT count(*) FROM documents) AS avgdl),
+qt AS (SELECT DISTINCT query_id, unnest(list_filter(string_split_regex(lower(query), '\s+'), lambda x: x <> '')) AS term FROM q),
+tf AS (SELECT t.doc_id, term, count(*) AS tf, any_value(sz.n) AS size FROM t JOIN sz USING (doc_id) WHERE term IN (SELECT term FROM qt) GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+b AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / avgdl))), 9) AS b FROM tf JOIN df USING (term) JOIN qt USING (term), st GROUP BY 1, 2),
+e AS (SELECT doc_id, {_letters("text")} AS v FROM documents),
+s AS (SELECT query_id, doc_id, round(list_cosine_similarity(q.v, e.v), 9) AS s, coalesce(b, 0) AS b FROM q CROSS JOIN e LEFT JOIN b USING (query_id, doc_id))"""
+
+
+def _asked(spark, d):
+    """Stated queries and all documents as chunks, both embedded."""
+    q = _questions(spark, d).withColumn("embedding", letters(F.col("query")))
+    return q, doc_chunks(spark, d).withColumn("embedding", letters(F.col("content")))
+
+
+def _scores(q, chunks) -> DataFrame:
+    """The two scores of every pair, rounded, as sums differ in their last digits by order."""
+    both = ranking.vector_scores(q, chunks).join(ranking.bm25(q, chunks), ["query_id", "chunk_id"], "left")
+    return both.select("query_id", "chunk_id", F.round("vector_score", 9).alias("vector_score"), F.round(F.coalesce("bm25_score", F.lit(0.0)), 9).alias("bm25_score")).join(chunks.select("chunk_id", "pos"), "chunk_id")
+
+
+@query(f"WITH {_ASKED}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY b DESC, doc_id) AS br, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS vr FROM s) SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(1.0 / (60 + br) + 1.0 / (60 + vr), 12) DESC, doc_id) - 1 AS rank, round(s, 6) AS vector_score, round(b, 6) AS bm25_score, round(1.0 / (60 + br) + 1.0 / (60 + vr), 6) AS hybrid_score FROM r QUALIFY rank < 20")
+def hybrid_fusion_of_texts(spark, d):
+    """C1 by its parts, with real BM25 and cosine scores of the same texts: W1, W2."""
+    fused = ranking.rrf(_scores(*_asked(spark, d))).withColumn("hybrid_score", F.round("hybrid_score", 12))
+    return ranking.ranked(fused, "hybrid_score", "rank", most=20).select("query_id", F.col("chunk_id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), rounded("vector_score"), rounded("bm25_score"), rounded("hybrid_score"))
+
+
+@query(f"WITH {_ASKED}, w AS (SELECT query_id, doc_id, s / CASE WHEN max(s) OVER (PARTITION BY query_id) > 0 THEN max(s) OVER (PARTITION BY query_id) ELSE 1 END AS h FROM s) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(h, 6) DESC) - 1 AS rank, round(h, 6) AS hybrid_score FROM w QUALIFY rank < 20")
+def hybrid_retrieve(spark, d):
+    """C1 as a whole in its vector mode; equal scores may change places, so ids aren't shown."""
+    found = ranking.hybrid(*_asked(spark, d), 20, "vector")
+    assert {"content", "source", "title"} <= set(found.columns)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), rounded("hybrid_score"))
+
+
+@query(f"WITH {_ASKED}, c AS (SELECT query_id, doc_id FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) <= 15), k AS (SELECT query_id, doc_id FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY b DESC, doc_id) <= 15) SELECT query_id, count(*) AS candidates, count(k.doc_id) FILTER (c.doc_id IS NOT NULL) AS by_both FROM c FULL JOIN k USING (query_id, doc_id) GROUP BY 1")
+def candidates_of_texts(spark, d):
+    """The nearest vectors and the best BM25 hits meet in a full outer merge."""
+    scores = _scores(*_asked(spark, d))
+    v = ranking.ranked(scores, "vector_score", "vector_rank", most=15).select("query_id", "chunk_id", "vector_rank")
+    b = ranking.ranked(scores.where("bm25_score > 0"), "bm25_score", "bm25_rank", most=15).select("query_id", "chunk_id", "bm25_rank")
+    f = ranking.fused_candidates(b, v)
+    return f.groupBy("query_id").agg(F.count("*").alias("candidates"), F.count(F.when(F.col("bm25_rank").isNotNull() & F.col("vector_rank").isNotNull(), 1)).alias("by_both"))
+
+
+@query("WITH p AS (SELECT q.item_id AS query_id, d.doc_id, (length(d.text) * 31 + length(q.text)) % 97 / 97.0::DOUBLE AS s FROM benchmark q, documents d WHERE q.item_id % 50 = 0) SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) - 1 AS rank, round(s, 6) AS rerank_score FROM p QUALIFY rank < 10")
+def rerank_by_model(spark, d):
+    """W8, with a model of both texts' lengths."""
+    q, chunks = _asked(spark, d)
+    hits = chunks.join(q.select("query_id"))
+    out = ranking.rerank_by(q, hits, lambda a, b: (F.length(b) * 31 + F.length(a)) % 97 / F.lit(97.0), 10)
+    return out.select("query_id", F.col("chunk_id").alias("doc_id"), F.col("rerank_rank").cast("long").alias("rank"), rounded("rerank_score"))
+
+
+@query("WITH k AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY length(text) % 1009 DESC, doc_id) AS n, sum(length(text)) OVER (PARTITION BY source) AS chars, count(*) OVER (PARTITION BY source) AS many FROM documents WHERE text IS NOT NULL AND source IS NOT NULL) SELECT source AS query_id, md5(string_agg('Source: ' || source || chr(10) || 'Title: Doc ' || doc_id || chr(10) || 'Content: ' || text, chr(10) ORDER BY CASE WHEN chars < 2000 AND many <= 10 THEN doc_id ELSE n END)) AS context_md5 FROM k WHERE n <= 10 OR chars < 2000 AND many <= 10 GROUP BY 1")
+def compressed_contexts(spark, d):
+    """Small sets as they are, others cut to the ten best; nothing is alike beyond the threshold given."""
+    hits = doc_chunks(spark, d).where("content is not null and source is not null").withColumn("query_id", F.col("source")).withColumn("vector_score", (F.length("content") % 1009).cast("double"))
+    hits = hits.select("*", F.lit(0.0).alias("rerank_score"), F.lit(0.0).alias("hybrid_score"), F.array(F.col("chunk_id").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
+    return context.compressed(hits, most=10, threshold=2.0).select("query_id", F.md5("context").alias("context_md5"))
+
+
+@query("WITH c AS (SELECT string_agg('Source: ' || r_name || chr(10) || 'Title: Region ' || r_regionkey || chr(10) || 'Content: ' || r_name || chr(10), chr(10) ORDER BY r_regionkey) AS context FROM region) SELECT n_nationkey AS query_id, context FROM nation, c")
+def few_documents_context(spark, d):
+    """C5, its fast path: documents that are few and short go to every query as they are."""
+    docs = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("doc_id"), F.col("r_name").alias("source"), F.concat(F.lit("Region "), F.col("r_regionkey").cast("string")).alias("title"), F.col("r_name").alias("content"))
+    q = table(spark, d, "nation").select(F.col("n_nationkey").alias("query_id"), F.col("n_name").alias("query")).withColumn("embedding", letters(F.lower("query")))
+    return context.context_of(q, docs, lambda c: letters(F.lower(c)), most=5)
+
+
+_NAMES = f"p AS (SELECT p_partkey, p_name, {_letters('p_name')} AS v FROM part), q AS (SELECT r_regionkey AS query_id, {_letters('lower(r_name)')} AS v FROM region), s AS (SELECT query_id, p_partkey, p_name, round(list_cosine_similarity(q.v, p.v), 6) AS similarity FROM q, p)"
+
+
+def _written(spark, d):
+    sections = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.lit("Part").alias("section_title"), F.col("p_name").alias("written_content"))
+    q = table(spark, d, "region").select(F.col("r_regionkey").alias("query_id"), letters(F.lower("r_name")).alias("embedding"))
+    return q, sections
+
+
+@query(f"WITH {_NAMES}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC) - 1 AS rank FROM s WHERE similarity >= 0.5) SELECT query_id, rank FROM k WHERE rank < 5")
+def written_sections(spark, d):
+    """The sections like each query, at most five, as entries."""
+    rows = context.written_contents(*_written(spark, d), letters, most=5)
+    return rows.where("content like 'Title: Part%Content: %'").select("query_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {_NAMES}, k AS (SELECT DISTINCT p_name FROM s WHERE similarity >= 0.5 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC) <= 5) SELECT least(10, 5) AS least_rows, true AS within")
+def written_for_drafts(spark, d):
+    """Distinct entries over all draft titles, at most ten."""
+    rows = context.written_for_titles(*_written(spark, d), letters, 10)
+    return rows.agg(F.least(F.lit(5), F.count("*")).cast("int").alias("least_rows"), ((F.count("*") <= 10) & (F.count("*") == F.count_distinct("content"))).alias("within"))
+
+
+@query("WITH v AS (SELECT item_id AS query_id, 0 AS variant, text AS query FROM benchmark UNION ALL SELECT item_id, 1, 'about ' || length(text) FROM benchmark UNION ALL SELECT item_id, 2, 'more of ' || item_id FROM benchmark) SELECT * FROM v")
+def rewritten_queries(spark, d):
+    """The query and the bullets of a model's answer."""
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    model = lambda c: F.concat(F.lit("- about "), F.length(c).cast("string"), F.lit("\n- more of "), F.col("query_id").cast("string"))
+    return research.query_variants(q, "multi", model)
+
+
+@query("SELECT item_id AS query_id, 0 AS variant, text AS query FROM benchmark UNION ALL SELECT item_id, 1, 'passage of ' || length(text) FROM benchmark")
+def hypothetical_passages(spark, d):
+    """The query and a model's passage."""
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return research.query_variants(q, "hyde", lambda c: F.concat(F.lit("passage of "), F.length(c).cast("string")))
+
+
+@query("WITH g AS (SELECT source AS query_id, count(*) AS n, max(length(text) / 20000.0::DOUBLE) AS best FROM documents GROUP BY 1) SELECT r.query_id FROM (SELECT DISTINCT source AS query_id FROM documents WHERE source IS NOT NULL UNION ALL SELECT 'nowhere') r LEFT JOIN g USING (query_id) WHERE coalesce(n, 0) < 20 OR coalesce(best, 0) < 0.3")
+def insufficient_hits(spark, d):
+    """Queries of too few hits or too low a best score."""
+    docs = table(spark, d, "documents")
+    q = docs.where("source is not null").select(F.col("source").alias("query_id")).distinct().unionByName(spark.range(1).select(F.lit("nowhere").alias("query_id")))
+    return research.insufficient(q, docs.select(F.col("source").alias("query_id"), (F.length("text") / 20000.0).alias("vector_score")), 20, 0.3).select("query_id")
+
+
+@query("WITH h AS (SELECT url, html, page_id % 3 AS kind FROM pages), v AS (SELECT url FROM pages WHERE page_id % 5 = 0), f AS (SELECT DISTINCT url FROM h WHERE kind <> 0 OR length(html) <= 100) SELECT url, md5(html) AS text_md5 FROM h WHERE kind = 0 AND length(html) > 100 UNION ALL SELECT p.url, md5(html) FROM pages p JOIN f USING (url) WHERE url NOT IN (SELECT url FROM v) AND length(html) >= 100")
+def scraped_by_urls(spark, d):
+    """Texts that came with the hits, and the pages of what is left to fetch."""
+    p = table(spark, d, "pages")
+    hits = p.select(F.col("page_id").alias("pos"), F.lit("").alias("href"), "url", F.when(F.col("page_id") % 3 == 0, F.col("html")).alias("raw_content"), F.lit("").alias("body"))
+    out = research.scraped(hits, p.where("page_id % 5 = 0").select("url"), p.select("url", F.col("html").alias("raw_content")))
+    return out.select("url", F.md5("raw_content").alias("text_md5"))
+
+
+@query("SELECT 'local' AS side, count(*) AS n FROM documents UNION ALL SELECT 'web', count(*) FROM pages")
+def hybrid_sources(spark, d):
+    """C14: local documents, then those of the web."""
+    local, web = table(spark, d, "documents").select(F.col("text").alias("raw_content")), table(spark, d, "pages").select(F.col("html").alias("raw_content"))
+    return research.source_mode("hybrid", web, local).groupBy("side").agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN trim(html, E' \\t\\n\\r') ELSE html END AS raw_content FROM pages")
+def fetched_pages(spark, d):
+    """P10: pages that were fetched are stripped, others pass."""
+    p = table(spark, d, "pages").select("page_id", "url", F.col("html").alias("raw_content"), F.when(F.col("page_id") % 2 == 0, "success").otherwise("error").alias("status"))
+    return research.successes(p).select("page_id", "raw_content")
+
+
+@query("SELECT n_nationkey, 'About ' || n_name || chr(10) || chr(10) || '- ' || n_name || chr(10) || chr(10) || coalesce(n_name || ' body' || chr(10) || chr(10), '') || 'end' || chr(10) || chr(10) || 'refs' AS report, substr('a long name of a report about the many customers and orders in ' || n_name, 1, 60) || '.md' AS file FROM nation")
+def detailed_reports(spark, d):
+    """C16, K9."""
+    n = table(spark, d, "nation")
+    report = reports.detailed(F.concat(F.lit("About "), "n_name"), F.concat(F.lit("- "), "n_name"), F.concat("n_name", F.lit(" body")), F.lit("end"), F.lit("refs"))
+    return n.select("n_nationkey", report.alias("report"), reports.report_file(F.concat(F.lit("a long name of a report about the many customers and orders in "), "n_name")).alias("file"))
+
+
+@query("SELECT conv_id::VARCHAR AS url, string_agg(text, chr(10) ORDER BY turn) AS raw_content FROM conversations GROUP BY 1")
+def joined_pages(spark, d):
+    """The pages of each address, in order."""
+    c = table(spark, d, "conversations")
+    return files.joined_pages(c.select(F.col("conv_id").cast("string").alias("url"), F.col("turn").alias("page_no"), "text"))
+
+
+@query("SELECT p_partkey::VARCHAR AS query, 'Published: ' || p_brand || '; Author: ' || p_mfr || '; Content: ' || p_name AS raw_content, p_type AS title FROM (SELECT *, p_container AS p_mfr FROM (SELECT p_partkey, p_brand, p_type, p_name, p_type AS p_container FROM part))")
+def paper_records(spark, d):
+    """The link's last part, and date and authors before the summary."""
+    p = table(spark, d, "part")
+    return files.papers(p.select(F.concat(F.lit("http://arxiv.org/abs/"), F.col("p_partkey").cast("string")).alias("link"), F.col("p_brand").alias("published"), F.col("p_type").alias("authors"), F.col("p_name").alias("summary"), F.col("p_type").alias("title")))
+
+
+@query("SELECT source AS url, text AS raw_content FROM documents")
+def record_documents(spark, d):
+    """Records with metadata."""
+    docs = table(spark, d, "documents")
+    return files.from_records(docs.select(F.create_map(F.lit("title"), F.col("source")).alias("metadata"), F.col("text").alias("page_content")))
+
+
+@query("WITH r AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations) SELECT conv_id::VARCHAR AS interaction_id, pos::INT AS pos, CASE WHEN pos % 2 = 0 THEN 'http://x/' || turn ELSE 'doc_' || pos END AS url, CASE WHEN pos % 3 = 0 THEN 'T' || turn ELSE 'Document ' || pos END AS title, CASE WHEN pos % 4 = 1 OR trim(text, E' \\t\\n\\r') = '' THEN 'snippet ' || turn ELSE trim(text, E' \\t\\n\\r') END AS raw_content FROM r")
+def search_documents(spark, d):
+    """a page's text, else its snippet; what is missing is numbered."""
+    c = table(spark, d, "conversations").withColumn("pos", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1)
+    turn = F.col("turn").cast("string")
+    r = F.struct("pos", F.when(F.col("pos") % 4 == 1, "").otherwise(F.col("text")).alias("page_result"), F.concat(F.lit("snippet "), turn).alias("page_snippet"), F.when(F.col("pos") % 2 == 0, F.concat(F.lit("http://x/"), turn)).otherwise("").alias("page_url"), F.when(F.col("pos") % 3 == 0, F.concat(F.lit("T"), turn)).otherwise("").alias("page_name"))
+    rows = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(r)).alias("search_results")).select(F.col("conv_id").cast("string").alias("interaction_id"), "search_results")  # a conversation's turns
+    return files.crag_documents(rows, lambda html: html)
+
+
+@query("WITH e AS (SELECT event_id AS pos, CASE WHEN event_id % 2 = 0 THEN 'Title: ' || event_type || chr(10) || 'Content: ' || round(value)::BIGINT ELSE event_type END AS entry FROM events) SELECT entry, min(pos) AS pos FROM e GROUP BY 1")
+def hashable_contexts(spark, d):
+    """entries as text, each once."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("pos"), F.col("event_type").alias("title"), F.when(F.col("event_id") % 2 == 0, F.round("value").cast("long").cast("string")).alias("content"), F.col("event_type").alias("text"))
+    return context.hashable(e).select("entry", "pos")
+
+
+def _store(spark) -> ChunkStore:
+    return ChunkStore(spark, f"{_shared(spark)}/store-{uuid.uuid4().hex}", letters)
+
+
+def _as_chunks(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("text").alias("content"), F.coalesce("source", F.lit("")).alias("source"), F.lit("T").alias("title"), F.lit(0).alias("chunk_index"))
+
+
+@query("WITH k AS (SELECT coalesce(source, '') AS source, lang FROM documents), again AS (SELECT DISTINCT source FROM k WHERE source IN ('src1', 'src2')) SELECT source, count(*) AS n FROM (SELECT source FROM k WHERE source NOT IN (SELECT source FROM again) UNION ALL SELECT 'src1' FROM benchmark UNION ALL SELECT 'src2' FROM benchmark) WHERE source <> 'src3' GROUP BY 1")
+def store_upserts(spark, d):
+    """Sources are replaced by what is added under their name, and one is deleted."""
+    store = _store(spark)
+    store.add(_as_chunks(table(spark, d, "documents")))
+    items = table(spark, d, "benchmark").select(F.explode(F.array(F.lit("src1"), F.lit("src2"))).alias("source"), "text")
+    store.add(_as_chunks(items))
+    store.delete("src3")
+    return store.chunks().groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH q AS (SELECT item_id AS query_id, {_letters('text')} AS v FROM benchmark WHERE item_id % 50 = 0), s AS (SELECT query_id, round(list_cosine_similarity(q.v, {_letters('d.text')}), 6) AS vector_score FROM q, documents d WHERE source = 'src0') SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY vector_score DESC) - 1 AS rank, vector_score FROM s QUALIFY rank < 8")
+def store_similar(spark, d):
+    """The nearest stored chunks of one source."""
+    store = _store(spark)
+    store.add(_as_chunks(table(spark, d, "documents")))
+    return store.similar(_questions(spark, d), 8, {"source": "src0"}).select("query_id", F.col("rank").cast("long").alias("rank"), rounded("vector_score"))
+
+
+@query("SELECT item_id AS doc_id, 'bench' AS source, 'T' AS title, text AS content FROM benchmark WHERE length(text) <= 1000")
+def store_loaded(spark, d):
+    """Documents are split and added; those of one piece are shown, whole."""
+    store = _store(spark)
+    docs = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit("bench").alias("url"), F.lit("T").alias("title"), F.col("text").alias("raw_content"))
+    short = docs.where(F.length("raw_content") <= 1000)
+    store.load(short)
+    return store.chunks().join(short.select("doc_id", F.col("raw_content").alias("content")), "content").select("doc_id", "source", "title", "content")
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def appended_results(spark, d):
+    """Results appended by two runs, read again."""
+    path = f"{_shared(spark)}/results-{uuid.uuid4().hex}"
+    e = table(spark, d, "events").select("event_id", "event_type", "value")
+    metrics.append_results(e.where("event_type < 'm'"), path)
+    metrics.append_results(e.where("not event_type < 'm'"), path)
+    return files.evaluation(spark, path).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("SELECT min(n) AS least, count(*) AS sources FROM (SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1)")
+def visited_stream(spark, d):
+    """Section 2.9: each source once, from a stream with a watermark, run to its end."""
+    at = f"{_shared(spark)}/visits-{uuid.uuid4().hex}"
+    docs = table(spark, d, "documents").where("source is not null").select(F.col("source").alias("url"), F.timestamp_seconds(F.lit(1_000_000_000)).alias("ts"))
+    docs.write.parquet(f"{at}/in")
+    stream = streams.first_visits(spark.readStream.schema(docs.schema).parquet(f"{at}/in"))
+    stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    seen = spark.read.schema(docs.schema).parquet(f"{at}/out").groupBy("url").agg(F.count("*").alias("times"))
+    n = table(spark, d, "documents").where("source is not null").groupBy("source").agg(F.count("*").alias("n"))
+    return n.join(seen.where("times = 1"), F.col("source") == F.col("url")).agg(F.min("n").alias("least"), F.count("*").alias("sources"))
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def event_log(spark, d):
+    """Section 2.9, K8: the append-only log, written by a stream and read again."""
+    at = f"{_shared(spark)}/log-{uuid.uuid4().hex}"
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("type"), F.col("props").alias("data"))
+    e.write.json(f"{at}/in")
+    streams.append(streams.log_source(spark, f"{at}/in"), f"{at}/out", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out").select(F.col("seq").alias("event_id"), F.col("run_id").cast("long").alias("user_id"), F.col("type").alias("event_type"))

@@ -16,6 +16,10 @@ from tessera.sources import files
 SCHEMA = "chunk_id string, pos long, content string, source string, title string, doc_type string, chunk_index int, metadata map<string,string>, embedding array<float>"
 
 
+#: Parameter: versions that stay readable.
+KEPT = 3
+
+
 class ChunkStore:
     """``path`` is a folder that all executors share."""
 
@@ -43,6 +47,8 @@ class ChunkStore:
         rows.select(*[c.split()[0] for c in SCHEMA.split(", ")]).write.mode("overwrite").parquet(f"{self.path}/v{v}")
         fs, at = self._at(f"pointers/{v}")
         fs.create(at, False).close()
+        for name in (f"pointers/{v - KEPT}", f"v{v - KEPT}"):
+            fs.delete(self._at(name)[1], True)
 
     def add(self, chunks: DataFrame, doc_type: str = "local") -> int:
         """K1: replaces the sources that ``chunks`` name; chunks without a source are only added. Returns how many were added."""
@@ -55,7 +61,7 @@ class ChunkStore:
         kept = old.join(named, "source", "left_anti")
         start = old.agg(F.coalesce(F.max("pos") + 1, F.lit(0))).first()[0]
         self._publish(kept.unionByName(new.withColumn("pos", F.col("pos") + F.lit(start))))
-        return chunks.count()
+        return self.chunks().where(F.col("pos") >= start).count()  # of what is written, nothing is made twice
 
     def delete(self, source: str) -> int:
         """K2."""

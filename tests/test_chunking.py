@@ -64,3 +64,14 @@ def test_strategies(spark):
     assert chunking.chunker("fixed")(docs(spark, "a b c")).count() == 1
     with pytest.raises(KeyError):
         chunking.chunker("unknown")
+
+
+def test_repeated_documents_keep_their_own_chunks(spark):
+    """Two equal rows, and a third of the same doc_id with another text, are chunked each by itself."""
+    text = "# One\n\nFirst part here.\n\n# Two\n\nSecond part there.\n\n# Three\n\nThird."
+    docs = spark.createDataFrame([(1, "u", "t", text), (1, "u", "t", text), (1, "u", "t", "A short one. Of two sentences.")], "doc_id long, url string, title string, raw_content string")
+    for chunks in (chunking.adaptive_chunks(docs), chunking.semantic_chunks(docs, lambda c: digest_embedding(c))):
+        rows = chunks.collect()
+        alone = [r for r in rows if "part" in r.content or "Third" in r.content]
+        assert len(rows) == len(alone) + 1
+        assert sorted(r.chunk_index for r in alone) == sorted([*range(len(alone) // 2)] * 2)
