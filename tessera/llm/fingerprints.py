@@ -7,7 +7,7 @@ text's fingerprint is its set of signatures. Likeness is the
 Jaccard measure of two sets. Near duplicates among all texts are found in
 partitions by set length: sets whose lengths differ too much are never compared,
 as the ratio of lengths bounds the measure, and only sets that share one of
-their first signatures are.
+their rarest signatures are.
 """
 
 from __future__ import annotations
@@ -131,33 +131,43 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 def near_classes(docs: DataFrame, percent: int = 80, has_keys: bool = False) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): its key, doc_id, n_signatures, class_id, the smallest doc_id among its near duplicates and theirs.
 
-    Equal sets are compared once. A set of n signatures has a partner only if
-    they share one of the first n - ceil(n * percent / 100) + 1 in the common
-    order, and only in its partition by length or the next; a signature's place
-    bounds what two sets can still share. Only sets that share one are taken
-    from the texts again, whole, to be compared. Empty sets form no class: their
-    class is their own doc_id. A null text is empty; repeated rows are copies;
-    other columns are ignored; an empty table gives no rows. ``has_keys``:
-    ``docs`` comes from :func:`tessera.llm.common.keyed`.
+    Equal sets are compared once. A first pass takes the signatures that stand
+    first by value, a tenth of the set more than a partner may lack: a set that
+    shares too few of them has no partner. What is left is taken from the texts
+    whole and ordered rarest first; signatures of one set only count but aren't
+    indexed. A set has a partner only if they share one of the first
+    n - ceil(n * percent / 100) + 1, in its partition by length or the next, and
+    the place of the first one in common bounds what they share. Empty sets form
+    no class: their class is their own doc_id. A null text is empty; repeated
+    rows are copies; other columns are ignored; an empty table gives no rows.
+    ``has_keys``: ``docs`` comes from :func:`tessera.llm.common.keyed`.
     """
-    mark = len(Table.live)
+    mark, percent = len(Table.live), int(percent)
     docs = (docs if has_keys else keyed(docs.select("doc_id", "text"))).select(*KEY, "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     made = docs.withColumn("sigs", signatures("text")).withColumn("n", F.size("sigs").cast("long"))
-    first = F.expr(f"slice(sigs, 1, cast(n - (n * {int(percent)} + 99) div 100 + 1 as int))")
+    common = f"((n * {percent} + 99) div 100)"
+    first = F.expr(f"slice(sigs, 1, cast(least(n, n - {common} + 1 + n div 10) as int))")
     rows = Table(made.select(*KEY, "doc_id", "n", F.unhex(F.sha2(F.array_join("sigs", " "), 256)).alias("digest"), F.when(F.col("n") > 0, first).alias("first")), "signatures")
     by_set = rows.read().where("n > 0").groupBy("digest").agg(F.first("first").alias("first"), F.first("n").alias("n"), F.min("doc_id").alias("least"), F.min(F.struct(*KEY)).alias("one"))
     sets = Table(by_set.withColumn("node", F.monotonically_increasing_id()), "sets")
-    each = sets.read().select("node", "n", F.posexplode("first").alias("place", "sig")).withColumn("q", F.col("n") - F.col("place"))
-    shared = Table(each.groupBy("sig").agg(F.count("*").alias("many")).where("many > 1").select("sig"), "shared")
-    each = Table(each.join(shared.read(), "sig"), "each").read()
-    most = each.agg(F.max("n")).first()[0] or 1
-    bounds = ", ".join(map(str, strata(percent, most)))
+
+    each = sets.read().select("node", "n", F.explode("first").alias("h"))
+    shared = Table(each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").select("h"), "shared")
+    met = each.join(shared.read(), "h").groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("met")).where(f"met >= {common} div 10 + 1")
+    wanted = Table(met.select("node", "n").join(sets.read().select("node", "one.*"), "node"), "left")
+    whole = Table(docs.select(*KEY, "text").join(wanted.read(), KEY).select("node", "n", signatures("text").alias("tokens")), "whole-signatures")
+
+    each = whole.read().select("node", "n", F.explode("tokens").alias("h"))
+    counts = Table(each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "counts")
+    ordered = each.join(counts.read(), "h").groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))  # of one set each
+    ordered = ordered.where(f"size(s) >= {common}")
+    bounds = ", ".join(map(str, strata(percent, whole.read().agg(F.max("n")).first()[0] or 1)))
     parts = F.expr(f"transform(array(size(filter(array({bounds}), b -> b <= n))), s -> array(s, s + 1))[0]")
-    index = each.select("node", "n", "sig", "q", F.explode(parts).alias("part")).select(F.xxhash64("part", "sig").alias("sig"), "node", "n", "q")
-    wanted = each.select("node").distinct().join(sets.read().select("node", "one.*"), "node")
-    whole = Table(docs.select(*KEY, "text").join(wanted, KEY).select("node", signatures("text").alias("tokens")), "whole-signatures")
+    prefix = F.expr(f"slice(s, 1, cast(size(s) - {common} + 1 as int))")  # the signatures of this set only stand before
+    index = ordered.select("node", "n", F.size("s").alias("size"), parts.alias("parts"), F.posexplode(prefix).alias("place", "s")).select("node", "n", (F.col("size") - F.col("place")).cast("long").alias("q"), "s.h", F.explode("parts").alias("part"))
+    index = index.select(F.xxhash64("part", "h").alias("sig"), "node", "n", "q")
 
-    labels = link_buckets(index, verified(whole.read(), percent), percent)
+    labels = link_buckets(index, verified(whole.read().select("node", "tokens"), percent), percent)
     named = Table(sets.read().join(labels, "node", "left").select("digest", "least", F.coalesce("component", "node").alias("class")), "classes")
     smallest = named.read().groupBy("class").agg(F.min("least").alias("class_id"))
     known = Table(named.read().join(smallest, "class").select("digest", "class_id"), "class-ids")
