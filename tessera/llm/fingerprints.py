@@ -87,45 +87,50 @@ def _in_runs(rows: DataFrame, bounds: list[int]) -> DataFrame:
     return rows.withColumn("run", F.expr(f"{block} * {step} + {inside}"))
 
 
-def with_next(docs: DataFrame, classes: DataFrame, runs: int) -> DataFrame:
-    """Keyed ``docs`` (doc_id, text) with ``next_text``, the text of the row that follows by ascending doc_id (null first; after the last row: the first), and their class from ``classes`` (key, doc_id, class_id).
+def with_next(docs: DataFrame, runs: int, classes: DataFrame | None = None) -> DataFrame:
+    """Keyed ``docs`` (doc_id, text) with ``next_text``, the text of the row that follows by ascending doc_id (null first; after the last row: the first), and their class from ``classes`` (key, doc_id, class_id), if given.
 
     Rows are dealt into ``runs`` runs of consecutive doc_ids, and the first rows
-    of a run also stand, as guests, at the end of the run before. Each row's
-    class travels before it, so that one shuffle serves both. The driver sees
-    one bound and one first doc_id for each run, nothing else.
+    of a run also stand, as guests, at the end of the run before. A row's class
+    travels before it, so that one shuffle serves both. The driver sees one
+    bound and one first doc_id for each run, nothing else.
     """
     spark = docs.sparkSession
-    k = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("k")
-    texts = docs.select(*KEY, k, "doc_id", "text", F.lit(1).alias("kind"), F.lit(None).cast(dict(classes.dtypes)["class_id"]).alias("class_id"))
+    k, kind = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("k"), dict(docs.dtypes)["doc_id"]
+    rows = docs.select(*KEY, k, "doc_id", "text", F.lit(1).alias("kind"), F.lit(None).cast(kind).alias("class_id"))
+    if classes is not None:
+        rows = rows.unionByName(classes.select(*KEY, k, "doc_id", F.lit(None).cast("string").alias("text"), F.lit(0).alias("kind"), "class_id"))
     bounds = _bounds(docs.select(k), runs)
-    rows = _in_runs(texts.unionByName(classes.select(*KEY, k, "doc_id", F.lit(None).cast("string").alias("text"), F.lit(0).alias("kind"), "class_id")), bounds)
+    rows = _in_runs(rows, bounds)
     firsts = sorted((r["run"], r["k"]) for r in _in_runs(docs.select(k), bounds).groupBy("run").agg(F.min("k").alias("k")).collect())
     guests = spark.createDataFrame([(low, firsts[i - 1][0]) for i, (_, low) in enumerate(firsts)], "guest_k long, guest_run int")
     rows = rows.join(F.broadcast(guests), F.col("k") == F.col("guest_k"), "left")  # one row for each run
     own, guest = F.struct(F.col("run"), F.lit(0).alias("guest")), F.struct(F.col("guest_run").alias("run"), F.lit(1).alias("guest"))
     rows = rows.withColumn("p", F.explode(F.when(F.col("guest_run").isNull(), F.array(own)).otherwise(F.array(own, guest)))).select(*KEY, "k", "doc_id", "text", "kind", "class_id", "p.run", "p.guest")
     w = Window.partitionBy("run").orderBy("guest", "k", *KEY, "kind")
-    rows = rows.withColumn("next_text", F.lead("text", 2).over(w)).withColumn("class_id", F.lag("class_id").over(w))
+    rows = rows.withColumn("next_text", F.lead("text", 1 if classes is None else 2).over(w))
+    if classes is not None:
+        rows = rows.withColumn("class_id", F.lag("class_id").over(w))
     return rows.where("guest = 0 and kind = 1").select("doc_id", "text", "next_text", "class_id")
 
 
-def fingerprint(docs: DataFrame) -> DataFrame:
-    """For each row of ``docs`` (doc_id, text): its fingerprint, its edited text's, how alike they and the next row's are, and the class of its near duplicates.
+def fingerprint(docs: DataFrame, classes: bool = False) -> DataFrame:
+    """For each row of ``docs`` (doc_id, text): its fingerprint, its edited text's, how alike they and the next row's are; with ``classes`` also class_id of :func:`near_classes`.
 
     A null text is empty; an empty text's fingerprint is the empty set, alike
     to itself only. Rows of equal doc_id follow each other as they are stored.
     A single row is its own next. Other columns are ignored, whatever their
-    names; an empty table gives no rows. See :func:`near_classes` for class_id.
+    names; an empty table gives no rows.
     """
     spark = docs.sparkSession
     docs = keyed(docs.select("doc_id", "text"))
-    classes = near_classes(docs, has_keys=True).select(*KEY, "doc_id", "class_id")
+    known = near_classes(docs, has_keys=True).select(*KEY, "doc_id", "class_id") if classes else None
     rows = docs.select(*KEY, "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(rows, classes, RUNS * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = with_next(rows, RUNS * int(spark.conf.get("spark.sql.shuffle.partitions")), known)
     rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", F.expr("concat(substring(text, 1, int(n_chars - n_chars div 4)), substring(next_text, 1, int(n_chars div 4)))"))
     rows = rows.withColumn("sigs", signatures("text")).withColumn("edited_sigs", signatures("edited")).withColumn("next_sigs", signatures("next_text"))
-    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("sigs")).alias("fingerprint"), as_text(F.col("edited_sigs")).alias("edited_fingerprint"), likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"), "class_id")
+    more = ["class_id"] if classes else []
+    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("sigs")).alias("fingerprint"), as_text(F.col("edited_sigs")).alias("edited_fingerprint"), likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"), *more)
 
 
 def near_classes(docs: DataFrame, percent: int = 80, has_keys: bool = False) -> DataFrame:
@@ -149,12 +154,16 @@ def near_classes(docs: DataFrame, percent: int = 80, has_keys: bool = False) ->
     first = F.expr(f"slice(sigs, 1, cast(least(n, n - {common} + 1 + n div 10) as int))")
     rows = Table(made.select(*KEY, "doc_id", "n", F.unhex(F.sha2(F.array_join("sigs", " "), 256)).alias("digest"), F.when(F.col("n") > 0, first).alias("first")), "signatures")
     by_set = rows.read().where("n > 0").groupBy("digest").agg(F.first("first").alias("first"), F.first("n").alias("n"), F.min("doc_id").alias("least"), F.min(F.struct(*KEY)).alias("one"))
-    sets = Table(by_set.withColumn("node", F.monotonically_increasing_id()), "sets")
+    starts = Table(by_set.withColumn("node", F.monotonically_increasing_id()), "starts")
+    members = Table(rows.read().drop("first"), "members")
+    rows.drop()
 
-    each = sets.read().select("node", "n", F.explode("first").alias("h"))
+    each = starts.read().select("node", "n", F.explode("first").alias("h"))
     shared = Table(each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").select("h"), "shared")
     met = each.join(shared.read(), "h").groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("met")).where(f"met >= {common} div 10 + 1")
+    sets = Table(starts.read().drop("first"), "sets")
     wanted = Table(met.select("node", "n").join(sets.read().select("node", "one.*"), "node"), "left")
+    starts.drop()
     whole = Table(docs.select(*KEY, "text").join(wanted.read(), KEY).select("node", "n", signatures("text").alias("tokens")), "whole-signatures")
 
     each = whole.read().select("node", "n", F.explode("tokens").alias("h"))
@@ -171,6 +180,6 @@ def near_classes(docs: DataFrame, percent: int = 80, has_keys: bool = False) ->
     named = Table(sets.read().join(labels, "node", "left").select("digest", "least", F.coalesce("component", "node").alias("class")), "classes")
     smallest = named.read().groupBy("class").agg(F.min("least").alias("class_id"))
     known = Table(named.read().join(smallest, "class").select("digest", "class_id"), "class-ids")
-    found = Table(rows.read().drop("first").join(known.read(), "digest", "left").select(*KEY, "doc_id", F.col("n").alias("n_signatures"), F.coalesce("class_id", "doc_id").alias("class_id")), "found")
+    found = Table(members.read().join(known.read(), "digest", "left").select(*KEY, "doc_id", F.col("n").alias("n_signatures"), F.coalesce("class_id", "doc_id").alias("class_id")), "found")
     drop_since(mark, keep=found)
     return found.read()

@@ -228,7 +228,7 @@ def test_near_classes(spark):
                 parent[max(a, b)] = min(a, b)
     got = {r.doc_id: (r.n_signatures, r.class_id) for r in fingerprints.near_classes(docs).collect()}
     assert got == {i: (len(s), top(i)) for i, s in sets.items()}
-    assert {r.doc_id: r.class_id for r in fingerprints.fingerprint(docs).collect()} == {i: top(i) for i in sets}
+    assert {r.doc_id: r.class_id for r in fingerprints.fingerprint(docs, classes=True).collect()} == {i: top(i) for i in sets}
     assert fingerprints.near_classes(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
