@@ -21,7 +21,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.fingerprint(documents(spark, sf_dir))
+    return fingerprints.fingerprint(documents(spark, sf_dir), classes=True)
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
