@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import KEY, Table, cut, drop_since, keyed, link_buckets, strata, verified
+from tessera.llm.common import KEY, Table, drop_since, keyed, link_buckets, strata, verified
 
 #: Anchors, common words of four languages.
 ANCHORS = """
@@ -64,23 +64,24 @@ def signatures(text: Column, common: str | None = None) -> Column:
     anchors = ", ".join(f"'{w}'" for w in dict.fromkeys(ANCHORS))
     chain = ", ".join(f"coalesce(get(c, s.i - j + {k}), '')" for k in range(CHAIN))
     after, pair, alone = f"xxhash64(s.x, {chain})", f"xxhash64(x, coalesce(get(w, first + {CHAIN} + i + 1), ''))", "xxhash64(_text_)"
-    weights, end = "", ""
+    weights, end, distinct, closed = "", "", "array_sort(array_distinct(", "))"
     if common:
         sums = " + ".join(f"coalesce(get(u, s.i - j + {k}), 0)" for k in range(CHAIN))
         beside = f"get(v, first + {CHAIN} + i) + coalesce(get(v, first + {CHAIN} + i + 1), 0)"
         after, pair, alone = (f"named_struct('c', {c}, 'h', {h})" for c, h in ((sums, after), (beside, pair), ("0", alone)))
         cells = f"transform(_words_, x -> coalesce(get({common}, cast(pmod(xxhash64(x), {CELLS}) as int)), 0))"
         weights, end = f"transform(array({cells.replace('_words_', 'w')}), v -> transform(array({cells.replace('_words_', 'c')}), u -> ", ")[0])[0]"
+        distinct, closed = "transform(array(sort_array(", ")), o -> filter(o, (x, i) -> i = 0 or x.h <> o[i - 1].h))[0]"  # array_distinct compares all pairs of structs
     rule = rf"""
     transform(array({WORDS}), w ->
       transform(array(filter(w, x -> x not in ({anchors}))), c ->
         transform(array(filter(transform(w, (x, i) -> named_struct('x', x, 'i', i)), s -> s.x in ({anchors}))), a ->
           transform(array(concat(array(-{CHAIN}), transform(a, s -> s.i + 1), array(size(w) + 1))), p ->
-            {weights}array_sort(array_distinct(concat(
+            {weights}{distinct}concat(
               transform(a, (s, j) -> {after}),
               flatten(transform(slice(p, 1, size(p) - 1), (first, j) ->
                 transform(slice(w, first + {CHAIN} + 1, greatest(0, p[j + 1] - 1 - first - {CHAIN})), (x, i) -> {pair}))),
-              if(size(w) > 0 or _text_ = '', slice(array({alone}), 1, 0), array({alone}))))){end})[0])[0])[0])[0]
+              if(size(w) > 0 or _text_ = '', slice(array({alone}), 1, 0), array({alone}))){closed}{end})[0])[0])[0])[0]
     """
     return _rule(rule, text)
 
@@ -167,43 +168,48 @@ def fingerprint(docs: DataFrame, classes: bool = False) -> DataFrame:
 def near_classes(docs: DataFrame, percent: int = 80, has_keys: bool = False) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): its key, doc_id, n_signatures, class_id, the smallest doc_id among its near duplicates and theirs.
 
-    Equal sets are compared once. A set's signatures stand rarest words first,
-    by counts that each row reads from a table of fixed size, so that no join
-    orders them. A set has a partner only if they share one of the first
+    Equal sets are compared once. A first pass takes the signatures of the
+    rarest words, a tenth of the set more than a partner may lack: a set that
+    shares too few of them has no partner. How common a word is, each row reads
+    from a table of fixed size, so that no join orders whole sets. What is left is taken from the texts
+    whole and ordered rarest first; signatures of one set only count but aren't
+    indexed. A set has a partner only if they share one of the first
     n - ceil(n * percent / 100) + 1, in its partition by length or the next, and
-    the place of the first one in common bounds what they share. Whole sets are
-    taken from the texts for the pairs that are left. Empty sets form
+    the place of the first one in common bounds what they share. Empty sets form
     no class: their class is their own doc_id. A null text is empty; repeated
     rows are copies; other columns are ignored; an empty table gives no rows.
     ``has_keys``: ``docs`` comes from :func:`tessera.llm.common.keyed`.
     """
     mark, percent = len(Table.live), int(percent)
     docs = (docs if has_keys else keyed(docs.select("doc_id", "text"))).select(*KEY, "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    made = docs.select(*KEY, "doc_id", signatures("text", commonness(docs)).getField("h").alias("s")).withColumn("n", F.size("s").cast("long"))
-    prefix = F.expr(f"slice(s, 1, cast(n - (n * {percent} + 99) div 100 + 1 as int))")
-    rows = Table(made.select(*KEY, "doc_id", "n", F.unhex(F.sha2(F.array_join("s", " "), 256)).alias("digest"), F.when(F.col("n") > 0, prefix).alias("first")), "signatures")
+    made = docs.withColumn("sigs", signatures("text", commonness(docs)).getField("h")).withColumn("n", F.size("sigs").cast("long"))
+    common = f"((n * {percent} + 99) div 100)"
+    first = F.expr(f"slice(sigs, 1, cast(least(n, n - {common} + 1 + n div 10) as int))")
+    rows = Table(made.select(*KEY, "doc_id", "n", F.unhex(F.sha2(F.array_join("sigs", " "), 256)).alias("digest"), F.when(F.col("n") > 0, first).alias("first")), "signatures")
     by_set = rows.read().where("n > 0").groupBy("digest").agg(F.first("first").alias("first"), F.first("n").alias("n"), F.min("doc_id").alias("least"), F.min(F.struct(*KEY)).alias("one"))
     starts = Table(by_set.withColumn("node", F.monotonically_increasing_id()), "starts")
     members = Table(rows.read().drop("first"), "members")
     rows.drop()
 
-    each = starts.read().select("node", "n", F.posexplode("first").alias("place", "h")).select("node", "n", (F.col("n") - F.col("place")).alias("q"), "h")
+    each = starts.read().select("node", "n", F.explode("first").alias("h"))
     shared = Table(each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").select("h"), "shared")
-    met = Table(each.join(shared.read(), "h"), "met")
+    met = each.join(shared.read(), "h").groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("met")).where(f"met >= {common} div 10 + 1")
     sets = Table(starts.read().drop("first"), "sets")
+    wanted = Table(met.select("node", "n").join(sets.read().select("node", "one.*"), "node"), "left")
     starts.drop()
-    bounds = ", ".join(map(str, strata(percent, sets.read().agg(F.max("n")).first()[0] or 1)))
-    parts = F.expr(f"transform(array(size(filter(array({bounds}), b -> b <= n))), s -> array(s, s + 1))[0]")
-    index = met.read().select("node", "n", "q", "h", F.explode(parts).alias("part")).select(F.xxhash64("part", "h").alias("sig"), "node", "n", "q")
+    whole = Table(docs.select(*KEY, "text").join(wanted.read(), KEY).select("node", "n", signatures("text").alias("tokens")), "whole-signatures")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs, "pairs-to-verify")
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = cut(nodes.join(sets.read().select("node", "one.*"), "node"), "wanted")
-        whole = cut(docs.select(*KEY, "text").join(wanted, KEY).select("node", signatures("text").alias("tokens")), "whole-signatures")
-        return verified(whole, percent)(pairs)
+    each = whole.read().select("node", "n", F.explode("tokens").alias("h"))
+    counts = Table(each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "counts")
+    ordered = each.join(counts.read(), "h").groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))  # of one set each
+    ordered = ordered.where(f"size(s) >= {common}")
+    bounds = ", ".join(map(str, strata(percent, whole.read().agg(F.max("n")).first()[0] or 1)))
+    parts = F.expr(f"transform(array(size(filter(array({bounds}), b -> b <= n))), s -> array(s, s + 1))[0]")
+    prefix = F.expr(f"slice(s, 1, cast(size(s) - {common} + 1 as int))")  # the signatures of this set only stand before
+    index = ordered.select("node", "n", F.size("s").alias("size"), parts.alias("parts"), F.posexplode(prefix).alias("place", "s")).select("node", "n", (F.col("size") - F.col("place")).cast("long").alias("q"), "s.h", F.explode("parts").alias("part"))
+    index = index.select(F.xxhash64("part", "h").alias("sig"), "node", "n", "q")
 
-    labels = link_buckets(index, verify, percent)
+    labels = link_buckets(index, verified(whole.read().select("node", "tokens"), percent), percent)
     named = Table(sets.read().join(labels, "node", "left").select("digest", "least", F.coalesce("component", "node").alias("class")), "classes")
     smallest = named.read().groupBy("class").agg(F.min("least").alias("class_id"))
     known = Table(named.read().join(smallest, "class").select("digest", "class_id"), "class-ids")
