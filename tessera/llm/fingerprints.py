@@ -13,6 +13,7 @@ their rarest signatures are.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -119,13 +120,16 @@ def _in_runs(rows: DataFrame, bounds: list[int]) -> DataFrame:
     return rows.withColumn("run", F.expr(f"{block} * {step} + {inside}"))
 
 
-def with_next(docs: DataFrame, runs: int, classes: DataFrame | None = None) -> DataFrame:
+def with_next(docs: DataFrame, runs: int, classes: DataFrame | None = None) -> tuple[DataFrame, Callable[[str], Column]]:
     """Keyed ``docs`` (doc_id, text) with ``next_text``, the text of the row that follows by ascending doc_id (null first; after the last row: the first), and their class from ``classes`` (key, doc_id, class_id), if given.
 
     Rows are dealt into ``runs`` runs of consecutive doc_ids, and the first rows
     of a run also stand, as guests, at the end of the run before. A row's class
     travels before it, so that one shuffle serves both. The driver sees one
     bound and one first doc_id for each run, nothing else.
+
+    Guests and classes are among the rows given back, with ``own`` false; the
+    function gives what the row that follows has in a column made since.
     """
     spark = docs.sparkSession
     k, kind = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("k"), dict(docs.dtypes)["doc_id"]
@@ -140,10 +144,11 @@ def with_next(docs: DataFrame, runs: int, classes: DataFrame | None = None) -> D
     own, guest = F.struct(F.col("run"), F.lit(0).alias("guest")), F.struct(F.col("guest_run").alias("run"), F.lit(1).alias("guest"))
     rows = rows.withColumn("p", F.explode(F.when(F.col("guest_run").isNull(), F.array(own)).otherwise(F.array(own, guest)))).select(*KEY, "k", "doc_id", "text", "kind", "class_id", "p.run", "p.guest")
     w = Window.partitionBy("run").orderBy("guest", "k", *KEY, "kind")
-    rows = rows.withColumn("next_text", F.lead("text", 1 if classes is None else 2).over(w))
+    following = lambda name: F.lead(name, 1 if classes is None else 2).over(w)
+    rows = rows.withColumn("next_text", following("text"))
     if classes is not None:
         rows = rows.withColumn("class_id", F.lag("class_id").over(w))
-    return rows.where("guest = 0 and kind = 1").select("doc_id", "text", "next_text", "class_id")
+    return rows.withColumn("own", F.expr("guest = 0 and kind = 1")), following
 
 
 def fingerprint(docs: DataFrame, classes: bool = False) -> DataFrame:
@@ -158,11 +163,13 @@ def fingerprint(docs: DataFrame, classes: bool = False) -> DataFrame:
     docs = keyed(docs.select("doc_id", "text"))
     known = near_classes(docs, has_keys=True).select(*KEY, "doc_id", "class_id") if classes else None
     rows = docs.select(*KEY, "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(rows, RUNS * int(spark.conf.get("spark.sql.shuffle.partitions")), known)
-    rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", F.expr("concat(substring(text, 1, int(n_chars - n_chars div 4)), substring(next_text, 1, int(n_chars div 4)))"))
-    rows = rows.withColumn("sigs", signatures("text")).withColumn("edited_sigs", signatures("edited")).withColumn("next_sigs", signatures("next_text"))
+    rows, following = with_next(rows, RUNS * int(spark.conf.get("spark.sql.shuffle.partitions")), known)
+    rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", F.expr("case when own then concat(substring(text, 1, int(n_chars - n_chars div 4)), substring(next_text, 1, int(n_chars div 4))) end"))
+    made = [F.when(F.col(c).isNotNull(), signatures(c)).alias(name) for c, name in (("text", "sigs"), ("edited", "edited_sigs"))]
+    rows = rows.select("run", "guest", "k", *KEY, "kind", "own", "doc_id", "class_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *made)
+    rows = rows.withColumn("next_sigs", following("sigs")).where("own")
     more = ["class_id"] if classes else []
-    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("sigs")).alias("fingerprint"), as_text(F.col("edited_sigs")).alias("edited_fingerprint"), likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"), *more)
+    return rows.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("sigs")).alias("fingerprint"), as_text(F.col("edited_sigs")).alias("edited_fingerprint"), likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"), *more)
 
 
 def near_classes(docs: DataFrame, percent: int = 80, has_keys: bool = False) -> DataFrame:
