@@ -117,6 +117,26 @@ def keyed(df: DataFrame) -> DataFrame:
     return df.select("*", F.xxhash64("_metadata.file_path").alias(KEY[0]), F.col("_metadata.row_index").alias(KEY[1]))
 
 
+#: Parameter: bits of a sieve, whatever the number of keys, in blocks of the 4096 bytes that Spark's bitmaps have.
+SIEVE_BITS = 2**25
+BLOCK_BITS = 2**15
+
+
+def sieved(df: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
+    """``df`` without nearly all rows whose columns ``names`` are not in ``keys``; no row that has a key there is lost.
+
+    For a join to come, which then moves few rows that it drops. Keys are marked
+    in SIEVE_BITS bits, which are broadcast: 4 MB of bits, however many keys there are.
+    With more than a tenth as many keys as bits, more rows pass that have none.
+    """
+    bit = F.expr(f"pmod(xxhash64({', '.join(names)}), {SIEVE_BITS})")
+    marked = keys.select(bit.alias("_bit")).withColumn("_block", F.expr(f"_bit div {BLOCK_BITS}")).repartition("_block")  # keys move, not their bitmaps
+    blocks = marked.groupBy("_block").agg(F.expr(f"bitmap_construct_agg(_bit % {BLOCK_BITS})").alias("_marks"))
+    byte = f"cast(conv(hex(substring(_marks, cast(_bit % {BLOCK_BITS} div 8 + 1 as int), 1)), 16, 10) as int)"
+    placed = df.withColumn("_bit", bit).join(F.broadcast(blocks), F.expr(f"_bit div {BLOCK_BITS} = _block"))
+    return placed.where(f"shiftright({byte}, cast(_bit % 8 as int)) & 1 = 1").select(*df.columns)
+
+
 def aside(docs: DataFrame, used: list[str]) -> tuple[DataFrame, Callable[..., DataFrame]]:
     """``docs`` with the columns that an operator doesn't use under names of their own, and a function that gives them back, with further columns."""
     names = {c: c if c in used else f"_x{i}" for i, c in enumerate(docs.columns)}

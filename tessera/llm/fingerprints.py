@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import KEY, Table, drop_since, keyed, link_buckets, strata, verified
+from tessera.llm.common import KEY, Table, drop_since, keyed, link_buckets, sieved, strata, verified
 
 #: Anchors, common words of four languages.
 ANCHORS = """
@@ -204,7 +204,8 @@ def near_classes(docs: DataFrame, percent: int = 80, has_keys: bool = False) ->
     sets = Table(starts.read().drop("first"), "sets")
     wanted = Table(met.select("node", "n").join(sets.read().select("node", "one.*"), "node"), "left")
     starts.drop()
-    whole = Table(docs.select(*KEY, "text").join(wanted.read(), KEY).select("node", "n", signatures("text").alias("tokens")), "whole-signatures")
+    texts = sieved(docs.select(*KEY, "text"), wanted.read(), KEY)  # the join moves what is left, not all texts
+    whole = Table(texts.join(wanted.read(), KEY).select("node", "n", signatures("text").alias("tokens")), "whole-signatures")
 
     each = whole.read().select("node", "n", F.explode("tokens").alias("h"))
     counts = Table(each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "counts")

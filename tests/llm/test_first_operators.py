@@ -232,6 +232,39 @@ def test_near_classes(spark):
     assert fingerprints.near_classes(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_near_classes_move_few_texts(spark):
+    """Where a join is not broadcast, no stage writes all texts to shuffle files: only those that the first pass leaves."""
+    import random
+
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.getrandbits(1600):x}" for _ in range(40)) for _ in range(400)]
+    texts[399] = texts[0] + " tail"
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    store, most = spark.sparkContext._jsc.sc().statusStore(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    none, no_quantiles = spark.sparkContext._jvm.java.util.ArrayList(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = lambda: {s.stageId(): s.shuffleWriteBytes() for s in (found.apply(i) for found in [store.stageList(none, False, False, no_quantiles, none)] for i in range(found.size()))}
+    before = set(stages())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.doc_id: r.class_id for r in fingerprints.near_classes(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert got == {i: 0 if i == 399 else i for i in range(400)}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    written = {i: n for i, n in stages().items() if i not in before}
+    assert 0 < max(written.values()) < 0.2 * sum(map(len, texts)), written
+
+
+def test_sieve_loses_no_key(spark):
+    from tessera.llm.common import sieved
+
+    rows = spark.range(20_000).selectExpr("id - 5000 as a", "id % 7 as b", "concat('t', id) as text")
+    keys = rows.where("a % 50 = 0").select("a", "b")
+    left = [r.a for r in sieved(rows, keys.unionByName(keys), ["a", "b"]).collect()]
+    assert len(left) == len(set(left)) < 500 and {a for a in range(-5000, 15_000) if a % 50 == 0} <= set(left)
+    assert sieved(rows, keys.limit(0), ["a", "b"]).count() == 0 and sieved(rows.limit(0), keys, ["a", "b"]).columns == ["a", "b", "text"]
+
+
 def test_repeats_beside_clashing_hashes(spark):
     """Two windows whose hashes agree in their upper 40 bits stand between repeats of one of them."""
     fill = lambda s, n: " ".join(f"{s}{i}" for i in range(n))
