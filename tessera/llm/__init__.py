@@ -1,5 +1,6 @@
 """Operators of a training-data pipeline: quality, fingerprints, secrets,
-licences, packing, token counts, joins, repeats, mixing and scoring."""
+licences, packing, token counts, joins, repeats, mixing, scoring, resampling,
+conversation repair and sharding."""
 
 import sys
 

@@ -110,9 +110,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 KEY = ["_file", "_row"]
 
 
+def stored(df: DataFrame) -> bool:
+    """Is each row of ``df`` one stored row: a Parquet scan under nothing but projections and filters? Joins, unions and explode give a row's key to several."""
+    plan = df._jdf.queryExecution().analyzed()
+    if "_metadata#" not in plan.metadataOutput().mkString(","):
+        return False
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.child()
+    return plan.nodeName() == "LogicalRelation" and plan.toString().rstrip().endswith(" parquet")
+
+
 def keyed(df: DataFrame) -> DataFrame:
-    """Adds a key that is unique to a stored row, however the scan is split; ``df`` reads Parquet, else it is written first."""
-    if "_metadata#" not in df._jdf.queryExecution().analyzed().metadataOutput().mkString(","):
+    """Adds a key that is unique to a row, however the scan is split; what is not a bare Parquet scan (:func:`stored`) is written first."""
+    if not stored(df):
         return Table(df, "rows").read(keys=True)
     return df.select("*", F.xxhash64("_metadata.file_path").alias(KEY[0]), F.col("_metadata.row_index").alias(KEY[1]))
 
@@ -156,25 +166,26 @@ def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
     return out
 
 
-def prefix_sums(df: DataFrame, group: list[str], order: list[str], value: str, out: str = "before") -> DataFrame:
-    """Adds the sum of ``value`` over the rows of the same group that come before, in ``order``.
+def prefix_sums(df: DataFrame, group: list[str], order: list[str], value: str, out: str = "before", **more: str) -> DataFrame:
+    """Adds the sum of ``value`` over the rows of the same group that come before, in ``order``; ``more`` gives further sums, value=out.
 
     The rows are dealt by ranges of (group, order), so that a group of any size
     spreads over many tasks; each range sums its own rows and only one row for
     each range and group meets in the window that carries the sums across
     ranges. The ranges are written first: they never move afterwards.
     """
+    outs = {value: out} | more
     placed = cut(df.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()), "ranges")
-    sums = placed.groupBy(*group, "_part").agg(F.sum(value).alias("_sum"))
+    sums = placed.groupBy(*group, "_part").agg(*[F.sum(v).alias(f"_sum_{v}") for v in outs])
     earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
-    starts = starts.select(*[F.col(c).alias(f"_k_{c}") for c in [*group, "_part"]], "_start")
+    starts = sums.select(*[F.col(c).alias(f"_k_{c}") for c in [*group, "_part"]], *[F.coalesce(F.sum(f"_sum_{v}").over(earlier), F.lit(0)).alias(f"_start_{v}") for v in outs])
     inside = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     on = F.lit(True)
     for c in [*group, "_part"]:
         on = on & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    local = placed.withColumn("_local", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return local.join(starts, on).withColumn(out, F.col("_start") + F.col("_local")).drop("_part", "_start", "_local", *[f"_k_{c}" for c in [*group, "_part"]])
+    local = placed.withColumns({f"_local_{v}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in outs})
+    summed = local.join(starts, on).withColumns({o: F.col(f"_start_{v}") + F.col(f"_local_{v}") for v, o in outs.items()})
+    return summed.drop("_part", *[f"{c}_{v}" for c in ("_start", "_local") for v in outs], *[f"_k_{c}" for c in [*group, "_part"]])
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
