@@ -1,10 +1,10 @@
-"""DuckDB SQL for the queries that SQL can express: operators 1, 4, 7, 8 and 9."""
+"""DuckDB SQL for the queries that SQL can express: operators 1, 4, 7, 8, 9 and 11 to 13."""
 
 from __future__ import annotations
 
 import re
 
-from tessera.llm import jaccard, licenses, mixing, quality, repeats
+from tessera.llm import conversations, jaccard, licenses, mixing, quality, repeats, resampling, sharding
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -100,5 +100,91 @@ q AS (SELECT p.*, source_size, target, round(target)::BIGINT AS budget, CASE WHE
 SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size, budget - whole * source_size - before)))::BIGINT AS taken FROM q"""
 
 
+#: CRC-32's table by its rule, and its sum over the bytes of a text.
+CRC_TABLE = "tab AS (SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, k: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY b) AS tab FROM range(256) t(b))"
+
+
+def _crc(text: str) -> str:
+    digits = f"hex(encode({text}))"
+    octets = f"list_transform(range(length({digits}) // 2), lambda i: ('0x' || substr({digits}, 2 * i::BIGINT + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _resampling() -> str:
+    r, word = resampling, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    low = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+    return rf"""
+WITH {CRC_TABLE},
+d AS (SELECT doc_id, regexp_extract_all({low}, '{word}') AS w FROM documents),
+x AS (SELECT doc_id, unnest(w) AS word FROM d),
+y AS (SELECT unnest(regexp_extract_all({low}, '{word}')) AS word FROM benchmark),
+v AS (SELECT word, {_crc("word")} % {r.BUCKETS} AS bucket FROM (SELECT word FROM x UNION SELECT word FROM y), tab),
+s AS (SELECT bucket, count(*) AS s FROM x JOIN v USING (word) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS t FROM y JOIN v USING (word) GROUP BY 1),
+a AS (SELECT (SELECT count(*) FROM x) AS s_all, (SELECT count(*) FROM y) AS t_all),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (s_all + {r.BUCKETS})::DOUBLE / ((s + 1)::DOUBLE * (t_all + {r.BUCKETS})::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), a),
+m AS (SELECT doc_id, sum(gain)::BIGINT AS total FROM x JOIN v USING (word) JOIN g USING (bucket) GROUP BY 1),
+b AS (SELECT doc_id, len(w)::BIGINT AS n, total, ('0x' || substr(sha256('{r.SEED}:' || doc_id), 1, 8))::BIGINT AS h FROM d LEFT JOIN m USING (doc_id)),
+w AS (SELECT doc_id, n, CASE WHEN n = 0 THEN 0 ELSE (total - ((total % n) + n) % n) // n END::BIGINT AS weight, h FROM b),
+z AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM w),
+k AS (SELECT *, row_number() OVER (PARTITION BY n >= {r.LEAST_WORDS} ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n >= {r.LEAST_WORDS}) AS able FROM z)
+SELECT doc_id, n AS n_features, weight, score, CASE WHEN n >= {r.LEAST_WORDS} AND place <= {r.PERCENT} * able // 100 THEN place END AS rank FROM k"""
+
+
+def _repair() -> str:
+    """Forward over the turns: of all ways to the same last role the cheapest, then the ASCII-least, stays so whatever follows."""
+    c, steps = conversations, []
+    for state in range(4):
+        here = state
+        for inserts in range(4):
+            to = {0: 2, 1: 2, 2: 3, 3: 2}[here]  # 0: nothing yet, 1: after s, 2: after u, 3: after a
+            for role in "sua?":
+                kept = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (3, "u"): 2, (2, "a"): 3}.get((here, role))
+                base = c.INSERT * inserts
+                steps.append((state, role, "I" * inserts + "D", base + c.DELETE, here, 1))
+                steps.append((state, role, "I" * inserts + "R", base + c.REROLE, to, 0))
+                if kept is not None:
+                    steps.append((state, role, "I" * inserts + "K", base + c.KEEP, kept, 0))
+            here = to
+    table = ", ".join(map(str, steps))
+    gap = r"[\x20\x09-\x0D]"
+    return rf"""
+WITH RECURSIVE {CRC_TABLE},
+o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, concat_ws(':', coalesce(conv_id::VARCHAR, ' '), coalesce(turn::VARCHAR, ' ')) AS name FROM conversations),
+h AS (SELECT o.*, {_crc("name")} % 20 AS c FROM o, tab),
+q AS (SELECT conv_id, turn, CASE WHEN c = 4 THEN 'user' ELSE role END AS role, CASE WHEN c = 1 THEN '' WHEN c = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN c = 3 THEN [0, 1] ELSE [0] END) FROM h WHERE c <> 0),
+r AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM q),
+x AS (SELECT conv_id, i, turn, role, text, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE '?' END AS s, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN again > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?]{gap}*\z') THEN 'truncated' ELSE '' END AS fault FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS again FROM r)),
+g AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated FROM x GROUP BY 1),
+l AS (SELECT conv_id, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM (SELECT conv_id, s || lead(s) OVER (PARTITION BY conv_id ORDER BY i) AS pair FROM x) WHERE pair IS NOT NULL GROUP BY 1),
+e(state, s, edits, price, next, gone) AS (VALUES {table}),
+f AS (SELECT conv_id, 0::BIGINT AS i, 0 AS state, {{'c': 0, 'a': ''}} AS best FROM g
+  UNION ALL
+  SELECT f.conv_id, f.i + 1, e.next, min({{'c': best.c + price + CASE WHEN fault = 'truncated' AND gone = 0 THEN {c.TRUNCATED} ELSE 0 END, 'a': best.a || edits}})
+  FROM f JOIN x ON x.conv_id = f.conv_id AND x.i = f.i + 1 JOIN e ON e.state = f.state AND e.s = x.s WHERE gone = 1 OR fault IN ('', 'truncated') GROUP BY ALL),
+p AS (SELECT conv_id, min({{'c': best.c + CASE state WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END * {c.INSERT}, 'a': best.a || CASE state WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END}}) AS b FROM f JOIN g USING (conv_id) WHERE i = n GROUP BY 1),
+j AS (SELECT conv_id, unnest(string_split(b.a, '')) AS edit, unnest(range(1, length(b.a) + 1)) AS j FROM p WHERE b.a <> ''),
+k AS (SELECT *, count(*) FILTER (edit <> 'I') OVER (PARTITION BY conv_id ORDER BY j) AS i, count(*) FILTER (edit <> 'D') OVER (PARTITION BY conv_id ORDER BY j) AS m FROM j),
+y AS (SELECT k.conv_id, j, edit, m, role, text, max(CASE WHEN m = 1 AND edit = 'K' AND s = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY k.conv_id) AS lead FROM k LEFT JOIN x ON x.conv_id = k.conv_id AND x.i = k.i AND edit <> 'I' WHERE edit <> 'D'),
+z AS (SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (m - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY j)) AS digest FROM y GROUP BY 1)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.c, 0)::BIGINT AS cost, coalesce(b.a, '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN g USING (conv_id) LEFT JOIN l USING (conv_id) LEFT JOIN p USING (conv_id) LEFT JOIN z USING (conv_id)"""
+
+
+def _sharding() -> str:
+    """What stays is the smaller of a shard's bytes and its new capacity; what is left meets the room that is left in the order of the numbers."""
+    return rf"""
+WITH {CRC_TABLE},
+c AS (SELECT t, {_crc("t")} AS text_crc32 FROM (SELECT DISTINCT coalesce(text, '') AS t FROM documents), tab),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, text_crc32, (('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % {sharding.OLD})::INT AS old_shard FROM documents JOIN c ON coalesce(text, '') = c.t),
+p AS (SELECT *, sum(size) OVER w - size AS place, row_number() OVER w AS line FROM d WINDOW w AS (PARTITION BY old_shard ORDER BY size DESC, doc_id ROWS UNBOUNDED PRECEDING)),
+n AS (SELECT i::INT AS shard, coalesce((SELECT sum(size) FROM d WHERE old_shard = i), 0)::BIGINT AS have, (t // {sharding.NEW} + CASE WHEN i < t % {sharding.NEW} THEN 1 ELSE 0 END)::BIGINT AS room FROM range({sharding.NEW}) r(i), (SELECT sum(size)::BIGINT AS t FROM d)),
+s AS (SELECT *, greatest(have - room, 0) AS over, greatest(room - have, 0) AS under FROM n),
+u AS (SELECT *, sum(over) OVER (ORDER BY shard) - over AS o0, sum(under) OVER (ORDER BY shard) - under AS u0 FROM s),
+m AS (SELECT a.shard AS old_shard, b.shard, least(a.have, a.room) + greatest(a.o0, b.u0) - a.o0 AS low, least(a.have, a.room) + least(a.o0 + a.over, b.u0 + b.under) - a.o0 AS high FROM u a JOIN u b ON greatest(a.o0, b.u0) < least(a.o0 + a.over, b.u0 + b.under)
+  UNION ALL SELECT shard, shard, 0, least(have, room) FROM u)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY p.old_shard, line) - 1)::BIGINT AS slot, NULL::INT AS grown_shard, p.old_shard FROM p JOIN m ON m.old_shard = p.old_shard AND place + size // 2 >= low AND place + size // 2 < high"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _quality(), "op4_license_scans": _licenses(), "op7_ngram_jaccard_join": _jaccard(), "op8_substring_dedup": _repeats(), "op9_mixing": _mixing()}
+    return {"op1_quality_rules": _quality(), "op4_license_scans": _licenses(), "op7_ngram_jaccard_join": _jaccard(), "op8_substring_dedup": _repeats(), "op9_mixing": _mixing(), "op11_importance_resampling": _resampling(), "op12_conversation_repair": _repair(), "op13_sharding": _sharding()}
