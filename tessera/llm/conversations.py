@@ -250,15 +250,19 @@ def repair(conversations: DataFrame, block: int = BLOCK, fan: int = FAN) -> Repa
     blocks = Table(signs.select("_id", "at", F.array_join(F.transform("_signs", lambda x: x["_sign"]), "").alias("signature")), "blocks")
     solved = Table(solutions(blocks.read()), "solved")
     level = Table(blocks.read().join(solved.read().select("signature", "costs", "ranks"), "signature").select("_id", "at", "costs", "ranks"), "level")
-    levels = [level]
+    long_ = Table(blocks.read().where("at > 0").select("_id").distinct(), "long")  # conversations of one block, nearly all, have nothing to compose
+    levels = [Table(level.read().join(long_.read(), "_id", "left_semi"), "level")]
     for _ in range(_levels(blocks.read().agg(F.max("at")).first()[0] or 0, fan)):
         levels.append(Table(_composed(levels[-1].read(), fan), "level"))
-    ends = F.array(*[F.struct(F.expr(f"costs[{o}]").alias("cost"), F.expr(f"ranks[{o}]"), F.lit(o).alias("end"), F.lit(INSERT * len(CLOSE[o])).alias("more")) for o in STATES])
-    ends = F.transform(F.filter(ends, lambda x: x["cost"] >= 0), lambda x: F.struct((x["cost"] + x["more"]).alias("cost"), x["col2"], x["end"].alias("end")))
-    top = Table(levels[-1].read().select("_id", F.array_min(ends).alias("e")).select("_id", F.col("e.cost").alias("cost"), F.col("e.end").alias("last")), "top")
-    down = top.read().select("_id", F.lit(0).cast("long").alias("at"), F.lit(EMPTY).alias("start"), F.col("last").alias("end"))
+    roots = level.read().join(long_.read(), "_id", "left_anti").unionByName(levels[-1].read())
+    ends = F.array(*[F.struct(F.expr(f"costs[{o}]").alias("cost"), F.expr(f"ranks[{o}]").alias("rank"), F.lit(o).alias("end"), F.lit(INSERT * len(CLOSE[o])).alias("more")) for o in STATES])
+    ends = F.transform(F.filter(ends, lambda x: x["cost"] >= 0), lambda x: F.struct((x["cost"] + x["more"]).alias("cost"), x["rank"], x["end"].alias("end")))
+    top = Table(roots.select("_id", F.array_min(ends).alias("e")).select("_id", F.col("e.cost").alias("cost"), F.col("e.end").alias("last")), "top")
+    whole = top.read().select("_id", F.lit(0).cast("long").alias("at"), F.lit(EMPTY).alias("start"), F.col("last").alias("end"))
+    down = whole.join(long_.read(), "_id", "left_semi")
     for lower in levels[-2::-1]:
         down = Table(_descended(lower.read(), down, fan), "down").read()
+    down = whole.join(long_.read(), "_id", "left_anti").unionByName(down)
     return _assembled(rows, letters, blocks, solved, top, down, block)
 
 
