@@ -85,18 +85,6 @@ def weighted(scored: DataFrame, bm25_weight: float = BM25_WEIGHT, vector_weight:
     return scored.withColumn("hybrid_score", bm25_weight * share("bm25_score") + vector_weight * share("vector_score"))
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, top_k: int, mode: str = "rrf", key: str = "chunk_id", k: int = RRF_K, weights: tuple[float, float] = (BM25_WEIGHT, VECTOR_WEIGHT)) -> DataFrame:
-    """The ``top_k`` chunks of each query with all their scores; ``mode`` is rrf, weighted or vector.
-
-    Ranks need keys and scores alone: contents join the ``top_k`` at the end.
-    """
-    both = vector_scores(queries, chunks, key).join(bm25(queries, chunks, key), ["query_id", key], "left").withColumn("bm25_score", F.coalesce("bm25_score", F.lit(0.0)))
-    scored = both.join(chunks.select(key, "pos"), key)
-    fused = rrf(scored, k=k) if mode == "rrf" else weighted(scored, *((0.0, 1.0) if mode == "vector" else weights))
-    best = ranked(fused, "hybrid_score", "rank", most=top_k)
-    return best.join(chunks.drop("pos", *[c for c in ("vector_score", "bm25_score", "hybrid_score") if c in chunks.columns]), key)
-
-
 def fused_candidates(bm25_ranked: DataFrame, vector_ranked: DataFrame, key: str = "chunk_id", k: int = RRF_K) -> DataFrame:
     """Full outer merge of two candidate lists (query_id, key, bm25_rank / vector_rank); a missing side adds 0."""
     both = bm25_ranked.join(vector_ranked, ["query_id", key], "full")

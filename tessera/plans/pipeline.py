@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import summary
 from tessera.functions.vector import Embed, with_embedding
-from tessera.operators import chunking, context, dedup, ranking, research
+from tessera.operators import chunking, context, dedup, fusion, ranking, research
 from tessera.plans.store import ChunkStore
 
 
@@ -66,7 +66,7 @@ class Pipeline:
     def _search(self, queries: DataFrame, chunks: DataFrame) -> DataFrame:
         mode = self.s.fusion_mode if self.s.hybrid_search else "vector"
         embedded = with_embedding(queries, self.embed, "query")
-        return ranking.hybrid(embedded, chunks, 2 * self.s.rerank_top_k, mode, k=self.s.rrf_k, weights=(self.s.bm25_weight, self.s.vector_weight))
+        return fusion.hybrid(embedded, chunks, 2 * self.s.rerank_top_k, mode, k=self.s.rrf_k, weights=(self.s.bm25_weight, self.s.vector_weight))
 
     def _finish(self, queries: DataFrame, hits: DataFrame) -> DataFrame:
         """Reranks hits (query_id, pos: their order, ...) by the original query."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,10 +12,11 @@ from pyspark.sql.window import Window
 from tessera.functions import html, markdown
 from tessera.functions import text as T
 from tessera.functions.vector import cosine, digest_embedding
-from tessera.operators import chunking, context, dedup, ledger, metrics, ranking, reports, research
+from tessera.operators import chunking, context, dedup, fusion, ledger, metrics, ranking, reports, research
 from tessera.plans.pipeline import Pipeline, QuestionTool, Settings
 from tessera.plans.store import ChunkStore
 from tessera.sources import files, search
+from tessera.sources.tables import shared_folder
 from tessera.streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -746,17 +746,10 @@ def retrieval_pipeline(spark, d):
     return out.select("query_id", F.length("context").alias("n"), F.md5("context").alias("context_md5"))
 
 
-def _shared(spark) -> str:
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
-    return (path or f"file://{tempfile.gettempdir()}/checkpoints").rstrip("/")
-
-
 @query()
 def store_questions(spark, d):
     """Documents go into a new store, which answers alone."""
-    store = ChunkStore(spark, f"{_shared(spark)}/store-{uuid.uuid4().hex}", digest_embedding)
+    store = ChunkStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", digest_embedding)
     store.load(chunking.documents(table(spark, d, "documents")))
     tool = QuestionTool(Pipeline(Settings(), digest_embedding, store=store))
     return tool.query(_questions(spark, d)).select("query_id", F.size("chunks").alias("n_chunks"), F.size("sources").alias("n_sources"), F.length("context").alias("n"))
@@ -804,10 +797,30 @@ def hybrid_fusion_of_texts(spark, d):
     return ranking.ranked(fused, "hybrid_score", "rank", most=20).select("query_id", F.col("chunk_id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), rounded("vector_score"), rounded("bm25_score"), rounded("hybrid_score"))
 
 
+def _fused(h: str) -> str:
+    return f"SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY {h} DESC, doc_id) - 1 AS rank, round(s, 6) AS vector_score, round(b, 6) AS bm25_score, round({h}, 6) AS hybrid_score FROM r QUALIFY rank < 20"
+
+
+def _fused_rows(found: DataFrame) -> DataFrame:
+    return found.select("query_id", F.col("chunk_id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), rounded("vector_score"), rounded("bm25_score"), rounded("hybrid_score"))
+
+
+@query(f"WITH {_ASKED}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY b DESC, doc_id) AS br, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS vr FROM s) " + _fused("round(1.0 / (60 + br) + 1.0 / (60 + vr), 12)"))
+def threshold_fusion(spark, d):
+    """By the threshold algorithm, no list ranked whole."""
+    return _fused_rows(fusion.hybrid(*_asked(spark, d), 20))
+
+
+@query(f"WITH {_ASKED}, r AS (SELECT *, CASE WHEN max(s) OVER (PARTITION BY query_id) > 0 THEN max(s) OVER (PARTITION BY query_id) ELSE 1 END AS ms, CASE WHEN max(b) OVER (PARTITION BY query_id) > 0 THEN max(b) OVER (PARTITION BY query_id) ELSE 1 END AS mb FROM s) " + _fused("(0.4 * (b / mb) + 0.6 * (s / ms))"))
+def threshold_weighted(spark, d):
+    """As above by weights."""
+    return _fused_rows(fusion.hybrid(*_asked(spark, d), 20, "weighted"))
+
+
 @query(f"WITH {_ASKED}, w AS (SELECT query_id, doc_id, s / CASE WHEN max(s) OVER (PARTITION BY query_id) > 0 THEN max(s) OVER (PARTITION BY query_id) ELSE 1 END AS h FROM s) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(h, 6) DESC) - 1 AS rank, round(h, 6) AS hybrid_score FROM w QUALIFY rank < 20")
 def hybrid_retrieve(spark, d):
     """C1 as a whole in its vector mode; equal scores may change places, so ids aren't shown."""
-    found = ranking.hybrid(*_asked(spark, d), 20, "vector")
+    found = fusion.hybrid(*_asked(spark, d), 20, "vector")
     assert {"content", "source", "title"} <= set(found.columns)
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), rounded("hybrid_score"))
 
@@ -963,7 +976,7 @@ def hashable_contexts(spark, d):
 
 
 def _store(spark) -> ChunkStore:
-    return ChunkStore(spark, f"{_shared(spark)}/store-{uuid.uuid4().hex}", letters)
+    return ChunkStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", letters)
 
 
 def _as_chunks(docs: DataFrame) -> DataFrame:
@@ -1002,7 +1015,7 @@ def store_loaded(spark, d):
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def appended_results(spark, d):
     """Results appended by two runs, read again."""
-    path = f"{_shared(spark)}/results-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
     e = table(spark, d, "events").select("event_id", "event_type", "value")
     metrics.append_results(e.where("event_type < 'm'"), path)
     metrics.append_results(e.where("not event_type < 'm'"), path)
@@ -1012,7 +1025,7 @@ def appended_results(spark, d):
 @query("SELECT min(n) AS least, count(*) AS sources FROM (SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1)")
 def visited_stream(spark, d):
     """Section 2.9: each source once, from a stream with a watermark, run to its end."""
-    at = f"{_shared(spark)}/visits-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/visits-{uuid.uuid4().hex}"
     docs = table(spark, d, "documents").where("source is not null").select(F.col("source").alias("url"), F.timestamp_seconds(F.lit(1_000_000_000)).alias("ts"))
     docs.write.parquet(f"{at}/in")
     stream = streams.first_visits(spark.readStream.schema(docs.schema).parquet(f"{at}/in"))
@@ -1025,7 +1038,7 @@ def visited_stream(spark, d):
 @query("SELECT event_id, user_id, event_type FROM events")
 def event_log(spark, d):
     """Section 2.9, K8: the append-only log, written by a stream and read again."""
-    at = f"{_shared(spark)}/log-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
     e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("type"), F.col("props").alias("data"))
     e.write.json(f"{at}/in")
     streams.append(streams.log_source(spark, f"{at}/in"), f"{at}/out", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import context, dedup, ranking
+from tessera.operators import context, dedup, fusion, ranking
 
 
 def chunks(spark, rows):
@@ -38,7 +38,7 @@ def test_ranks_keep_input_order_on_ties_and_fuse(spark):
 def test_hybrid_and_rerank(spark):
     c = chunks(spark, [("red fox", [1.0, 0.0]), ("blue fox", [0.0, 1.0]), ("green hen", [0.7, 0.7])])
     q = queries(spark, ("fox", [0.0, 1.0]))
-    top = ranking.hybrid(q, c, 2)
+    top = fusion.hybrid(q, c, 2)
     assert [r.chunk_id for r in top.orderBy("rank").collect()] == [1, 2] or [r.chunk_id for r in top.orderBy("rank").collect()] == [1, 0]
     best = ranking.rerank(q, c.withColumn("query_id", F.lit(0).cast("long")), 2).orderBy("rerank_rank").collect()
     assert [r.chunk_id for r in best] == [1, 2]
