@@ -84,7 +84,7 @@ class Pipeline:
         asked = variants.select(F.col("variant_id").alias("query_id"), "query")
         found = self._search(asked, chunks)
         found = found.select(F.col("query_id.query_id").alias("query_id"), F.struct(F.lit(1).alias("side"), F.col("query_id.variant").alias("variant"), F.col("rank").cast("long").alias("rank")).alias("pos"), *columns[2:])
-        if self.store is not None and self.store.version():
+        if self.store is not None and self.store.filled():
             stored = self.store.retrieve(queries, 2 * self.s.rerank_top_k)
             stored = stored.select("query_id", F.struct(F.lit(0).alias("side"), F.lit(0).alias("variant"), F.col("rank").cast("long").alias("rank")).alias("pos"), *columns[2:])
             if self.s.knowledge_store_mode == "primary":

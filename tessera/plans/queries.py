@@ -15,8 +15,9 @@ from tessera.functions.vector import cosine, digest_embedding
 from tessera.operators import chunking, context, dedup, fusion, ledger, metrics, ranking, reports, research
 from tessera.plans.pipeline import Pipeline, QuestionTool, Settings
 from tessera.plans.store import ChunkStore
+from tessera.plans.term_index import TermIndex
 from tessera.sources import files, search
-from tessera.sources.tables import shared_folder
+from tessera.sources.tables import new_folder, shared_folder, written
 from tessera.streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1002,14 +1003,56 @@ def store_similar(spark, d):
     return store.similar(_questions(spark, d), 8, {"source": "src0"}).select("query_id", F.col("rank").cast("long").alias("rank"), rounded("vector_score"))
 
 
-@query("SELECT item_id AS doc_id, 'bench' AS source, 'T' AS title, text AS content FROM benchmark WHERE length(text) <= 1000")
+@query("SELECT doc_id, text_md5, n > 1000 AS split, 'bench' AS source, 'T' AS title FROM (SELECT doc_id, length(text) AS n, md5(regexp_replace(text, '[\\x09-\\x0D\\x20]', '', 'g')) AS text_md5 FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '[^\\x09-\\x0D\\x20]'))")
 def store_loaded(spark, d):
-    """Documents are split and added; those of one piece are shown, whole."""
+    """All documents are split and added; with no overlap their pieces, without white space, make up the texts again, and none is beyond its size."""
     store = _store(spark)
-    docs = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit("bench").alias("url"), F.lit("T").alias("title"), F.col("text").alias("raw_content"))
-    short = docs.where(F.length("raw_content") <= 1000)
-    store.load(short)
-    return store.chunks().join(short.select("doc_id", F.col("raw_content").alias("content")), "content").select("doc_id", "source", "title", "content")
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("bench/"), F.col("doc_id").cast("string")).alias("url"), F.lit("T").alias("title"), F.col("text").alias("raw_content"))
+    store.load(docs, overlap=0)
+    pieces = store.chunks().where(F.length("content") <= 1000).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("p"), F.max("title").alias("title"))  # one document's pieces
+    whole = F.regexp_replace(F.array_join(F.transform("p", lambda x: x["content"]), ""), r"[\x09-\x0D\x20]", "")
+    out = pieces.select(F.split("source", "/")[1].cast("long").alias("doc_id"), F.split("source", "/")[0].alias("source"), "title", F.md5(whole).alias("text_md5"))
+    return out.join(docs.select("doc_id", (F.length("raw_content") > 1000).alias("split")), "doc_id")
+
+
+@query(_BM25 + " SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) - 1 AS rank, round(score, 6) AS bm25_score FROM s QUALIFY rank < 20")
+def indexed_bm25(spark, d):
+    """The stored index, blocks that can't hold one of the best left unread."""
+    index = TermIndex(spark, new_folder(spark, "terms"))
+    chunks = doc_chunks(spark, d).withColumn("content", F.coalesce("content", F.lit("")))
+    index.write(chunks.withColumn("bucket", F.pmod(F.xxhash64("source"), F.lit(64)).cast("int")))
+    asked = spark.range(1).select(F.col("id").alias("query_id"), F.lit(WORDS).alias("query"))
+    top = index.topk(asked, 40).withColumn("bm25_score", F.round("bm25_score", 9))  # twice as many, as sums differ in their last digits
+    return ranking.ranked(top.drop("rank"), "bm25_score", "rank", most=20).select(F.col("pos").alias("doc_id"), F.col("rank").cast("long").alias("rank"), rounded("bm25_score"))
+
+
+_RETRIEVED = f"""WITH {_ASKED}, r AS (SELECT *, CASE WHEN b > 0 THEN row_number() OVER (PARTITION BY query_id ORDER BY b DESC, doc_id) END AS br, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS vr FROM s),
+f AS (SELECT query_id, doc_id, b, CASE WHEN vr <= 60 THEN s ELSE 0 END AS s, coalesce(1.0 / (60 + br), 0) + CASE WHEN vr <= 60 THEN 1.0 / (60 + vr) ELSE 0 END AS h FROM r)"""
+
+
+@query(_RETRIEVED + " SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(h, 12) DESC, doc_id) - 1 AS rank, round(s, 6) AS vector_score, round(b, 6) AS bm25_score, round(h, 6) AS hybrid_score FROM f WHERE h > 0 QUALIFY rank < 20")
+def store_retrieved(spark, d):
+    """A store of all documents, asked by words and vectors; contents are shown by the documents they are of."""
+    store = _store(spark)
+    store.add(table(spark, d, "documents").select(F.coalesce("text", F.lit("")).alias("content"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source"), F.lit("").alias("title"), F.lit(0).alias("chunk_index")))
+    found = store.retrieve(_questions(spark, d).withColumn("embedding", letters(F.col("query"))), 20)
+    return found.select("query_id", F.substring("source", 2, 20).cast("long").alias("doc_id"), F.col("rank").cast("long").alias("rank"), rounded("vector_score"), rounded("bm25_score"), rounded("hybrid_score"))
+
+
+@query("WITH k AS (SELECT doc_id % 97 AS k, md5(coalesce(text, '')) AS m FROM documents), u AS (SELECT k, m FROM k WHERE k <> 5 UNION ALL SELECT 5, md5(text) FROM benchmark) SELECT 's' || k AS source, count(*) AS n, min(m) AS least_md5, max(m) AS most_md5, k <> 5 AS untouched FROM u GROUP BY k")
+def store_upsert_touches(spark, d):
+    """K1: one of 97 sources is replaced; of the others those outside its bucket keep their files, name and time."""
+    store = _store(spark)
+    docs = table(spark, d, "documents").select(F.coalesce("text", F.lit("")).alias("content"), F.concat(F.lit("s"), (F.col("doc_id") % 97).cast("string")).alias("source"), F.lit("T").alias("title"), F.lit(0).alias("chunk_index"))
+    store.add(docs)
+    files_of = lambda: store._stored().select("source", "bucket", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("time"))
+    before = written(files_of().distinct(), "before")
+    store.add(table(spark, d, "benchmark").select(F.col("text").alias("content"), F.lit("s5").alias("source"), F.lit("T").alias("title"), F.lit(0).alias("chunk_index")))
+    changed = files_of().distinct().join(before, ["source", "file", "time"], "left_anti").select("bucket").distinct()
+    own = before.where("source = 's5'").select("bucket").distinct()
+    strays = changed.join(own, "bucket", "left_anti").agg(F.count("*").alias("strays"))  # one row: buckets that changed and should not have
+    rows = store.chunks().groupBy("source").agg(F.count("*").alias("n"), F.min(F.md5("content")).alias("least_md5"), F.max(F.md5("content")).alias("most_md5"))
+    return rows.join(F.broadcast(strays)).select("source", "n", "least_md5", "most_md5", ((F.col("source") != "s5") & (F.col("strays") == 0)).alias("untouched"))
 
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")

@@ -1,7 +1,8 @@
-"""A persistent chunk store on Parquet: versions, upsert by source, retrieval.
+"""A persistent chunk store on Parquet: upsert by source, retrieval.
 
-Each change writes a new version folder and then one pointer file; readers see
-the old version until the pointer is there, and a failed write leaves it.
+Chunks lie in folders by a hash of their source, the index of terms beside them
+in the same buckets. A change rewrites the buckets of the sources it names, by
+Spark's dynamic partition overwrite, from a staged copy; all other files stay.
 """
 
 from __future__ import annotations
@@ -9,66 +10,84 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.vector import Embed, with_embedding
-from tessera.operators import chunking, dedup, ranking
+from tessera.functions.vector import Embed, cosine, with_embedding
+from tessera.operators import chunking, dedup, fusion, ranking
+from tessera.plans.term_index import TermIndex, put
 from tessera.sources import files
+from tessera.sources.tables import written
 
 SCHEMA = "chunk_id string, pos long, content string, source string, title string, doc_type string, chunk_index int, metadata map<string,string>, embedding array<float>"
+COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
-
-#: Parameter: versions that stay readable.
-KEPT = 3
+#: Parameters: buckets of a store, fixed when it is made; the bucket of chunks without a source, which are only ever added to.
+BUCKETS, UNNAMED = 64, -1
 
 
 class ChunkStore:
-    """``path`` is a folder that all executors share."""
+    """``path`` is a folder that all executors share. One writer at a time; readers see a bucket before or after a change."""
 
-    def __init__(self, spark: SparkSession, path: str, embed: Embed):
-        self.spark, self.path, self.embed = spark, path.rstrip("/"), embed
+    def __init__(self, spark: SparkSession, path: str, embed: Embed, buckets: int = BUCKETS):
+        self.spark, self.path, self.embed, self.buckets = spark, path.rstrip("/"), embed, buckets
+        self.index = TermIndex(spark, f"{self.path}/index")
         self._fs = spark.sparkContext._jvm.org.apache.hadoop.fs
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
 
-    def _at(self, name: str):
+    def _bucket(self, source: str = "source"):
+        return F.when(F.col(source) == "", UNNAMED).otherwise(F.pmod(F.xxhash64(source), F.lit(self.buckets))).cast("int")
+
+    def _exists(self, name: str) -> bool:
         at = self._fs.Path(f"{self.path}/{name}")
-        return at.getFileSystem(self._conf), at
+        return at.getFileSystem(self._conf).exists(at)
+
+    def filled(self) -> bool:
+        return self._exists("chunks")
 
-    def version(self) -> int:
-        """The newest version whose pointer is there; 0: none."""
-        fs, at = self._at("pointers")
-        return max((int(s.getPath().getName()) for s in fs.listStatus(at)), default=0) if fs.exists(at) else 0
+    def _stored(self) -> DataFrame:
+        if not self.filled():
+            return self.spark.createDataFrame([], f"{SCHEMA}, bucket int")
+        return self.spark.read.schema(f"{SCHEMA}, bucket int").parquet(f"{self.path}/chunks")
 
     def chunks(self) -> DataFrame:
         """A scan; predicates and columns are pushed to it."""
-        v = self.version()
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/v{v}") if v else self.spark.createDataFrame([], SCHEMA)
+        return self._stored().select(*COLUMNS)
 
-    def _publish(self, rows: DataFrame) -> None:
-        v = self.version() + 1
-        rows.select(*[c.split()[0] for c in SCHEMA.split(", ")]).write.mode("overwrite").parquet(f"{self.path}/v{v}")
-        fs, at = self._at(f"pointers/{v}")
-        fs.create(at, False).close()
-        for name in (f"pointers/{v - KEPT}", f"v{v - KEPT}"):
-            fs.delete(self._at(name)[1], True)
+    def _replace(self, rows: DataFrame, append: bool = False) -> None:
+        """Stages ``rows`` (with bucket), so that no file is read that is being replaced, then puts chunks and index in place."""
+        staged = written(rows.select(*COLUMNS, "bucket"), "staged")
+        put(staged.repartition("bucket", F.pmod("pos", F.lit(8))), f"{self.path}/chunks", append)  # a hot source is written by several tasks
+        self.index.write(staged, append)
 
     def add(self, chunks: DataFrame, doc_type: str = "local") -> int:
         """K1: replaces the sources that ``chunks`` name; chunks without a source are only added. Returns how many were added."""
-        have = set(chunks.columns)
-        extra = F.col("metadata") if "metadata" in have else F.lit(None).cast("map<string,string>")
+        extra = F.col("metadata") if "metadata" in chunks.columns else F.lit(None).cast("map<string,string>")
         new = with_embedding(chunks, self.embed)
         new = new.select(F.expr("uuid()").alias("chunk_id"), F.monotonically_increasing_id().alias("pos"), "content", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("title", F.lit("")).alias("title"), F.lit(doc_type).alias("doc_type"), F.col("chunk_index").cast("int").alias("chunk_index"), F.map_filter(extra, lambda _, v: v.isNotNull()).alias("metadata"), F.col("embedding").cast("array<float>").alias("embedding"))
-        old = self.chunks()
-        named = chunks.select("source").where("source <> ''").distinct()
-        kept = old.join(named, "source", "left_anti")
+        new = written(new.withColumn("bucket", self._bucket()), "added")  # ids are given once
+        old = self._stored()
         start = old.agg(F.coalesce(F.max("pos") + 1, F.lit(0))).first()[0]
-        self._publish(kept.unionByName(new.withColumn("pos", F.col("pos") + F.lit(start))))
-        return self.chunks().where(F.col("pos") >= start).count()  # of what is written, nothing is made twice
+        new = new.withColumn("pos", F.col("pos") + F.lit(start))
+        counts = {b: n for b, n in new.groupBy("bucket").count().collect()}  # at most one row for each bucket
+        touched = [b for b in counts if b != UNNAMED]
+        if touched:
+            kept = old.where(F.col("bucket").isin(touched)).join(new.select("source").distinct(), "source", "left_anti")
+            self._replace(kept.unionByName(new.where(F.col("bucket") != UNNAMED)))
+        if UNNAMED in counts:
+            self._replace(new.where(F.col("bucket") == UNNAMED), append=True)
+        return sum(counts.values())
 
     def delete(self, source: str) -> int:
-        """K2."""
-        old = self.chunks()
-        n = old.where(F.col("source") == source).count()
-        if n:
-            self._publish(old.where(F.col("source") != source))
+        """K2: rewrites the source's bucket; a bucket that is left empty goes. Chunks without a source go one and all."""
+        one = self.spark.range(1).select(F.lit(source).alias("source"))
+        bucket = one.select(self._bucket()).first()[0]
+        rows = self._stored().where(F.col("bucket") == bucket)
+        n = rows.where(F.col("source") == source).count()
+        rest = rows.where(F.col("source") != source)
+        if n and not rest.isEmpty():
+            self._replace(rest)
+        elif n:
+            for name in ("chunks", "index/postings", "index/bounds", "index/sizes"):
+                at = self._fs.Path(f"{self.path}/{name}/bucket={bucket}")
+                at.getFileSystem(self._conf).delete(at, True)
         return n
 
     def load(self, docs: DataFrame, size: int = 1000, overlap: int = 200) -> int:
@@ -91,23 +110,38 @@ class ChunkStore:
         """A2."""
         return self.chunks().count()
 
-    def retrieve(self, queries: DataFrame, top_k: int = 10) -> DataFrame:
-        """The ``top_k`` of each query by rank fusion of BM25 and the 3 * top_k nearest vectors; all scores are returned."""
-        return retrieve(with_embedding(queries, self.embed, "query"), self.chunks(), top_k)
+    def retrieve(self, queries: DataFrame, top_k: int = 10, k: int = ranking.RRF_K) -> DataFrame:
+        """The ``top_k`` of each query by rank fusion of BM25 and the 3 * top_k nearest vectors; all scores are returned.
+
+        The index gives the ``top_k`` best by words, blocks that can't hold one
+        left unread: a chunk that is neither among them nor among the nearest
+        has less than each of them. What the nearest have as rank by words is
+        counted (:func:`fusion.ranks_of`), and contents join the ``top_k`` at the end.
+        """
+        asked = with_embedding(queries, self.embed, "query")
+        columns = ["query_id", *COLUMNS[:-1], "embedding", "vector_score", "vector_rank", "bm25_score", "bm25_rank", "hybrid_score", "rank"]
+        if not self.filled():
+            empty = self.chunks().join(queries.select("query_id").limit(0)).select("*", *[F.lit(0.0).alias(c) for c in columns if c.endswith("score")], *[F.lit(0).cast("long").alias(c) for c in columns if c.endswith("rank")])
+            return empty.select(*columns)
+        chunks = self.chunks()
+        pairs = ranking.vector_scores(asked, chunks, "pos").withColumn("vector_score", F.round("vector_score", fusion.DIGITS))
+        near = written(ranking.ranked(pairs, "vector_score", "vector_rank", most=3 * top_k), "near")
+        words = self.index.scores(asked).select("query_id", F.col("pos").alias("ordinal"), F.round("bm25_score", fusion.DIGITS).alias("score"))
+        both = near.select("query_id", F.col("pos").alias("ordinal")).join(words, ["query_id", "ordinal"])
+        best = self.index.topk(asked, top_k).select("query_id", F.col("pos").alias("ordinal"), F.round("bm25_score", fusion.DIGITS).alias("score"))
+        said = fusion.ranks_of(written(best.unionByName(both).dropDuplicates(["query_id", "ordinal"]), "said"), words, "bm25_rank").select("query_id", F.col("ordinal").alias("pos"), F.col("score").alias("bm25_score"), "bm25_rank")
+        fused = ranking.fused_candidates(said, near, "pos", k).fillna(0.0, ["bm25_score", "vector_score"])
+        top = ranking.ranked(fused, "hybrid_score", "rank", most=top_k)
+        return top.join(chunks, "pos").select(*columns)
 
     def similar(self, queries: DataFrame, k: int = 8, where: dict | None = None) -> DataFrame:
-        """Nearest chunks under equalities."""
-        chunks = self.chunks()
+        """Nearest chunks under equalities; a source's are looked for in its bucket alone."""
+        rows = self._stored()
         for name, value in (where or {}).items():
-            chunks = chunks.where(F.col(name) == F.lit(value))
-        scored = ranking.vector_scores(with_embedding(queries, self.embed, "query"), chunks).join(chunks, "chunk_id")
-        return ranking.ranked(scored, "vector_score", "rank", most=k)
-
-
-def retrieve(queries: DataFrame, chunks: DataFrame, top_k: int) -> DataFrame:
-    """C2 over any chunks (chunk_id, pos, content, embedding, ...)."""
-    vectors = ranking.ranked(ranking.vector_scores(queries, chunks).join(chunks.select("chunk_id", "pos"), "chunk_id"), "vector_score", "vector_rank", most=3 * top_k)
-    words = ranking.ranked(ranking.bm25(queries, chunks).join(chunks.select("chunk_id", "pos"), "chunk_id"), "bm25_score", "bm25_rank")
-    fused = ranking.fused_candidates(words.drop("pos"), vectors.drop("pos"))
-    rows = fused.join(chunks, "chunk_id").withColumn("bm25_score", F.coalesce("bm25_score", F.lit(0.0))).withColumn("vector_score", F.coalesce("vector_score", F.lit(0.0)))
-    return ranking.ranked(rows, "hybrid_score", "rank", most=top_k)
+            rows = rows.where(F.col(name) == F.lit(value))
+            if name == "source" and value is not None:
+                bucket = self.spark.range(1).select(F.lit(value).alias("source")).select(self._bucket()).first()[0]
+                rows = rows.where(F.col("bucket") == bucket)
+        asked = with_embedding(queries, self.embed, "query").select("query_id", F.col("embedding").alias("_q"))
+        scored = rows.select("pos", "embedding").join(asked).select("query_id", "pos", cosine("_q", "embedding").alias("vector_score"))
+        return ranking.ranked(scored, "vector_score", "rank", most=k).join(rows.select(*COLUMNS), "pos")
