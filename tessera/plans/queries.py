@@ -13,6 +13,7 @@ from tessera.functions import html, markdown
 from tessera.functions import text as T
 from tessera.functions.vector import cosine, digest_embedding
 from tessera.operators import chunking, context, dedup, fusion, ledger, metrics, ranking, reports, research
+from tessera.operators.vector_index import VectorIndex
 from tessera.plans.pipeline import Pipeline, QuestionTool, Settings
 from tessera.plans.store import ChunkStore
 from tessera.plans.term_index import TermIndex
@@ -89,6 +90,14 @@ def vector_topk(spark, d):
     return ranking.ranked(scored, "vector_score", "rank", most=10).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), rounded("vector_score"))
 
 
+@query(SQL["vector_topk"])
+def indexed_vectors(spark, d):
+    """The same by the inverted-file index, which reads the cells that can hold one of the best."""
+    q, e = vectors(spark, d)
+    index = VectorIndex.build(e.select("chunk_id", "embedding"), new_folder(spark, "vectors"))
+    return index.search(q, 10).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), rounded("vector_score"))
+
+
 def _two(spark, d) -> DataFrame:
     """Every pair with two scores: the likeness and, in place of BM25, the labels' distance."""
     q, e = vectors(spark, d)
