@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import text as T
 from tessera.operators import dedup
+from tessera.sources.tables import written
 
 #: Least characters of a page, names of tool actions.
 LEAST_PAGE = 100
@@ -87,6 +88,35 @@ def level_sizes(spark: SparkSession, breadth: int, depth: int) -> DataFrame:
         SELECT * FROM levels""")
 
 
+#: Parameter: parts that the links of one address are dealt into, so that a hub's are no single task's.
+PARTS = 16
+
+
+def expanded(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """(node, level) of what ``depth`` steps along ``edges`` (src, dst) reach from ``seeds`` (node): each node once, at its least level.
+
+    One job a level: the open nodes meet their links, and what no earlier level
+    has stays open. Links are dealt by source and a part of their target, once;
+    the few open nodes go to all parts. Levels are written, so nothing is made
+    twice. Null nodes and links to null drop.
+    """
+    links = written(edges.where("src is not null and dst is not null").distinct().withColumn("part", F.pmod(F.xxhash64("dst"), F.lit(PARTS))).repartition("src", "part"), "links")
+    found = [written(seeds.where("node is not null").select("node", F.lit(0).alias("level")).distinct(), "level")]
+    for level in range(1, depth + 1):
+        open_ = found[-1].select(F.col("node").alias("src"), F.explode(F.expr(f"sequence(0L, {PARTS - 1}L)")).alias("part"))
+        met = links.join(open_, ["src", "part"]).select(F.col("dst").alias("node")).distinct()
+        seen = found[0]
+        for earlier in found[1:]:
+            seen = seen.unionByName(earlier)
+        found.append(written(met.join(seen.select("node"), "node", "left_anti").select("node", F.lit(level).alias("level")), "level"))
+        if found[-1].isEmpty():
+            break
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def deep_research(seed: DataFrame, plan: Callable[[DataFrame, int], DataFrame], research: Callable[[DataFrame], DataFrame], breadth: int = 3, depth: int = 2) -> DataFrame:
     """Level by level, ``plan`` gives (node, query) children of the open nodes and ``research`` their (node, query, learning, url, context); one job a level."""
     out, open_ = None, seed

@@ -20,6 +20,7 @@ from tessera.plans.term_index import TermIndex
 from tessera.sources import files, search
 from tessera.sources.tables import new_folder, shared_folder, written
 from tessera.streaming import events as streams
+from tessera.streaming import stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -424,10 +425,16 @@ def last_wins_map(spark, d):
     return research.map_updates(table(spark, d, "events"), "event_type", "value", "event_id")
 
 
-@query("WITH RECURSIVE l(level, breadth, nodes) AS (SELECT 1::BIGINT, 4::BIGINT, 4::BIGINT UNION ALL SELECT level + 1, greatest(2, breadth // 2), nodes * greatest(2, breadth // 2) FROM l WHERE level < 3) SELECT * FROM l")
+@query(r"""WITH RECURSIVE k AS (SELECT DISTINCT url, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*href="([^"]*)"', 1)) AS link FROM pages),
+e AS (SELECT url AS src, link AS dst FROM k UNION SELECT link, url FROM k),
+l AS (SELECT url AS node, 0 AS level FROM pages WHERE page_id % 50 = 0 UNION SELECT dst, level + 1 FROM l JOIN e ON src = node WHERE level < 5)
+SELECT node, min(level)::INT AS level FROM l WHERE node IS NOT NULL GROUP BY 1""")
 def research_levels(spark, d):
-    """C15."""
-    return research.level_sizes(spark, 4, 3)
+    """From every fiftieth page along links, and back along links to the pages that share them, five levels deep."""
+    pages = table(spark, d, "pages")
+    links = pages.select("url", F.explode(html.link_hosts(F.col("html"))).alias("link"))
+    edges = links.select(F.col("url").alias("src"), F.col("link").alias("dst")).unionByName(links.select(F.col("link").alias("src"), F.col("url").alias("dst")))
+    return research.expanded(pages.where("page_id % 50 = 0").select(F.col("url").alias("node")), edges, 5)
 
 
 @query("WITH p AS (SELECT unnest(['search','get','read','fetch','find','list','query','lookup','retrieve','browse','view','show','describe']) AS p), t AS (SELECT p_partkey, lower(p_name) AS n, lower(p_type || ' view list') AS x FROM part), s AS (SELECT p_partkey, sum(CASE WHEN contains(n, p) THEN 3 ELSE 0 END + CASE WHEN contains(x, p) THEN 1 ELSE 0 END)::INT AS score FROM t, p GROUP BY 1) SELECT p_partkey AS pos, score FROM s WHERE score > 0 ORDER BY score DESC, pos LIMIT 3")
@@ -1074,6 +1081,32 @@ def appended_results(spark, d):
     return files.evaluation(spark, path).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+@query("SELECT 'p' || (doc_id % 500) AS url, min(CASE WHEN doc_id % 7 < 3 THEN 1 ELSE 2 END) AS run FROM documents WHERE doc_id % 500 >= 20 GROUP BY 1")
+def visited_across_runs(spark, d):
+    """Section 2.9, J8: two stream runs over one checkpoint, after a table of what was visited before; each address once, in the run that first has it."""
+    at = new_folder(spark, "visits")
+    run_of = F.when(F.col("doc_id") % 7 < 3, 1).otherwise(2)
+    docs = table(spark, d, "documents").select(F.concat(F.lit("p"), (F.col("doc_id") % 500).cast("string")).alias("url"), "doc_id", run_of.alias("run"))
+    before = spark.range(20).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("url"))
+    for number in (1, 2):
+        docs.where(F.col("run") == number).write.mode("append").parquet(f"{at}/in")
+        stateful.run(stateful.visited_once(spark.readStream.schema(docs.schema).parquet(f"{at}/in"), "doc_id", before), f"{at}/out", f"{at}/checkpoint")
+    return spark.read.schema(docs.schema).parquet(f"{at}/out").select("url", "run")
+
+
+@query("SELECT event_type AS step, round(sum(value), 4) AS cost, count(*) AS n FROM events GROUP BY 1")
+def replayed_ledger(spark, d):
+    """Section 2.9, A4, K8, K10: totals merged batch by batch from a stream; each event's batch comes again, and changes nothing."""
+    at = new_folder(spark, "ledger")
+    costs = table(spark, d, "events").select(F.col("event_type").alias("step"), F.col("value").alias("cost"))
+    costs.repartition(3).write.parquet(f"{at}/in")
+    ledger = stateful.Ledger(spark, f"{at}/totals")
+    merge = ledger.merge
+    ledger.merge = lambda df, number: (merge(df, number), merge(df, number))  # as after a failure between the merge and the stream's commit
+    ledger.follow(spark.readStream.schema(costs.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in"), f"{at}/checkpoint").awaitTermination()
+    return ledger.totals().select("step", rounded("cost", 4), "n")
+
+
 @query("SELECT min(n) AS least, count(*) AS sources FROM (SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1)")
 def visited_stream(spark, d):
     """Section 2.9: each source once, from a stream with a watermark, run to its end."""
