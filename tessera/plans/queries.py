@@ -18,6 +18,7 @@ from tessera.plans.pipeline import Pipeline, QuestionTool, Settings
 from tessera.plans.store import ChunkStore
 from tessera.plans.term_index import TermIndex
 from tessera.sources import files, search
+from tessera.sources import reports as report_files
 from tessera.sources.tables import new_folder, shared_folder, written
 from tessera.streaming import events as streams
 from tessera.streaming import stateful
@@ -695,6 +696,17 @@ def random_sample(spark, d):
     return metrics.sampled(table(spark, d, "documents").select("doc_id"), "doc_id", 25)
 
 
+@query("SELECT c_mktsegment || '.md' AS name, count(*) AS n, md5('# ' || c_mktsegment || chr(10) || string_agg(c_custkey, chr(10) ORDER BY c_custkey)) AS content_md5 FROM customer GROUP BY c_mktsegment")
+def stored_reports(spark, d):
+    """K9, section 2.10: a report for each market segment, written by the transactional sink and read again as files."""
+    path = new_folder(spark, "reports")
+    rows = table(spark, d, "customer").groupBy("c_mktsegment").agg(F.array_sort(F.collect_list("c_custkey")).alias("k"))  # a report is one text
+    content = F.concat(F.lit("# "), "c_mktsegment", F.lit("\n"), F.array_join(F.col("k").cast("array<string>"), "\n"))
+    report_files.save(rows.select(F.concat("c_mktsegment", F.lit(".md")).alias("name"), content.alias("content")), path)
+    read = spark.read.format("binaryFile").load(path).select(F.url_decode(F.element_at(F.split("path", "/"), -1)).alias("name"), F.decode("content", "UTF-8").alias("text"))
+    return read.select("name", (F.size(F.split("text", "\n")) - 1).cast("long").alias("n"), F.md5("text").alias("content_md5"))
+
+
 @query("SELECT event_type AS step, round(sum(value), 4) AS cost, count(*) AS n FROM events GROUP BY ROLLUP (event_type)")
 def step_cost_rollup(spark, d):
     """A4."""

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions.html import page
 from tessera.functions.text import strip
+from tessera.sources import office
 
 #: Suffixes read as plain text, and those whose readers aren't installed and give no rows.
-TEXT, HTML, UNREAD = ("txt", "md", "csv"), ("html", "htm"), ("pdf", "doc", "docx", "pptx", "xls", "xlsx")
+TEXT, HTML, UNREAD = ("txt", "md", "csv"), ("html", "htm"), ("pdf", "doc", "xls")
 
 
 def extension(path: Column) -> Column:
@@ -19,10 +20,21 @@ def extension(path: Column) -> Column:
 
 def from_files(files: DataFrame) -> DataFrame:
     """(path, content) of any file system as (url, title, raw_content); unknown kinds and empty texts drop."""
-    rows = files.select(F.element_at(F.split("path", "/"), -1).alias("url"), extension(F.col("path")).alias("kind"), F.decode("content", "UTF-8").alias("text"))
+    name = F.element_at(F.split("path", "/"), -1).alias("url")
+    typed = files.select("path", "content", extension(F.col("path")).alias("kind"))
+    rows = typed.where(F.col("kind").isin(*TEXT, *HTML)).select(name, "kind", F.decode("content", "UTF-8").alias("text"))
+    packed = office.texts(office.members(typed)).select(name, F.lit("").alias("title"), F.col("text").alias("raw_content"))
     plain = rows.where(F.col("kind").isin(*TEXT)).select("url", F.lit("").alias("title"), F.col("text").alias("raw_content"))
     read = rows.where(F.col("kind").isin(*HTML)).withColumn("page", page(F.col("text"), F.col("url"))).select("url", F.col("page.title").alias("title"), F.col("page.text").alias("raw_content"))
-    return plain.unionByName(read).where("raw_content <> ''")
+    return plain.unionByName(read).unionByName(packed).where("raw_content <> ''")
+
+
+def unread(files: DataFrame) -> DataFrame:
+    """(path, reason) of files that give no rows: kinds without a reader and broken office files; Spark doesn't list empty ones."""
+    typed = files.select("path", "content", extension(F.col("path")).alias("kind"))
+    strange = typed.where(~F.col("kind").isin(*TEXT, *HTML, *office.MEMBERS)).select("path", F.concat(F.lit("no reader for "), F.col("kind")).alias("reason"))
+    broken = office.members(typed).where("error is not null").select("path", F.col("error").alias("reason"))
+    return strange.unionByName(broken)
 
 
 def load(spark: SparkSession, paths: str | list[str], require: bool = True) -> DataFrame:
