@@ -210,9 +210,15 @@ def near_duplicate_pairs(spark, d):
     return dedup.near_pairs(_hits(spark, d), 0.3).select("query_id", F.col("pos_a").cast("long").alias("pos_a"), F.col("pos_b").cast("long").alias("pos_b"), rounded("likeness"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_COS}, k AS (SELECT query_id, chunk_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS i FROM c QUALIFY i <= 20),
+n AS (SELECT a.query_id, a.i, list(a.i < b.i AND list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) > 0.3 ORDER BY b.i) AS near, list(b.s > any_s ORDER BY b.i) AS higher FROM (SELECT *, s AS any_s FROM k) a JOIN k b ON a.query_id = b.query_id JOIN embeddings x ON x.vec_id = a.chunk_id JOIN embeddings y ON y.vec_id = b.chunk_id GROUP BY 1, 2),
+f AS (SELECT query_id, 0::BIGINT AS i, list_transform(range(count(*)), lambda j: true) AS kept FROM k GROUP BY 1
+  UNION ALL
+  SELECT query_id, i, CASE WHEN kept[i] THEN list_transform(range(1, len(kept) + 1), lambda j: CASE WHEN j = i THEN stop IS NULL WHEN near[j] AND kept[j] AND NOT higher[j] AND (stop IS NULL OR j < stop) THEN false ELSE kept[j] END) ELSE kept END
+  FROM (SELECT f.query_id, n.i, kept, near, higher, list_min(list_filter(range(1, len(kept) + 1), lambda j: near[j] AND kept[j] AND higher[j])) AS stop FROM f JOIN n ON n.query_id = f.query_id AND n.i = f.i + 1))
+SELECT k.query_id, k.chunk_id, (k.i - 1)::INT AS pos FROM f JOIN k USING (query_id) WHERE f.i = len(kept) AND kept[k.i]""")
 def near_duplicate_survivors(spark, d):
-    """A fold in order, tested against a loop."""
+    """A fold in order."""
     return dedup.drop_near_duplicates(_hits(spark, d).withColumn("sort_score", F.col("vector_score")), 0.3).select("query_id", "chunk_id", "pos")
 
 

@@ -1,5 +1,7 @@
 from pyspark.sql import functions as F
 
+import random
+
 from tessera.functions import html, markdown
 
 PAGE = """<html><head><title>A page</title><style>x</style></head><body><nav>menu</nav><div class="big sidebar"><p>side</p></div>
@@ -43,3 +45,18 @@ def test_markdown(spark):
     got = df.where("doc_id = 1").select(markdown.with_image(F.col("text"), F.lit("B"), F.lit("u$1"), F.lit("alt")).alias("t")).first()["t"]
     assert "## B\n\n![alt](u$1)\n\ntwo" in got or "## B\n\n![alt](u$1)\n" in got
     assert df.select(markdown.with_references(F.lit("r"), F.array(F.lit("u"))).alias("t")).first()["t"] == "r\n\n\n## References\n\n- [u](u)\n"
+
+
+def test_markdown_rows_of_one_key_and_many_headers(spark):
+    two = spark.createDataFrame([(1, "# a"), (1, "# b"), (2, None), (3, "")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.toc) for r in markdown.contents(two).collect()) == [(1, "## Table of Contents\n\n- a\n"), (1, "## Table of Contents\n\n- b\n"), (2, "## Table of Contents\n\n"), (3, "## Table of Contents\n\n")]
+    assert markdown.line_sections(spark.createDataFrame([(1, "## a\nx"), (1, "## a\ny")], "doc_id long, text string")).count() == 2
+    chance = random.Random(1)
+    levels = [chance.randint(1, 6) for _ in range(6000)]
+    want, stack = [], []
+    for pos, level in enumerate(levels):
+        stack = [x for x in stack if x[1] < level]
+        want.append((pos, stack[-1][0] if stack else None, len(stack)))
+        stack.append((pos, level))
+    long_ = spark.createDataFrame([(1, "\n".join("#" * n + f" h{i}" for i, n in enumerate(levels)))], "doc_id long, text string")
+    assert sorted((r.pos, r.parent_pos, r.depth) for r in markdown.headers(long_).collect()) == want
