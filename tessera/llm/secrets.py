@@ -1,8 +1,8 @@
 """Operator 3: secret scans with a random forest that removes false positives.
 
 Candidates are values that follow a credential's name and a sign of assignment
-(six characters or more of any kind, with blanks if quoted), three-part tokens,
-and runs of 16 or more characters of keys that hold a digit or change case
+(six characters or more of any kind, with blanks if quoted), the password of an
+address with a user's name, three-part tokens, and runs of 16 or more characters of keys that hold a digit or change case
 within. Features: length, transitions between kinds of characters, coverage by
 dictionary words, signs of a path, and the neighbouring words. A random forest,
 trained from labelled findings, decides which candidates are secrets.
@@ -21,13 +21,15 @@ from pyspark.sql.window import Window
 from tessera.llm.common import KEY, aside, keyed
 
 #: The name of a credential, what may stand between it and its value, what a candidate looks like (a quoted or bare value, a token of two
-#: or three parts, a run of key characters), and how many characters beside it are looked at.
-NAMES = r"(?i:passw|pwd|passphrase|secret|token|api.?key|access.?key|private.?key|credential|auth.?key)[A-Za-z_]{0,12}[\x22\x27\x60]?"
+#: or three parts, a run of key characters), and how many characters beside it are looked at. Up to 40 letters may follow a credential's key word in its
+#: name, and a user's name in an address has 64 characters at most, as what stands before a candidate must be of bounded length.
+NAMES = r"(?i:passw|pwd|passphrase|secret|token|api.?key|access.?key|private.?key|credential|auth.?key)[A-Za-z_]{0,40}[\x22\x27\x60]?"
 QUOTE, BESIDE = r"[\x22\x27\x60]", 40
-ASSIGNED = rf"{NAMES}\s{{0,3}}[:=]{{1,2}}\s{{0,3}}"
+ASSIGNED = rf"{NAMES}\s{{0,3}}[:=]{{1,2}}>?\s{{0,3}}"
 CANDIDATE = "|".join([
-    rf"(?<=[:=]\s{{0,3}}{QUOTE})(?<={ASSIGNED}{QUOTE})[^\x22\x27\x60\n]{{6,200}}(?={QUOTE})",
-    rf"(?<=[:=]\s{{0,3}})(?<={ASSIGNED})[^\s\x22\x27\x60<>,;(){{}}\[\]]{{6,}}",
+    rf"(?<=[:=]>?\s{{0,3}}{QUOTE})(?<={ASSIGNED}{QUOTE})[^\x22\x27\x60\n]{{6,}}(?={QUOTE})",
+    rf"(?<=[:=]>?\s{{0,3}})(?<={ASSIGNED})[^\s\x22\x27\x60<>,;(){{}}\[\]]{{6,}}",
+    r"(?<=://[^\s:/@]{1,64}:)[^\s:/@]{6,}(?=@)",
     r"eyJ[A-Za-z0-9_\-]{8,}(?:\.[A-Za-z0-9_\-]{4,}){1,2}",
     r"[A-Za-z0-9_+/\-]{16,}",
 ])

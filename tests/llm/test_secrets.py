@@ -79,3 +79,11 @@ def test_by_hand(spark, model):
     right = {(i, value) for i, (_, value, secret) in enumerate(BY_HAND) if secret}
     assert len(found & right) >= 0.85 * len(right), right - found
     assert len(found & right) >= 0.85 * len(found), found - right
+
+
+def test_names_and_values_of_any_usual_length(spark):
+    phrase = "correct horse battery staple " * 12 + "end1"
+    lines = [f'passphrase = "{phrase}"', 'password_for_production_db = "hunter2!"', 'dbPasswordForProductionServer = "hunter2!"', "'password' => 'S3cr3t!pass'", "postgres://admin:hunter2pass@host/db", "http://site.org/a:b"]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    found = {(r.doc_id, r.candidate) for r in secrets.scan(docs).collect()}
+    assert {(0, phrase), (1, "hunter2!"), (2, "hunter2!"), (3, "S3cr3t!pass"), (4, "hunter2pass")} <= found and not [c for i, c in found if i == 5]
