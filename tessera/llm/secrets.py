@@ -29,7 +29,7 @@ ASSIGNED = rf"{NAMES}\s{{0,3}}[:=]{{1,2}}>?\s{{0,3}}"
 CANDIDATE = "|".join([
     rf"(?<=[:=]>?\s{{0,3}}{QUOTE})(?<={ASSIGNED}{QUOTE})[^\x22\x27\x60\n]{{6,}}(?={QUOTE})",
     rf"(?<=[:=]>?\s{{0,3}})(?<={ASSIGNED})[^\s\x22\x27\x60<>,;(){{}}\[\]]{{6,}}",
-    r"(?<=://[^\s:/@]{1,64}:)[^\s:/@]{6,}(?=@)",
+    r"(?<=:)(?<=://[^\s:/@]{1,64}:)[^\s:/@]{6,}(?=@)",  # the first look behind spares all other places the second
     r"eyJ[A-Za-z0-9_\-]{8,}(?:\.[A-Za-z0-9_\-]{4,}){1,2}",
     r"[A-Za-z0-9_+/\-]{16,}",
 ])
