@@ -99,15 +99,15 @@ def gate(df: DataFrame, group: str, most_chars: int, most_rows: int, text: str =
     return g.withColumn("fast", (F.col("chars") < most_chars) & (F.col("n") <= most_rows))
 
 
-def compressed(hits: DataFrame, most: int = 10, threshold: float = 0.85, least_similarity: float | None = None) -> DataFrame:
-    """C4: (query_id, context). Small sets keep their order; others lose near duplicates and are cut to the best ``most``."""
+def compressed(hits: DataFrame, most: int = 10, threshold: float = 0.85, least_similarity: float | None = None, most_hits: int | None = None) -> DataFrame:
+    """C4: (query_id, context). Small sets keep their order; others lose near duplicates and are cut to the best ``most``. ``most_hits``: the hits a query can have, where that is bounded."""
     small = gate(hits, "query_id", SMALL_CONTEXT, most)
     rows = hits.join(small.select("query_id", "fast"), "query_id")
     fast = rows.where("fast").withColumn("rank", F.col("pos").cast("long"))
     slow = rows.where("not fast").withColumn("sort_score", ranking.sort_score())
     if least_similarity is not None:
         slow = slow.where(F.col("vector_score") >= least_similarity)
-    kept = ranking.ranked(dedup.drop_near_duplicates(slow, threshold), "sort_score", "rank", most=most)
+    kept = ranking.ranked(dedup.drop_near_duplicates(slow, threshold, most=most_hits), "sort_score", "rank", most=most)
     columns = ["query_id", "rank", "source", "title", "content"]
     return fast.select(columns).unionByName(kept.select(*[F.col(c).cast("long") if c == "rank" else F.col(c) for c in columns])).groupBy("query_id").agg(in_order(chunk_entry(), "rank", "\n").alias("context"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.vector import cosine
+from tessera.operators import elimination
 
 
 def first_wins(df: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
@@ -52,10 +53,14 @@ def greedy_survivors(vectors: np.ndarray, scores: np.ndarray, threshold: float)
     return kept
 
 
-def drop_near_duplicates(hits: DataFrame, threshold: float = 0.85, group: str = "query_id", score: str = "sort_score") -> DataFrame:
-    """A9 for each query's hits, at most top_k rows each: the fold depends on order, so it runs on whole groups."""
+def drop_near_duplicates(hits: DataFrame, threshold: float = 0.85, group: str = "query_id", score: str = "sort_score", most: int | None = None) -> DataFrame:
+    """Groups of any size, see :func:`tessera.operators.elimination.survivors`; with ``most``, the rows a group can have (a larger one is an error), whole groups in one task each, which needs no table in between."""
+    if most is None:
+        return elimination.survivors(hits, threshold, group, score)
 
     def fold(batch: pd.DataFrame) -> pd.DataFrame:
+        if len(batch) > most:
+            raise ValueError(f"a group of {len(batch)} rows, of {most} at most")
         batch = batch.sort_values("pos")
         vectors = np.array([np.asarray(e, np.float64) for e in batch["embedding"]])
         return batch[greedy_survivors(vectors, batch[score].to_numpy(), threshold)]

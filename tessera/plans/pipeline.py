@@ -95,7 +95,7 @@ class Pipeline:
 
     def process(self, queries: DataFrame, docs: DataFrame) -> DataFrame:
         """(query_id, context); a query without hits has an empty one."""
-        made = context.compressed(self.hits(queries, docs), self.s.max_results, self.s.dedup_threshold, self.s.similarity_threshold)
+        made = context.compressed(self.hits(queries, docs), self.s.max_results, self.s.dedup_threshold, self.s.similarity_threshold, most_hits=self.s.rerank_top_k)
         return queries.select("query_id").join(made, "query_id", "left").select("query_id", F.coalesce("context", F.lit("")).alias("context"))
 
 
@@ -116,7 +116,7 @@ class QuestionTool:
     def query(self, questions: DataFrame) -> DataFrame:
         """(query_id, context, sources, chunks): sources with their first title, chunks with a short text and a score."""
         hits = self.hits(questions)
-        contexts = context.compressed(hits, self.pipeline.s.max_results, self.pipeline.s.dedup_threshold)
+        contexts = context.compressed(hits, self.pipeline.s.max_results, self.pipeline.s.dedup_threshold, most_hits=self.pipeline.s.rerank_top_k)
         named = hits.where("source <> ''").groupBy("query_id", "source").agg(F.min_by("title", "pos").alias("title"), F.min("pos").alias("pos"))
         sources = named.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "source", "title"))).alias("sources"))
         short = F.struct("pos", summary("content").alias("content"), "source", F.coalesce(F.nullif("rerank_score", F.lit(0.0)), F.col("vector_score")).alias("score"))

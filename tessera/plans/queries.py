@@ -222,6 +222,19 @@ def near_duplicate_survivors(spark, d):
     return dedup.drop_near_duplicates(_hits(spark, d).withColumn("sort_score", F.col("vector_score")), 0.3).select("query_id", "chunk_id", "pos")
 
 
+@query("""WITH RECURSIVE k AS (SELECT label, vec_id, embedding::DOUBLE[] AS v, embedding[1] AS s, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings),
+n AS (SELECT a.label, a.i, list(a.i < b.i AND list_cosine_similarity(a.v, b.v) > 0.3 ORDER BY b.i) AS near, list(b.s > a.s ORDER BY b.i) AS higher FROM k a JOIN k b ON a.label IS NOT DISTINCT FROM b.label GROUP BY 1, 2),
+f AS (SELECT label, 0::BIGINT AS i, list_transform(range(count(*)), lambda j: true) AS kept FROM k GROUP BY 1
+  UNION ALL
+  SELECT label, i, CASE WHEN kept[i] THEN list_transform(range(1, len(kept) + 1), lambda j: CASE WHEN j = i THEN stop IS NULL WHEN near[j] AND kept[j] AND NOT higher[j] AND (stop IS NULL OR j < stop) THEN false ELSE kept[j] END) ELSE kept END
+  FROM (SELECT f.label, n.i, kept, near, higher, list_min(list_filter(range(1, len(kept) + 1), lambda j: near[j] AND kept[j] AND higher[j])) AS stop FROM f JOIN n ON n.label IS NOT DISTINCT FROM f.label AND n.i = f.i + 1))
+SELECT k.label, k.vec_id FROM f JOIN k ON k.label IS NOT DISTINCT FROM f.label WHERE f.i = len(kept) AND kept[k.i]""")
+def near_duplicate_vectors(spark, d):
+    """A9 over all vectors, a label a group of any size; the score is the first component."""
+    e = table(spark, d, "embeddings").select("label", "vec_id", F.col("vec_id").alias("pos"), "embedding", F.col("embedding")[0].alias("sort_score"))
+    return dedup.drop_near_duplicates(e, 0.3, group="label").select("label", "vec_id")
+
+
 @query("SELECT url, min(page_id) AS page_id FROM pages GROUP BY url")
 def url_dedup(spark, d):
     """A12."""
@@ -887,6 +900,17 @@ def compressed_contexts(spark, d):
     return context.compressed(hits, most=10, threshold=2.0).select("query_id", F.md5("context").alias("context_md5"))
 
 
+@query("""WITH h AS (SELECT source, doc_id, text, length(text) % 1009 AS s, sum(length(text)) OVER (PARTITION BY source) AS chars, count(*) OVER (PARTITION BY source) AS many FROM documents WHERE text IS NOT NULL AND source IS NOT NULL),
+k AS (SELECT *, chars < 2000 AND many <= 10 AS fast FROM h), u AS (SELECT * FROM k QUALIFY fast OR row_number() OVER (PARTITION BY source, length(text) % 13 ORDER BY s DESC, doc_id) = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY s DESC, doc_id) AS n FROM u)
+SELECT source AS query_id, md5(string_agg('Source: ' || source || chr(10) || 'Title: Doc ' || doc_id || chr(10) || 'Content: ' || text, chr(10) ORDER BY CASE WHEN fast THEN doc_id ELSE n END)) AS context_md5 FROM r WHERE fast OR n <= 10 GROUP BY 1""")
+def compressed_distinct_contexts(spark, d):
+    """C4 where near duplicates go: texts are alike if their lengths leave the same rest by 13, so the first best of each rest stays."""
+    hits = doc_chunks(spark, d).where("content is not null and source is not null").withColumn("query_id", F.col("source")).withColumn("vector_score", (F.length("content") % 1009).cast("double"))
+    hits = hits.select("*", F.lit(0.0).alias("rerank_score"), F.lit(0.0).alias("hybrid_score"), F.expr("transform(sequence(0, 12), i -> cast(i = length(content) % 13 as float))").alias("embedding"))
+    return context.compressed(hits, most=10).select("query_id", F.md5("context").alias("context_md5"))
+
+
 @query("WITH c AS (SELECT string_agg('Source: ' || r_name || chr(10) || 'Title: Region ' || r_regionkey || chr(10) || 'Content: ' || r_name || chr(10), chr(10) ORDER BY r_regionkey) AS context FROM region) SELECT n_nationkey AS query_id, context FROM nation, c")
 def few_documents_context(spark, d):
     """C5, its fast path: documents that are few and short go to every query as they are."""

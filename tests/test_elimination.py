@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from tessera.operators import elimination
@@ -65,3 +66,22 @@ def test_a_run_of_copies_makes_no_pairs(spark, monkeypatch):
     got = elimination.survivors(spark.createDataFrame(rows, SCHEMA), 0.9)
     assert [r.pos for r in got.collect()] == [3000]
     assert sum(e.count() for e in seen) < 20
+
+
+def test_a_group_of_100_000_rows(spark):
+    """A third of the rows about one centre, the others about 3,000; the rule by numpy, a row at a time."""
+    n, rng = 100_000, np.random.default_rng(5)
+    centres = rng.normal(size=(3000, 16))
+    v = centres[np.where(rng.random(n) < 0.33, 0, rng.integers(0, 3000, n))] + rng.normal(scale=0.12, size=(n, 16))
+    v[::7] = centres[0]
+    score = rng.integers(0, 1000, n).astype(float)
+    rows = spark.createDataFrame(pd.DataFrame({"query_id": 0, "pos": np.arange(n), "embedding": list(v), "sort_score": score}))
+    got = elimination.survivors(rows, 0.85).select("pos").collect()
+    u, kept = v / np.linalg.norm(v, axis=1, keepdims=True), np.ones(n, bool)
+    for i in range(n):
+        if kept[i]:
+            near = np.flatnonzero((u[i + 1 :] @ u[i] > 0.85) & kept[i + 1 :]) + i + 1
+            higher = np.flatnonzero(score[near] > score[i])
+            kept[i] = not len(higher)
+            kept[near[: higher[0]] if len(higher) else near] = False
+    assert sorted(r.pos for r in got) == np.flatnonzero(kept).tolist()
