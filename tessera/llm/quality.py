@@ -22,10 +22,11 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
 
-#: Parameters of the method: a measure's fence is q3 + REACH * (q3 - q1) + SLACK. A language's fence counts as PRIOR texts in its sources' fences, and the
-#: fence of all languages as PRIOR texts in each language's: small groups lean on larger ones, by degrees.
-REACH, PRIOR = 3, 30
-SLACK = {"symbols": 300, "repeats": 3500, "lines": 4000, "capitals": 1500, "length": 300}
+#: Parameters of the method: a measure's fence is u + REACH * (u - median) + FLOOR, u its quantile by UPPER (in hundredths; the upper quartile for measures
+#: that junk shifts, so that a quarter of junk moves nothing, and a higher one where most texts have 0). A language's fence counts as PRIOR texts in its
+#: sources' fences, and the fence of all languages as PRIOR texts in each language's: small groups lean on larger ones, by degrees.
+REACH, PRIOR, FLOOR = 3, 30, 100
+UPPER = {"symbols": 75, "repeats": 95, "lines": 97, "capitals": 75, "length": 75}
 
 #: Columns that :func:`judge` adds.
 RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "measures", "kept"]
@@ -79,7 +80,7 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def fences(rows: DataFrame) -> DataFrame:
     """(lang, source, one column for each measure): thresholds from the sketches of rows that pass the base rules."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(f"measures.{m}").alias("v")) for m in SLACK]))
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(f"measures.{m}").alias("v")) for m in UPPER]))
     each = rows.where("not base_failed").select("lang", "source", pairs.alias("p")).select("lang", "source", "p.m", "p.v")
     low = F.expr("greatest(0, length(bin(v)) - 9)")
     sketch = each.withColumn("k", low).withColumn("b", F.expr("shiftleft(shiftright(v, k), k)")).groupBy("lang", "source", "m", "b").agg(F.count("*").alias("n"))
@@ -90,9 +91,9 @@ def fences(rows: DataFrame) -> DataFrame:
         whole = Window.partitionBy(*by, "m").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         up_to = Window.partitionBy(*by, "m").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
         s = s.withColumn("c", F.sum("n").over(up_to)).withColumn("all", F.sum("n").over(whole))
-        q = s.groupBy(*by, "m").agg(F.max("all").alias("n"), F.min(F.when(F.col("c") * 4 >= F.col("all"), F.col("b"))).alias("q1"), F.min(F.when(F.col("c") * 4 >= F.col("all") * 3, F.col("b"))).alias("q3"))
-        slack = F.create_map(*[x for m, v in SLACK.items() for x in (F.lit(m), F.lit(v))])
-        return q.select(*by, "m", "n", (F.col("q3") + REACH * (F.col("q3") - F.col("q1")) + slack[F.col("m")]).alias("f"))
+        upper = F.create_map(*[F.lit(x) for pair in UPPER.items() for x in pair])[F.col("m")]
+        q = s.groupBy(*by, "m").agg(F.max("all").alias("n"), F.min(F.when(F.col("c") * 2 >= F.col("all"), F.col("b"))).alias("middle"), F.min(F.when(F.col("c") * 100 >= F.col("all") * upper, F.col("b"))).alias("u"))
+        return q.select(*by, "m", "n", (F.col("u") + REACH * (F.col("u") - F.col("middle")) + FLOOR).alias("f"))
 
     def leaning(own: DataFrame, on: DataFrame, by: list[str]) -> DataFrame:
         on = on.select(*[F.col(c).alias(f"_{c}") for c in [*by, "m"]], F.col("f").alias("_f"))
@@ -101,7 +102,7 @@ def fences(rows: DataFrame) -> DataFrame:
 
     languages = leaning(fence(["lang"]), fence([]), [])
     own = leaning(fence(["lang", "source"]), languages, ["lang"])
-    return own.groupBy("lang", "source").agg(*[F.max(F.when(F.col("m") == m, F.col("f"))).alias(m) for m in SLACK])
+    return own.groupBy("lang", "source").agg(*[F.max(F.when(F.col("m") == m, F.col("f"))).alias(m) for m in UPPER])
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -115,10 +116,10 @@ def judge(docs: DataFrame) -> DataFrame:
     docs, back = aside(docs.drop(*[c for c in docs.columns if c in RESULTS]), ["text", "lang", "source"])
     rows = Table(measured(docs), "measured").read()
     limits = fences(rows)
-    limits = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[F.col(m).alias(f"_{m}") for m in SLACK])
+    limits = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[F.col(m).alias(f"_{m}") for m in UPPER])
     joined = rows.join(limits, rows["lang"].eqNullSafe(limits["_lang"]) & rows["source"].eqNullSafe(limits["_source"]), "left")
     over = F.lit(False)
-    for m in SLACK:
+    for m in UPPER:
         over = over | F.coalesce(F.col(f"measures.{m}") > F.col(f"_{m}"), F.lit(False))
     return back(joined.withColumn("kept", ~F.col("base_failed") & ~over), *RESULTS)
 

@@ -12,9 +12,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def _quality() -> str:
     measures = {"symbols": "10000 * n_symbols // greatest(word_chars, 1)", "repeats": "10000 * n_repeat_words // greatest(n_words, 1)", "lines": "10000 * n_dup_lines // greatest(n_lines, 1)", "capitals": "10000 * capitals // greatest(word_chars, 1)", "length": "100 * word_chars // greatest(n_words, 1)"}
-    rows = " UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{m}' AS m, ({e})::BIGINT AS v, {quality.SLACK[m]} AS slack FROM b" for m, e in measures.items())
-    quartiles = "max(total) AS n, min(CASE WHEN 4 * c >= total THEN b END) AS q1, min(CASE WHEN 4 * c >= 3 * total THEN b END) AS q3"
-    fence, prior = f"(q3 + {quality.REACH} * (q3 - q1) + slack)::BIGINT AS f", quality.PRIOR
+    rows = " UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{m}' AS m, ({e})::BIGINT AS v, {quality.UPPER[m]} AS pct FROM b" for m, e in measures.items())
+    quantiles = "max(total) AS n, min(CASE WHEN 2 * c >= total THEN b END) AS middle, min(CASE WHEN 100 * c >= pct * total THEN b END) AS u"
+    fence, prior = f"(u + {quality.REACH} * (u - middle) + {quality.FLOOR})::BIGINT AS f", quality.PRIOR
     return rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
 win AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) >= 3),
@@ -25,15 +25,15 @@ m AS (SELECT d.doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_
   (length(t) - length(translate(t, '{UPPER}', '')))::BIGINT AS capitals, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l, coalesce(n_repeat_words, 0) AS n_repeat_words FROM d LEFT JOIN rep USING (doc_id)),
 b AS (SELECT *, len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed FROM m),
 v AS ({rows}),
-k AS (SELECT lang, source, m, slack, (v >> greatest(0, length(bin(v)) - 9)) << greatest(0, length(bin(v)) - 9) AS b, count(*) AS n FROM v WHERE NOT base_failed GROUP BY ALL),
+k AS (SELECT lang, source, m, pct, (v >> greatest(0, length(bin(v)) - 9)) << greatest(0, length(bin(v)) - 9) AS b, count(*) AS n FROM v WHERE NOT base_failed GROUP BY ALL),
 o1 AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, m ORDER BY b) AS c, sum(n) OVER (PARTITION BY lang, source, m) AS total FROM k),
-o2 AS (SELECT lang, source, m, any_value(slack) AS slack, {quartiles} FROM o1 GROUP BY ALL),
-l0 AS (SELECT lang, m, slack, b, sum(n) AS n FROM k GROUP BY ALL),
+o2 AS (SELECT lang, source, m, {quantiles} FROM o1 GROUP BY ALL),
+l0 AS (SELECT lang, m, pct, b, sum(n) AS n FROM k GROUP BY ALL),
 l1 AS (SELECT *, sum(n) OVER (PARTITION BY lang, m ORDER BY b) AS c, sum(n) OVER (PARTITION BY lang, m) AS total FROM l0),
-l2 AS (SELECT lang, m, any_value(slack) AS slack, {quartiles} FROM l1 GROUP BY ALL),
-a0 AS (SELECT m, slack, b, sum(n) AS n FROM k GROUP BY ALL),
+l2 AS (SELECT lang, m, {quantiles} FROM l1 GROUP BY ALL),
+a0 AS (SELECT m, pct, b, sum(n) AS n FROM k GROUP BY ALL),
 a1 AS (SELECT *, sum(n) OVER (PARTITION BY m ORDER BY b) AS c, sum(n) OVER (PARTITION BY m) AS total FROM a0),
-a2 AS (SELECT m, any_value(slack) AS slack, {quartiles} FROM a1 GROUP BY ALL),
+a2 AS (SELECT m, {quantiles} FROM a1 GROUP BY ALL),
 l3 AS (SELECT lang, m, n, {fence} FROM l2), a3 AS (SELECT m, n, {fence} FROM a2), o3 AS (SELECT lang, source, m, n, {fence} FROM o2),
 l4 AS (SELECT lang, m, (l3.n * l3.f + {prior} * a3.f)::BIGINT // (l3.n + {prior})::BIGINT AS f FROM l3 JOIN a3 USING (m)),
 f AS (SELECT o3.lang, o3.source, o3.m, (o3.n * o3.f + {prior} * l4.f)::BIGINT // (o3.n + {prior})::BIGINT AS fence FROM o3 JOIN l4 ON o3.lang IS NOT DISTINCT FROM l4.lang AND o3.m = l4.m),

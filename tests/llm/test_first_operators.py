@@ -42,6 +42,20 @@ def test_quality_keeps_clean_and_drops_outliers(spark):
     assert kept == set(range(60))
 
 
+def test_each_measure_acts(spark):
+    """One text that stands out by each measure alone goes, however few or many junk texts its source has; the others stay."""
+    plain = lambda i, n=80: [f"w{i:04d}x{j:02d}" for j in range(n)]
+    clean = [(i, " ".join(plain(i)), "en", f"s{i % 2}", 1) for i in range(400)]
+    odd = [" ".join(w + "#" for w in plain(1001)), " ".join([*plain(1002, 60), *plain(1002, 12)]), "\n".join([*plain(1003), "again", "again"]), " ".join(plain(1004)).upper(), " ".join(w * 5 for w in plain(1005))]
+    docs = [*clean, *[(1000 + i, t, "en", "s0", 1) for i, t in enumerate(odd)]]
+    rows = {r.doc_id: r for r in quality.judge(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert not any(r.base_failed for r in rows.values())
+    assert {i for i, r in rows.items() if r.kept} == set(range(400))
+    measures = [rows[1000 + i].measures.asDict() for i in range(5)]
+    usual = rows[0].measures.asDict()
+    assert [[m for m in usual if got[m] > usual[m] + 100] for got in measures] == [["symbols"], ["repeats"], ["lines"], ["capitals"], ["length"]]
+
+
 def test_licenses(spark, odd):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
