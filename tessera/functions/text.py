@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 #: Abbreviations whose period ends no sentence, in any case.
 ABBREVIATIONS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec|Prof|Dr|Mr|Mrs|Ms|Rev|Gen|Col|Sgt|Capt|Lt|Inc|Ltd|Corp|Co|St|Jr|Sr|Dept|Univ|Assn|Mt|Ft|vs|etc|cf|al|approx|no|vol|pp|ch|sec|fig|eq"
-_NO_END = rf"(?<!\b[A-Z]\.)(?<!\b(?i:{ABBREVIATIONS})\.)(?<!\be\.g\.)(?<!\bi\.e\.)(?<!\.\.)"
+#: No letter, digit or underscore of any script stands before: what \b means to Java differs by its version.
+_WORD = r"(?<![\p{L}\p{N}_])"
+_NO_END = rf"(?<!{_WORD}[A-Z]\.)(?<!{_WORD}(?i:{ABBREVIATIONS})\.)(?<!{_WORD}e\.g\.)(?<!{_WORD}i\.e\.)(?<!\.\.)"
 SENTENCE_END = rf"(?<=[.!?]){_NO_END}(?U)\s+(?-U)(?=[A-Z\"'\x80-\xff])"
 WHITE = r"(?U)\s+"
 

@@ -14,6 +14,7 @@ from tessera.functions import text as T
 from tessera.functions.vector import cosine, digest_embedding
 from tessera.operators import chunking, context, dedup, fusion, ledger, metrics, ranking, reports, research
 from tessera.operators.vector_index import VectorIndex
+from tessera.plans import chunk_sql
 from tessera.plans.pipeline import Pipeline, QuestionTool, Settings
 from tessera.plans.store import ChunkStore
 from tessera.plans.term_index import TermIndex
@@ -284,25 +285,43 @@ def paragraph_split(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(T.paragraphs("text")).cast("long").alias("n_paragraphs"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
 
 
-@query()
+@query(chunk_sql.SENTENCES)
 def sentence_split(spark, d):
     """F1, F2."""
     return chunking.sentence_rows(chunking.documents(table(spark, d, "documents")))
 
 
-@query()
+@query(chunk_sql.fixed(1000, 100))
 def fixed_chunks(spark, d):
     """F10."""
     return chunking.fixed_chunks(chunking.documents(table(spark, d, "documents"))).select("doc_id", "chunk_index", F.md5("content").alias("content_md5"), F.length("content").alias("n"))
 
 
-@query()
+@query(chunk_sql.adaptive("text"))
 def adaptive_chunks(spark, d):
     """F12, F7-F9, W14."""
     return chunking.adaptive_chunks(chunking.documents(table(spark, d, "documents"))).select("doc_id", "chunk_index", F.md5("content").alias("content_md5"), F.length("content").alias("n"))
 
 
-@query()
+def _digests(chunks: DataFrame) -> DataFrame:
+    return chunks.select("doc_id", "chunk_index", F.md5("content").alias("content_md5"), F.length("content").alias("n"))
+
+
+@query(chunk_sql.adaptive("replace(text, chr(10), chr(10) || '## ')"))
+def adaptive_markdown_chunks(spark, d):
+    """each line of a document a heading."""
+    docs = table(spark, d, "documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n## ")))
+    return _digests(chunking.adaptive_chunks(chunking.documents(docs)))
+
+
+@query(chunk_sql.adaptive("replace(text, '. ', '.' || chr(10) || chr(10))"))
+def adaptive_paragraph_chunks(spark, d):
+    """Each sentence of a document a paragraph, short ones joined."""
+    docs = table(spark, d, "documents").withColumn("text", F.replace("text", F.lit(". "), F.lit(".\n\n")))
+    return _digests(chunking.adaptive_chunks(chunking.documents(docs)))
+
+
+@query(chunk_sql.semantic())
 def semantic_chunks(spark, d):
     """F11, W10-W13."""
     return chunking.semantic_chunks(chunking.documents(table(spark, d, "documents")), digest_embedding).select("doc_id", "chunk_index", F.md5("content").alias("content_md5"), F.length("content").alias("n"))
