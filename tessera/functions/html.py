@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 from urllib.parse import parse_qs, urljoin, urlparse
 
@@ -28,12 +29,15 @@ class Node:
         return self.attrs.get("class", "").split()
 
     def walk(self, clean: bool = False):
-        for child in self.children:
+        """All below, in order, from a stack: unclosed elements nest far deeper than calls may."""
+        left = self.children[::-1]
+        while left:
+            child = left.pop()
             if isinstance(child, str):
                 yield child
             elif not (clean and (child.name in DROPPED or DROPPED_CLASSES & set(child.classes))):
                 yield child
-                yield from child.walk(clean)
+                left += child.children[::-1]
 
     def strings(self, clean: bool = False) -> list[str]:
         return [t for t in (s.strip() for s in self.walk(clean) if isinstance(s, str)) if t]
@@ -43,22 +47,26 @@ class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", {}, None)
+        self.open = Counter()
 
     def handle_starttag(self, tag, attrs):
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.at.children.append(Node(tag, {k: v or "" for k, v in attrs}, self.at))
 
     def handle_endtag(self, tag):
-        node = self.at
-        while node and node.name != tag:
-            node = node.parent
-        if node and node.parent:
-            self.at = node.parent
+        if not self.open[tag]:
+            return
+        while self.at.name != tag:
+            self.open[self.at.name] -= 1
+            self.at = self.at.parent
+        self.open[tag] -= 1
+        self.at = self.at.parent
 
     def handle_data(self, data):
         self.at.children.append(data)
@@ -111,11 +119,14 @@ def links(root: Node, url: str) -> list[dict]:
 
 def heading_sections(root: Node) -> list[str]:
     """F8: each heading with the text of its following siblings, up to the next heading among them."""
-    out = []
+    out, places = [], {}
     for node in root.walk():
         if isinstance(node, Node) and node.name in HEADINGS:
             parts, siblings = [" ".join(node.strings())], node.parent.children
-            for other in siblings[siblings.index(node) + 1 :]:
+            if id(node) not in places:
+                places |= {id(s): i for i, s in enumerate(siblings) if isinstance(s, Node)}
+            for i in range(places[id(node)] + 1, len(siblings)):
+                other = siblings[i]
                 if isinstance(other, Node):
                     if other.name in HEADINGS:
                         break

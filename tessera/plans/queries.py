@@ -14,7 +14,7 @@ from tessera.functions import text as T
 from tessera.functions.vector import cosine, digest_embedding
 from tessera.operators import chunking, context, dedup, fusion, ledger, metrics, ranking, reports, research
 from tessera.operators.vector_index import VectorIndex
-from tessera.plans import chunk_sql
+from tessera.plans import chunk_sql, page_sql
 from tessera.plans.pipeline import Pipeline, QuestionTool, Settings
 from tessera.plans.store import ChunkStore
 from tessera.plans.term_index import TermIndex
@@ -412,12 +412,30 @@ def html_links(spark, d):
     return table(spark, d, "pages").select("page_id", html.link_hosts(F.col("html")).alias("links"))
 
 
-@query()
+@query(page_sql.SCRAPED)
 def scraped_pages(spark, d):
     """S6, F15-F18, P2."""
     return research.long_enough(files.scraped(table(spark, d, "pages")), "text").select("page_id", "title", F.md5("text").alias("text_md5"), F.size("links").alias("n_links"), F.size("images").alias("n_images"))
 
 
+@query(page_sql.stripped(50_000))
+def stripped_pages(spark, d):
+    """F21."""
+    return table(spark, d, "pages").select("page_id", html.stripped()("html").alias("text"))
+
+
+@query(page_sql.IMAGES)
+def relevant_images(spark, d):
+    """Links, bold parts, headings and breaks of the pages as images of several sizes."""
+    size = lambda by, tail: F.concat((F.length("html") / by).cast("long").cast("string"), F.lit(tail))
+    sized = F.concat(F.lit('<img width="'), size(4, ".7PX"), F.lit('" height="'), size(8, ""), F.lit('" src="'))
+    marked = F.regexp_replace("html", F.lit('<a href="'), sized)
+    for tag, image in (("<b>", '<img class="x hero" width="9" height="9" src="/bold.png">'), ("<h1>", '<img width="12.5px" height="9" src="/tiny.png">'), ("<br>", '<img src="/break.png">')):
+        marked = F.replace(marked, F.lit(tag), F.lit(image))
+    rows = files.scraped(table(spark, d, "pages").withColumn("html", marked))
+    return rows.select("page_id", F.posexplode("images").alias("pos", "i")).select("page_id", "pos", "i.score", "i.url")
+
+
 @query("SELECT doc_id FROM documents WHERE length(text) >= 100")
 def scrape_length_filter(spark, d):
     """P1, P2."""
@@ -560,6 +578,25 @@ def _reports(spark, d) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.alias("text"))
 
 
+def _headed(spark, d) -> DataFrame:
+    """Whole documents whose lines are headers of a level by their length, a seventh of them plain."""
+    level = lambda line: (F.length(line) % 7).cast("int")
+    marked = F.transform(F.split("text", "\n"), lambda x: F.when(level(x) > 0, F.concat(F.repeat(F.lit("#"), level(x)), F.lit(" "), x)).otherwise(x))
+    return table(spark, d, "documents").select("doc_id", F.array_join(marked, "\n").alias("text"))
+
+
+@query(page_sql.HEADERS)
+def md_headers_of_texts(spark, d):
+    """F24 of whole documents."""
+    return markdown.headers(_headed(spark, d))
+
+
+@query(page_sql.CONTENTS)
+def md_contents_of_texts(spark, d):
+    """F26 of whole documents."""
+    return markdown.contents(_headed(spark, d))
+
+
 @query("SELECT doc_id, unnest([0, 2, 4]) AS pos, unnest([1, 2, 3]) AS level, unnest([source, 'Part ' || doc_id, lang]) AS text, unnest([NULL, 0, 2]) AS parent_pos, unnest([0, 1, 2]) AS depth FROM documents")
 def md_headers(spark, d):
     """F24."""

@@ -60,3 +60,25 @@ def test_markdown_rows_of_one_key_and_many_headers(spark):
         stack.append((pos, level))
     long_ = spark.createDataFrame([(1, "\n".join("#" * n + f" h{i}" for i, n in enumerate(levels)))], "doc_id long, text string")
     assert sorted((r.pos, r.parent_pos, r.depth) for r in markdown.headers(long_).collect()) == want
+
+
+def test_unclosed_elements_nest_deeper_than_calls_may(spark):
+    n = 20_000
+    deep = "<html><body>" + "<p>" * n + "deep" + "<nav>menu</nav>" + "<div class='footer x'>foot</div>end"
+    row = spark.createDataFrame([(1, "http://a.b/c", deep)], "page_id long, url string, html string").withColumn("p", html.page(F.col("html"), F.col("url"))).first()["p"]
+    assert row.text == "deep\nend"
+
+
+def test_stripped_text_is_cut_as_asked(spark):
+    df = spark.createDataFrame([("<p>abc</p>def<b>ghi</b>",), (None,), ("",)], "html string")
+    assert [r[0] for r in df.select(html.stripped(6)("html")).collect()] == ["abc de", "", ""]
+
+
+def test_many_headings_and_strange_end_tags_take_time_in_proportion():
+    n = 20_000
+    assert html.heading_sections(html.parse("<p>" * n + "</x>" * n + "<h2>a</h2>b" * n)) == ["a b"] * n
+
+
+def test_end_tags_close_what_is_open():
+    root = html.parse("<div><p>a<b>c</div>d</p>e<br/></br><p>f")
+    assert [c if isinstance(c, str) else c.name for c in root.children] == ["div", "d", "e", "br", "p"]
