@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from tessera.plans.chunk_sql import STRIPPED, strip
 
-_ENTITIES = {"&quot;": '"', "&middot;": "·", "&copy;": "©", "&lt;": "<", "&gt;": ">", "&amp;": "&"}  # the ampersand last
+_ENTITIES = {"&quot;?": '"', "&middot;?": "·", "&copy;?": "©", "&lt;?": "<", "&gt;?": ">", "&amp;?": "&"}  # the ampersand last
 _WHOLE = ("script", "style")
 _DROPPED = ("script", "style", "nav", "footer", "header", "menu", "sidebar", "svg")
 
 
 def _plain(text: str) -> str:
     for entity, is_ in _ENTITIES.items():
-        text = f"replace({text}, '{entity}', '{is_}')"
+        text = f"regexp_replace({text}, '{entity}', '{is_}', 'g')"
     return text
 
 

@@ -842,7 +842,7 @@ def _questions(spark, d) -> DataFrame:
     return table(spark, d, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-@query()
+@query(chunk_sql.RETRIEVAL)
 def retrieval_pipeline(spark, d):
     """Adaptive chunks, hybrid retrieval, rerank, compression."""
     p = Pipeline(Settings(chunking_strategy="adaptive"), digest_embedding)
@@ -850,7 +850,7 @@ def retrieval_pipeline(spark, d):
     return out.select("query_id", F.length("context").alias("n"), F.md5("context").alias("context_md5"))
 
 
-@query()
+@query(chunk_sql.STORE_QUESTIONS)
 def store_questions(spark, d):
     """Documents go into a new store, which answers alone."""
     store = ChunkStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", digest_embedding)
@@ -975,6 +975,13 @@ def few_documents_context(spark, d):
     return context.context_of(q, docs, lambda c: letters(F.lower(c)), most=5)
 
 
+@query(chunk_sql.SIMILAR_PIECES)
+def similar_pieces_context(spark, d):
+    """C5, its slow path: similar pieces of all documents."""
+    q = _questions(spark, d).withColumn("embedding", digest_embedding("query"))
+    return context.context_of(q, doc_chunks(spark, d).withColumnRenamed("chunk_id", "doc_id"), digest_embedding)
+
+
 _NAMES = f"p AS (SELECT p_partkey, p_name, {_letters('p_name')} AS v FROM part), q AS (SELECT r_regionkey AS query_id, {_letters('lower(r_name)')} AS v FROM region), s AS (SELECT query_id, p_partkey, p_name, round(list_cosine_similarity(q.v, p.v), 6) AS similarity FROM q, p)"
 
 
@@ -991,11 +998,12 @@ def written_sections(spark, d):
     return rows.where("content like 'Title: Part%Content: %'").select("query_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"WITH {_NAMES}, k AS (SELECT DISTINCT p_name FROM s WHERE similarity >= 0.5 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC) <= 5) SELECT least(10, 5) AS least_rows, true AS within")
+@query(chunk_sql.DRAFTS)
 def written_for_drafts(spark, d):
     """Distinct entries over all draft titles, at most ten."""
-    rows = context.written_for_titles(*_written(spark, d), letters, 10)
-    return rows.agg(F.least(F.lit(5), F.count("*")).cast("int").alias("least_rows"), ((F.count("*") <= 10) & (F.count("*") == F.count_distinct("content"))).alias("within"))
+    _, sections = _written(spark, d)
+    titles = table(spark, d, "region").select(F.col("r_regionkey").alias("query_id"), digest_embedding("r_name").alias("embedding"))
+    return context.written_for_titles(titles, sections, digest_embedding, 10).select("content")
 
 
 @query("WITH v AS (SELECT item_id AS query_id, 0 AS variant, text AS query FROM benchmark UNION ALL SELECT item_id, 1, 'about ' || length(text) FROM benchmark UNION ALL SELECT item_id, 2, 'more of ' || item_id FROM benchmark) SELECT * FROM v")
