@@ -128,8 +128,8 @@ f AS (SELECT query_id, o, s, round(1.0 / (60 + br) + 1.0 / (60 + vr), 12) AS h,
 _CANDIDATES = """near AS (SELECT query_id, o, s, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, o) AS vr FROM s QUALIFY vr <= 60),
 ranked AS (SELECT query_id, o, s, row_number() OVER (PARTITION BY query_id ORDER BY b DESC, o) AS br FROM b JOIN s USING (query_id, o, b)),
 said AS (SELECT * FROM ranked WHERE br <= 20 OR (query_id, o) IN (SELECT (query_id, o) FROM near)),
-both AS (SELECT query_id, o, coalesce(near.s, said.s) AS s, coalesce(1.0::DOUBLE / (60 + br), 0) + coalesce(1.0::DOUBLE / (60 + vr), 0) AS h FROM near FULL JOIN said USING (query_id, o)),
-f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY h DESC, o) AS place FROM both QUALIFY place <= 20),"""
+merged AS (SELECT query_id, o, coalesce(near.s, said.s) AS s, coalesce(1.0::DOUBLE / (60 + br), 0) + coalesce(1.0::DOUBLE / (60 + vr), 0) AS h FROM near FULL JOIN said USING (query_id, o)),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY h DESC, o) AS place FROM merged QUALIFY place <= 20),"""
 
 #: C4: reranked to ten; near duplicates are folded row by row over lists of at most ten.
 _CONTEXTS = """one AS (SELECT f.*, content, source, v FROM f JOIN c USING (o) JOIN e USING (o) QUALIFY row_number() OVER (PARTITION BY query_id, content ORDER BY place) = 1),
