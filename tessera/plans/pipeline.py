@@ -12,6 +12,7 @@ from tessera.functions.text import summary
 from tessera.functions.vector import Embed, with_embedding
 from tessera.operators import chunking, context, dedup, fusion, ranking, research
 from tessera.plans.store import ChunkStore
+from tessera.sources.tables import written
 
 
 @dataclass(frozen=True)
@@ -52,7 +53,8 @@ class Pipeline:
             made = chunking.fixed_chunks(docs, self.s.chunk_size, self.s.chunk_overlap)
         else:
             made = chunking.chunker(self.s.chunking_strategy, self.embed)(docs)
-        return with_embedding(made, self.embed).withColumn("pos", F.struct("doc_id", "chunk_index"))
+        # written, as the range sort of every search reads its input twice: texts are split and embedded once
+        return written(with_embedding(made, self.embed).withColumn("pos", F.struct("doc_id", "chunk_index")), "chunks")
 
     def _variants(self, queries: DataFrame, chunks: DataFrame) -> DataFrame:
         if not self.s.enable_query_rewrite:

@@ -47,8 +47,10 @@ class TermIndex:
         postings = written(postings, "postings")
         bounds = postings.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.max("tf").alias("most_tf"), F.min("size").alias("least_size"))
         sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").cast("long").alias("words"))
-        for name, df, order in (("postings", postings, ["bucket", "term"]), ("bounds", bounds, ["bucket", "term"]), ("sizes", sizes, ["bucket"])):
-            put(df.repartitionByRange(*order).sortWithinPartitions(*order), f"{self.path}/{name}", append)  # a hot bucket spans several files
+        bounds = written(bounds, "bounds")  # a range sort reads its input twice
+        for name, df, order in (("postings", postings, ["bucket", "term", "pos"]), ("bounds", bounds, ["bucket", "term"])):
+            put(df.repartitionByRange(*order).sortWithinPartitions(*order), f"{self.path}/{name}", append)  # a hot bucket spans several files, and so does a hot term
+        put(sizes.coalesce(1), f"{self.path}/sizes", append)  # a row for each bucket
 
     def stats(self) -> DataFrame:
         """One row (n, avgdl)."""
