@@ -3,7 +3,8 @@
 Cells come from k-means on the directions of a bounded sample; every row is
 filed in the folder of its nearest cell, beside a table that says for each cell
 its centre and the widest angle at which a row of it lies. A question reads the
-folders of its nearest cells and rescores their rows exactly. By the triangle
+folders of its nearest cells and rescores their rows exactly, in blocks
+(:mod:`tessera.operators.pairs`) that give out the best rows only. By the triangle
 inequality of angles no row of a cell comes nearer than the angle to the centre
 less the cell's widest, so that an exact search knows which further cells could
 hold one of the k best, and reads those and no others.
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.vector import cosine, norm
-from tessera.operators import ranking
+from tessera.operators import pairs, ranking
 from tessera.sources.tables import written
 
 #: Parameters: rows of the sample that cells are fitted on, most cells, rounds of k-means, and the cell of rows that have no direction or other dimensions.
@@ -101,13 +102,13 @@ class VectorIndex:
         """(cell, widest, n, centre): a row for each cell, MOST_CELLS and one at most."""
         return self.spark.read.parquet(f"{self.path}/cells")
 
-    def _scored(self, wanted: DataFrame, queries: DataFrame, key: str) -> DataFrame:
-        """Exact likeness of each question to the rows of its cells; other folders are not read."""
+    def _scored(self, wanted: DataFrame, queries: DataFrame, key: str, k: int = 1) -> DataFrame:
+        """Exact likeness of each question to rows of its cells, the ``k`` best among them; other folders are not read."""
         cells = sorted(c for (c,) in wanted.select("cell").distinct().collect())
         self.read_cells = sorted({*self.read_cells, *cells})
         rows = self.rows().where(F.col("cell").isin(cells)).select(key, "embedding", "cell")
-        asked = wanted.select("query_id", "cell").join(queries.select("query_id", F.col("embedding").alias("_q")), "query_id")
-        return rows.join(asked, "cell").select("query_id", key, cosine("_q", "embedding").alias("vector_score"))
+        asked = wanted.groupBy("query_id").agg(F.array_sort(F.collect_set("cell")).alias("cells")).join(queries.select("query_id", "embedding"), "query_id")
+        return pairs.meeting(written(asked, "asked"), rows, k, key=key, within=True)
 
     def search(self, queries: DataFrame, k: int, probes: float | None = None, exact: bool = True, key: str = "chunk_id") -> DataFrame:
         """(query_id, key, vector_score, rank): the ``k`` nearest of each question (query_id, embedding); ties keep the smaller key.
@@ -119,17 +120,17 @@ class VectorIndex:
         self.read_cells = []
         q = F.col("query.embedding").cast("array<double>")
         turned = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine(q, F.col("cells.centre")))))
-        pairs = queries.alias("query").join(self.cells().alias("cells"))  # questions by cells, no rows
+        met = queries.alias("query").join(self.cells().alias("cells"))  # questions by cells, no rows
         usable = F.col("cells.centre").isNotNull() & (F.size("query.embedding") == F.size("cells.centre")) & (norm(q) > 0)
         # a row of cell OTHER, or any row to a question of other dimensions or none, has likeness 0, but for other rows of its own length
         nearest = F.when(usable, F.cos(F.greatest(F.lit(0.0), turned - F.col("widest") - SLACK))).otherwise(F.when(F.col("cells.cell") == OTHER, 1.0).otherwise(0.0))
-        far = written(pairs.select("query.query_id", "cells.cell", F.when(usable, turned).otherwise(F.acos(F.lit(0.0))).alias("turned"), nearest.alias("bound")), "far")
+        far = written(met.select("query.query_id", "cells.cell", F.when(usable, turned).otherwise(F.acos(F.lit(0.0))).alias("turned"), nearest.alias("bound")), "far")
         ordered = ranking.ranked(far.withColumn("_near", -F.col("turned")), "_near", "_n", pos="cell")
         most = max(1, round((probes or (PROBES if exact else APPROXIMATE)) * self.cells().count()))
-        first = written(self._scored(ordered.where(F.col("_n") < most), queries, key), "near")
+        first = written(self._scored(ordered.where(F.col("_n") < most), queries, key, k), "near")
         if not exact:
             return ranking.ranked(first, "vector_score", "rank", pos=key, most=k)
         kth = ranking.ranked(first, "vector_score", "rank", pos=key, most=k).where(F.col("rank") == k - 1).select("query_id", F.col("vector_score").alias("_kth"))
         rest = ordered.where(F.col("_n") >= most).join(kth, "query_id", "left").where(F.col("_kth").isNull() | (F.col("bound") >= F.col("_kth") - SLACK))
         rest = written(rest.select("query_id", "cell"), "rest")
-        return ranking.ranked(first.unionByName(self._scored(rest, queries, key)), "vector_score", "rank", pos=key, most=k)
+        return ranking.ranked(first.unionByName(written(self._scored(rest, queries, key, k), "far")), "vector_score", "rank", pos=key, most=k)
