@@ -81,6 +81,21 @@ def test_retrieve_equals_whole_lists(spark, tmp_path):
     assert key(store.retrieve(q, 5)) == key(want)
 
 
+def test_places_follow_the_ids_and_copies_tie_by_them(spark, tmp_path):
+    """Files that are read in another order than their ids go."""
+    rows = [(i, "u", "T", "fox lake " * 30 if i % 3 else f"hen {i}") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, url string, title string, raw_content string").repartition(7, "raw_content", "doc_id")
+    store = ChunkStore(spark, f"file://{tmp_path}/loaded", digest_embedding)
+    store.load(docs)
+    assert [r.content for r in store.chunks().orderBy("pos").select("content").collect()] == [r[3].strip() for r in rows]
+    added = ChunkStore(spark, f"file://{tmp_path}/added", digest_embedding)
+    added.add(docs.select(F.col("raw_content").alias("content"), F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("source"), "title", F.lit(0).alias("chunk_index"), "doc_id"), order="doc_id")
+    found = added.retrieve(spark.createDataFrame([(0, "fox")], "query_id long, query string"), 6).orderBy("rank").collect()
+    assert [r.bm25_rank for r in found if r.bm25_score > 0] and [r.source for r in sorted(found, key=lambda r: r.pos)] == sorted((r.source for r in found), key=lambda x: int(x[1:]))
+    ranks = sorted((r.bm25_rank, int(r.source[1:])) for r in found if r.bm25_rank is not None and r.bm25_rank < 6)
+    assert ranks == [(n, i) for n, i in enumerate([1, 2, 4, 5, 7, 8]) if (n, i) in ranks] and ranks
+
+
 def test_ingest(spark, tmp_path):
     (tmp_path / "docs").mkdir()
     (tmp_path / "docs" / "a.md").write_text("# A\nfirst part\n## B\nsecond part")
