@@ -85,3 +85,34 @@ def test_a_group_of_100_000_rows(spark):
             kept[i] = not len(higher)
             kept[near[: higher[0]] if len(higher) else near] = False
     assert sorted(r.pos for r in got) == np.flatnonzero(kept).tolist()
+
+
+def test_small_groups_take_no_part_in_rounds(spark, monkeypatch):
+    """Groups of a few rows, odd vectors among them, are folded as arrays; only a larger one is numbered and paired."""
+    rounds = []
+    whole = elimination._gone
+    monkeypatch.setattr(elimination, "_gone", lambda rows, *a: rounds.append(rows) or whole(rows, *a))
+    rows = drawn(3, (20,) * 30, 3)
+    odd = [(90, 0, [1.0, 0.0], None, "x"), (90, 1, [1.0, 0.0], 0.5, "x"), (90, 2, [2.0, 0.0], 0.5, "x"), (90, 3, [1.0], 0.5, "x"), (90, 4, None, 0.5, "x"), (90, 5, [], 0.5, "x"), (90, 6, [float("nan"), 1.0], 0.5, "x")]
+    got = elimination.survivors(spark.createDataFrame(rows + odd, SCHEMA), 0.8)
+    assert {(r.query_id, r.pos) for r in got.collect()} == kept_by_fold(rows, 0.8) | {(90, p) for p in (0, 3, 4, 5, 6)} and not rounds
+    more = rows + [(40, *r[1:]) for r in drawn(4, (80,), 3)]
+    got = elimination.survivors(spark.createDataFrame(more, SCHEMA), 0.8)
+    assert {(r.query_id, r.pos) for r in got.collect()} == kept_by_fold(more, 0.8) and rounds[0].select("_c0").distinct().count() == 1
+
+
+def test_copies_leave_no_prefixes_to_play(spark, monkeypatch):
+    """Rows of 13 vectors, one after another: a first prefix ends nearly all, few pairs are made, and no later prefix is played for nothing."""
+    seen = []
+    whole = elimination._edges
+    monkeypatch.setattr(elimination, "_edges", lambda *a: seen.append(whole(*a)) or seen[-1])
+    rows = [(0, p, [float(i == p * 7 % 13) for i in range(13)], float(p % 5), "x") for p in range(6000)]
+    got = elimination.survivors(spark.createDataFrame(rows, SCHEMA), 0.85)
+    assert {(r.query_id, r.pos) for r in got.collect()} == kept_by_fold(rows, 0.85)
+    assert len(seen) <= 3 and sum(e.count() for e in seen) < 10 * 6000
+
+
+def test_a_threshold_beyond_all_cosines_pairs_nothing(spark, monkeypatch):
+    monkeypatch.setattr(elimination, "_edges", lambda *a: pytest.fail("pairs"))
+    rows = spark.createDataFrame([(0, p, [float(p), 1.0], 0.0, "x") for p in range(3000)], SCHEMA)
+    assert elimination.survivors(rows, 2.0).count() == 3000
