@@ -116,3 +116,17 @@ def test_a_threshold_beyond_all_cosines_pairs_nothing(spark, monkeypatch):
     monkeypatch.setattr(elimination, "_edges", lambda *a: pytest.fail("pairs"))
     rows = spark.createDataFrame([(0, p, [float(p), 1.0], 0.0, "x") for p in range(3000)], SCHEMA)
     assert elimination.survivors(rows, 2.0).count() == 3000
+
+
+def test_copies_with_rising_scores_make_no_pairs(spark, monkeypatch):
+    """Each row of a class ends the one before it: classes near nothing else end at once, two that are near each other by pairs, and null scores by the rule."""
+    seen = []
+    whole = elimination._edges
+    monkeypatch.setattr(elimination, "_edges", lambda *a: seen.append(whole(*a)) or seen[-1])
+    rows = [(0, p, [float(i == p * 7 % 13) for i in range(13)], float(p // 3), "x") for p in range(6000)]
+    got = elimination.survivors(spark.createDataFrame(rows, SCHEMA), 0.85)
+    assert {(r.query_id, r.pos) for r in got.collect()} == kept_by_fold(rows, 0.85)
+    assert sum(e.count() for e in seen) < 13 * 13
+    two = [(0, p, [1.0, 0.1 * (p % 2), 0.0] if p % 3 else [0.0, 0.0, 1.0], float(p * 7 % 101), "x") for p in range(600)]
+    got = elimination.survivors(spark.createDataFrame(two, SCHEMA), 0.85)
+    assert {(r.query_id, r.pos) for r in got.collect()} == kept_by_fold(two, 0.85)
