@@ -1,10 +1,13 @@
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import context, dedup, fusion, ranking
+from tessera.plans import queries as queries_of_texts
+from tests.conftest import DATA
 
 
 def chunks(spark, rows):
@@ -35,6 +38,37 @@ def test_ranks_keep_input_order_on_ties_and_fuse(spark):
     assert {r.hybrid_score for r in ranking.weighted(zero).collect()} == {-0.6}
 
 
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_whole_lists_are_ranked_by_ranges(spark):
+    chance = random.Random(7)
+    scores = [None, float("nan"), -0.0, 0.0, 0.5, 0.5, 1.0]
+    rows = [(chance.choice([None, 1, 2, 3]), n, chance.choice(scores), chance.choice(scores)) for n in range(500)] + [(9, n, 0.0, 1.0) for n in range(700)]
+    rows = spark.createDataFrame(rows, "query_id long, pos long, bm25_score double, vector_score double").repartition(5)
+    got = ranking.rrf(rows)
+    want = ranking.ranked(ranking.ranked(rows, "bm25_score", "bm25_rank"), "vector_score", "vector_rank")
+    key = lambda df: sorted((repr(r.query_id), r.pos, r.bm25_rank, r.vector_rank) for r in df.collect())
+    assert key(got) == key(want) and len(key(got)) == 1200
+    assert "Window" not in _plan(got)  # no list is one task's
+
+
+def test_texts_are_read_and_embedded_before_pairs(spark):
+    q, c = queries_of_texts._asked(spark, DATA)
+    for made in (ranking.bm25(q, c), queries_of_texts._scores(q, c)):
+        plan = _plan(made)
+        assert "split(" not in plan.replace("split(lower(query", "") and "content" not in plan and "length(text" not in plan
+
+
+def test_bm25_counts_every_row_and_word(spark):
+    c = chunks(spark, [("the the cat", [1.0]), ("the", [1.0]), (None, [1.0]), ("   ", [1.0]), (" dog \t ", [1.0])])
+    got = {r.chunk_id: r.bm25_score for r in ranking.bm25(queries(spark, ("the", [1.0]), ("none such", [1.0])), c).collect()}
+    idf, avgdl = math.log(1 + (5 - 2 + 0.5) / 2.5), 5 / 5
+    assert got == pytest.approx({0: idf * 2 * 2.5 / (2 + 1.5 * (0.25 + 0.75 * 3 / avgdl)), 1: idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 / avgdl))})
+    assert ranking.bm25(queries(spark, ("the", [1.0])), c.limit(0)).count() == 0
+
+
 def test_hybrid_and_rerank(spark):
     c = chunks(spark, [("red fox", [1.0, 0.0]), ("blue fox", [0.0, 1.0]), ("green hen", [0.7, 0.7])])
     q = queries(spark, ("fox", [0.0, 1.0]))
