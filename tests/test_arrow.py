@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import arrow
 from tessera.operators import chunking
+from tessera.plans import queries
+from tests.conftest import DATA
 
 
 def test_results_leave_a_few_rows_at_a_time(spark):
@@ -20,3 +22,9 @@ def test_adaptive_chunks_pass_texts_to_python_once(spark, capfd):
     made.explain()
     assert capfd.readouterr().out.count("ArrowEvalPython") == 1
     assert made.select("doc_id").distinct().count() == 300
+
+
+def test_relevant_images_pass_pages_to_python_once(spark, capfd):
+    made = queries.QUERIES["relevant_images"](spark, DATA)
+    made.explain()
+    assert capfd.readouterr().out.count("ArrowEvalPython") == 1
