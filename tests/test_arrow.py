@@ -28,3 +28,9 @@ def test_relevant_images_pass_pages_to_python_once(spark, capfd):
     made = queries.QUERIES["relevant_images"](spark, DATA)
     made.explain()
     assert capfd.readouterr().out.count("ArrowEvalPython") == 1
+
+
+def test_adaptive_markdown_chunks_pass_texts_to_python_once(spark, capfd):
+    made = queries.QUERIES["adaptive_markdown_chunks"](spark, DATA)
+    made.explain()
+    assert capfd.readouterr().out.count("ArrowEvalPython") == 1
